@@ -1,8 +1,8 @@
 """Queries and SQL of this subpackage."""
 
-from quillon.llm import q_quality, q_sharding
+from quillon.llm import q_mixing, q_quality, q_revisits, q_sharding
 
-_PARTS = [q_sharding, q_quality]
+_PARTS = [q_mixing, q_sharding, q_quality, q_revisits]
 
 
 def queries():
