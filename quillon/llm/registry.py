@@ -1,8 +1,8 @@
 """Queries and SQL of this subpackage."""
 
-from quillon.llm import q_mixing, q_pii, q_quality, q_revisits, q_sharding
+from quillon.llm import q_mixing, q_pii, q_quality, q_revisits, q_sharding, q_toxicity
 
-_PARTS = [q_mixing, q_pii, q_sharding, q_quality, q_revisits]
+_PARTS = [q_mixing, q_pii, q_sharding, q_quality, q_revisits, q_toxicity]
 
 
 def queries():
