@@ -1 +1,8 @@
 """Catalogue analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions of this package travel to the workers whole: executors need no copy of it
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
