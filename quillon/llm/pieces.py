@@ -56,11 +56,11 @@ class Model:
 class Codec:
     """Encodes and decodes texts with one model; keeps what it has learned of it, within bounds."""
 
-    KEPT = 150_000
+    KEPT = 250_000
     CHUNK = 64
 
     def __init__(self, model: Model):
-        self.model, self.pairs, self.young, self.old = model, {}, {}, {}
+        self.model, self.pairs, self.judged, self.young, self.old = model, {}, 0, {}, {}
         # where white space only begins pieces, and for control characters that no piece has, paths always meet
         inner = any(SPACE in p.lstrip(SPACE) for p in model.ids)
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in model.ids))
@@ -89,13 +89,15 @@ class Codec:
 
     def feasible(self, left: str, right: str) -> bool:
         """Whether the merges leave these two neighbours (or one piece, left empty) as they are."""
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > 2 * self.KEPT:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
-        return known
+        known = self.pairs.setdefault(left, {})
+        out = known.get(right)
+        if out is None:
+            self.judged += 1
+            if self.judged > 2 * self.KEPT:
+                self.judged = 0
+                self.pairs = {}
+            out = known[right] = self.merged(left + right) == ([left, right] if left else [right])
+        return out
 
     def ids_of(self, piece: str) -> list[int]:
         k = self.model.ids.get(piece)
@@ -110,38 +112,57 @@ class Codec:
 
         Kept: the characters and backpointers after the last boundary that all paths share.
         """
-        model, longest, scores = self.model, self.model.longest, self.model.scores
-        text, base = "", 0  # characters after the committed boundary; how many of them are searched
-        begin, best = [0], [0.0]  # per position: where its last piece begins, and the score so far
+        extend = self._extend_scores if self.model.kind == UNIGRAM else self._extend_merges
+        text, begin, best = "", [0], [0.0]  # not yet committed; per position: where its last piece begins, its score
         for part in parts:
             text += part
-            for i in range(base + 1, len(text) + 1):
-                found, score = -1, -float("inf")
-                for j in range(max(0, i - longest), i):
-                    piece = text[j:i]
-                    if piece not in scores:
-                        continue
-                    if model.kind == UNIGRAM:
-                        if best[j] + scores[piece] > score:
-                            found, score = j, best[j] + scores[piece]
-                    elif self.feasible("", piece) and (j == 0 or self.feasible(text[begin[j] : j], piece)):
-                        found, score = j, 0.0
-                        break
-                if found < 0 or model.kind == UNIGRAM and text[i - 1] not in scores and best[i - 1] + model.unknown_score > score:
-                    found, score = i - 1, best[i - 1] + (model.unknown_score if model.kind == UNIGRAM else 0.0)
-                begin.append(found)
-                best.append(score)
-            base = len(text)
-            meet = self._meeting(begin, base)
+            extend(text, begin, best)
+            if len(text) <= 2 * self.model.longest:
+                continue
+            meet = self._meeting(begin, len(text))
             # for merges the piece that ends at the boundary stays, to judge the next one by
-            cut = meet if model.kind == UNIGRAM or meet == 0 else begin[meet]
+            cut = meet if self.model.kind == UNIGRAM or meet == 0 else begin[meet]
             if cut > 0:
                 yield self._path(text, begin, cut)
                 text = text[cut:]
-                begin, best, base = [max(0, b - cut) for b in begin[cut:]], best[cut:], base - cut
+                begin, best = [max(0, b - cut) for b in begin[cut:]], best[cut:]
         if text:
             yield self._path(text, begin, len(text))
 
+    def _extend_merges(self, text: str, begin: list[int], best: list[float]) -> None:
+        """Search the positions after those in ``begin``: the one feasible piece that ends at each."""
+        longest, scores, feasible = self.model.longest, self.model.scores, self.feasible
+        pieces = self.pairs
+        for i in range(len(begin), len(text) + 1):
+            found = i - 1
+            for j in range(i - longest if i > longest else 0, i):
+                piece = text[j:i]
+                if piece in scores:
+                    left = text[begin[j] : j]
+                    known = pieces.get(left)
+                    fits = None if known is None else known.get(piece)
+                    if fits is None:
+                        fits, pieces = feasible(left, piece), self.pairs
+                    if fits and (not left or feasible("", piece)):
+                        found = j
+                        break
+            begin.append(found)
+            best.append(0.0)
+
+    def _extend_scores(self, text: str, begin: list[int], best: list[float]) -> None:
+        """Search the positions after those in ``begin``: the piece with the largest sum of scores at each."""
+        model, scores = self.model, self.model.scores
+        for i in range(len(begin), len(text) + 1):
+            found, score = i - 1, -float("inf")
+            for j in range(max(0, i - model.longest), i):
+                piece = text[j:i]
+                if piece in scores and best[j] + scores[piece] > score:
+                    found, score = j, best[j] + scores[piece]
+            if text[i - 1] not in scores and best[i - 1] + model.unknown_score > score:
+                found, score = i - 1, best[i - 1] + model.unknown_score
+            begin.append(found)
+            best.append(score)
+
     def _meeting(self, begin: list[int], end: int) -> int:
         """The last boundary that the paths of all positions in the window share."""
         live = set(range(max(0, end - self.model.longest + 1), end + 1))
@@ -169,7 +190,7 @@ class Codec:
             if ids is None:
                 ids = old.get(c)
                 if ids is None:
-                    ids = [k for some in self.stream(c[a : a + self.CHUNK] for a in range(0, len(c), self.CHUNK)) for k in some]
+                    ids = tuple(k for some in self.stream(c[a : a + self.CHUNK] for a in range(0, len(c), self.CHUNK)) for k in some)
                 if len(c) <= self.CHUNK:
                     young[c] = ids
                     if len(young) > self.KEPT:
