@@ -163,10 +163,10 @@ def build_index(vectors: DataFrame) -> DataFrame:
 def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, key): for each of queries(qid, dim, vector) the k nearest keys of every shard."""
     shards = durable(index.select("dim", "shard"), "graph-shards")
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))).cast("int"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
     asked = asked.join(F.broadcast(shards), "dim") if shards.count() < 10_000 else asked.join(shards, "dim")
-    blocks = asked.select("dim", "shard", "block").distinct()
-    held = index.join(blocks, ["dim", "shard"])
+    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -202,10 +202,10 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector
     """
     v = F.col(vector).cast("array<double>")
     fine = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"), v.alias("_v"), is_query.alias("asks"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("vector"), is_query.alias("asks"))
     # x + 0.0 makes the two zeros one
-    rows = rows.where(F.col("id").isNotNull() & F.col("_v").isNotNull() & fine).drop("_v")
-    rows = rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast("float"))).withColumn("dim", F.size("vector"))
+    rows = rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & fine)
+    rows = rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0))).withColumn("dim", F.size("vector"))
     rows = durable(rows.withColumn("key", F.xxhash64("vector")), "graph-rows")
     # of one vector at most k + 1 rows can be among the k (the query's own is left out)
     place = Window.partitionBy("key").orderBy("id")
@@ -218,7 +218,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector
     unique = vectors.join(asked.select("key").distinct(), "key", "left_semi").select(F.col("key").alias("qid"), "dim", "vector")
     found = durable(search(build_index(vectors), durable(unique, "graph-queries"), k + 1), "graph-found")
     pair = found.join(vectors.select("key", "vector"), "key").join(vectors.select(F.col("key").alias("qid"), F.col("vector").alias("q")), "qid")
-    product = F.aggregate(F.zip_with("vector", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    product = F.aggregate(F.zip_with("vector", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     scored = pair.select("qid", "key", product.alias("score"))
     # keys beyond the k + 1 best of a query cannot be among its k
     best = Window.partitionBy("qid").orderBy(F.desc("score"))
