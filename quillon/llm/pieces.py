@@ -32,7 +32,7 @@ class Model:
     """What encoding needs of a model file. Models with a normalisation table of their own are refused."""
 
     def __init__(self, pieces: list[tuple[str, float, int]], kind: int = MERGES, dummy_prefix: bool = True, squeeze: bool = False, byte_fallback: bool = True):
-        self.pieces, self.kind, self.dummy_prefix, self.squeeze = pieces, kind, dummy_prefix, squeeze
+        self.pieces, self.kind, self.dummy_prefix, self.squeeze, self.byte_fallback = pieces, kind, dummy_prefix, squeeze, byte_fallback
         self.ids = {p: k for k, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER)}
         self.scores = {p: s for p, s, t in pieces if t in (NORMAL, USER)}
         self.bytes = {int(p[3:5], 16): k for k, (p, _, t) in enumerate(pieces) if t == BYTE} if byte_fallback else {}
@@ -40,6 +40,10 @@ class Model:
         self.longest = max(map(len, self.ids), default=1)
         self.unknown_score = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
 
+    def plain(self) -> tuple:
+        """Arguments that make this model again; broadcasts carry plain values only."""
+        return self.pieces, self.kind, self.dummy_prefix, self.squeeze, self.byte_fallback
+
     @classmethod
     def load(cls, path: str) -> Model:
         from sentencepiece import sentencepiece_model_pb2
@@ -215,11 +219,11 @@ def encode(df: DataFrame, model_path: str = MODEL, text: str = "text", ids: str
     repeated rows get the same ones; an empty table gives no rows. A column named like ``ids`` is replaced.
     The model is read by the driver and sent to the workers."""
     df = df.drop(ids)
-    sent = df.sparkSession.sparkContext.broadcast(Model.load(model_path))
+    sent = df.sparkSession.sparkContext.broadcast(Model.load(model_path).plain())
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        codec = Codec(sent.value)
+        codec = Codec(Model(*sent.value))
         for batch in batches:
             texts = batch.column(text).to_pylist()
             for at in range(0, len(texts), 256):
@@ -233,11 +237,11 @@ def encode(df: DataFrame, model_path: str = MODEL, text: str = "text", ids: str
 def decode(df: DataFrame, model_path: str = MODEL, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """All columns of ``df`` with the text of the ids; null ids give an empty text."""
     df = df.drop(text)
-    sent = df.sparkSession.sparkContext.broadcast(Model.load(model_path))
+    sent = df.sparkSession.sparkContext.broadcast(Model.load(model_path).plain())
     schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches):
-        codec = Codec(sent.value)
+        codec = Codec(Model(*sent.value))
         for batch in batches:
             found = [codec.decode(x or ()) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=schema.names)
@@ -249,11 +253,11 @@ def summary(df: DataFrame, model_path: str = MODEL, text: str = "text") -> DataF
     """The other columns of ``df`` with n_ids, ids_crc32 (of the ids as 32-bit little-endian numbers)
     and round_trip: whether decoding the ids gives the text again (null: the empty text)."""
     names = [c for c in df.columns if c not in (text, "n_ids", "ids_crc32", "round_trip")]
-    sent = df.sparkSession.sparkContext.broadcast(Model.load(model_path))
+    sent = df.sparkSession.sparkContext.broadcast(Model.load(model_path).plain())
     schema = T.StructType([*df.select(*names).schema.fields, T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())])
 
     def run(batches):
-        codec = Codec(sent.value)
+        codec = Codec(Model(*sent.value))
         for batch in batches:
             rows = []
             for t in batch.column(text).to_pylist():

@@ -1,8 +1,8 @@
 """Queries and SQL of this subpackage."""
 
-from quillon.llm import q_graph_search, q_jaccard, q_mixing, q_pieces, q_pii, q_quality, q_revisits, q_sharding, q_toxicity
+from quillon.llm import q_graph_search, q_jaccard, q_lm, q_mixing, q_pieces, q_pii, q_quality, q_revisits, q_sharding, q_toxicity
 
-_PARTS = [q_pieces, q_graph_search, q_jaccard, q_mixing, q_pii, q_sharding, q_quality, q_revisits, q_toxicity]
+_PARTS = [q_lm, q_pieces, q_graph_search, q_jaccard, q_lm, q_mixing, q_pii, q_sharding, q_quality, q_revisits, q_toxicity]
 
 
 def queries():
