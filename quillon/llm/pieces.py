@@ -12,14 +12,18 @@ one path survives at each position, and it is the model's own encoding.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quillon.llm.common import public
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -60,7 +64,7 @@ class Model:
 class Codec:
     """Encodes and decodes texts with one model; keeps what it has learned of it, within bounds."""
 
-    KEPT = 250_000
+    KEPT = 400_000
     CHUNK = 64
 
     def __init__(self, model: Model):
@@ -72,6 +76,8 @@ class Codec:
         self.shown = [p.replace(SPACE, " ") if t in (NORMAL, USER) else chr(int(p[3:5], 16)) if t == BYTE and int(p[3:5], 16) < 128 else "" for p, _, t in model.pieces]
         if model.pieces:
             self.shown[model.unknown] = " ⁇ "
+        # neighbours that stand together in some piece; between others paths always meet
+        self.joined = {p[k : k + 2] for p in model.ids for k in range(len(p) - 1)}
         self.high = {k: v for v, k in model.bytes.items() if v >= 128}
 
     def normalised(self, text: str) -> str:
@@ -187,21 +193,30 @@ class Codec:
         """Ids of a whole text; null and empty texts have none."""
         text = self.normalised(text or "")
         chunks = self.split.findall(text) if self.split else [text] * bool(text)
-        out: list[int] = []
-        young, old = self.young, self.old
-        for c in chunks:
-            ids = young.get(c)
-            if ids is None:
-                ids = old.get(c)
-                if ids is None:
-                    ids = tuple(k for some in self.stream(c[a : a + self.CHUNK] for a in range(0, len(c), self.CHUNK)) for k in some)
-                if len(c) <= self.CHUNK:
-                    young[c] = ids
-                    if len(young) > self.KEPT:
-                        self.old, self.young = young, {}
-                        young, old = self.young, self.old
-            out += ids
-        return out
+        found = list(map(self.young.get, chunks))
+        if None in found:
+            found = [self.learned(c) if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
+        return list(chain.from_iterable(found))
+
+    def learned(self, chunk: str) -> tuple[int, ...]:
+        """Ids of a chunk that the younger half of the cache lacks."""
+        ids = self.young.get(chunk) or self.old.get(chunk)
+        if ids is None:
+            joined = self.joined
+            cuts = [k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in joined]
+            if cuts:
+                ids = tuple(chain.from_iterable(self.young.get(p) or self.learned(p) for p in (chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True))))
+            elif len(chunk) <= self.CHUNK:
+                begin: list[int] = [0]
+                (self._extend_scores if self.model.kind == UNIGRAM else self._extend_merges)(chunk, begin, [0.0])
+                ids = tuple(self._path(chunk, begin, len(chunk)))
+            else:
+                ids = tuple(k for some in self.stream(chunk[a : a + self.CHUNK] for a in range(0, len(chunk), self.CHUNK)) for k in some)
+        if len(chunk) <= self.CHUNK:
+            self.young[chunk] = ids
+            if len(self.young) > self.KEPT:
+                self.old, self.young = self.young, {}
+        return ids
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: pieces, and runs of bytes as UTF-8, without the space put before the text."""
@@ -214,16 +229,26 @@ class Codec:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
+def _codec(plain: tuple) -> Codec:
+    """The worker's codec for a model: what it has learned serves the tasks that follow in the process."""
+    kept = sys.__dict__.setdefault("_quillon_codecs", {})
+    key = hash(tuple(plain[0][::97])), len(plain[0]), plain[1:]
+    if key not in kept:
+        kept.clear()
+        kept[key] = Codec(Model(*plain))
+    return kept[key]
+
+
 def encode(df: DataFrame, model_path: str = MODEL, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns of ``df`` with the ids of the text. Null and empty texts get no ids (an empty list);
     repeated rows get the same ones; an empty table gives no rows. A column named like ``ids`` is replaced.
     The model is read by the driver and sent to the workers."""
-    df = df.drop(ids)
+    df = public(df, ids)
     sent = df.sparkSession.sparkContext.broadcast(Model.load(model_path).plain())
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        codec = Codec(Model(*sent.value))
+        codec = _codec(sent.value)
         for batch in batches:
             texts = batch.column(text).to_pylist()
             for at in range(0, len(texts), 256):
@@ -236,12 +261,12 @@ def encode(df: DataFrame, model_path: str = MODEL, text: str = "text", ids: str
 
 def decode(df: DataFrame, model_path: str = MODEL, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """All columns of ``df`` with the text of the ids; null ids give an empty text."""
-    df = df.drop(text)
+    df = public(df, text)
     sent = df.sparkSession.sparkContext.broadcast(Model.load(model_path).plain())
     schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches):
-        codec = Codec(Model(*sent.value))
+        codec = _codec(sent.value)
         for batch in batches:
             found = [codec.decode(x or ()) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=schema.names)
@@ -252,12 +277,13 @@ def decode(df: DataFrame, model_path: str = MODEL, ids: str = "ids", text: str =
 def summary(df: DataFrame, model_path: str = MODEL, text: str = "text") -> DataFrame:
     """The other columns of ``df`` with n_ids, ids_crc32 (of the ids as 32-bit little-endian numbers)
     and round_trip: whether decoding the ids gives the text again (null: the empty text)."""
+    df = public(df)
     names = [c for c in df.columns if c not in (text, "n_ids", "ids_crc32", "round_trip")]
     sent = df.sparkSession.sparkContext.broadcast(Model.load(model_path).plain())
     schema = T.StructType([*df.select(*names).schema.fields, T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())])
 
     def run(batches):
-        codec = Codec(Model(*sent.value))
+        codec = _codec(sent.value)
         for batch in batches:
             rows = []
             for t in batch.column(text).to_pylist():
