@@ -31,6 +31,13 @@ def scratch(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def public(df: DataFrame, *replaced: str) -> DataFrame:
+    """``df`` without the columns an operator adds, and without those that begin with an underscore:
+    such names are the operators' own."""
+    own = {c.lower() for c in replaced}
+    return df.select(*[f"`{c}`" for c in df.columns if not c.startswith("_") and c.lower() not in own])
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession

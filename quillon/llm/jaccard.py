@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import components, durable, join_small
+from quillon.llm.common import components, durable, join_small, public
 
 SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
@@ -323,6 +323,7 @@ def join(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame
 
 def one_of_each(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``df`` with one row of each class, that of the least id; rows without words all stay."""
+    df = public(df)
     rows, sets = classes(df, text, id_col)
     full = durable(join_small(rows, sets, ["_digest"]).where("_digest IS NOT NULL"), "jaccard-rows")
     # one text of the class under its least id; several texts can bear that id

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import durable, join_small
+from quillon.llm.common import durable, join_small, public
 
 #: A larger mean is drawn as a sum of equal means of at most this (a sum of Poisson draws is Poisson).
 MAX_MEAN = 32
@@ -76,7 +76,7 @@ def mix(df: DataFrame, size: Column, source: str = "source", key: str = "doc_id"
     their count and places. A source with no units or weight gives no rows, and neither does a
     document whose count is 0. An empty table gives no rows. Columns copy and mix_key are replaced.
     """
-    df = df.drop("copy", "mix_key")
+    df = public(df, "copy", "mix_key")
     drawn = join_small(df.withColumn("_source", _source(source)), rates(df, size, source, weights, total), ["_source"])
     # the array of one hash binds it once for all comparisons
     draw = lambda i: F.get(F.transform(F.array(uniform(F.lit(seed), i, F.col(key))), lambda u: F.size(F.filter("_cdf", lambda c: c < u))), 0)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import durable, join_small
+from quillon.llm.common import durable, join_small, public
 
 #: Bits that one round of probes adds to a boundary: 1024 probes in each open interval.
 ROUND_BITS = 9
@@ -126,7 +126,7 @@ def shard_by_bytes(df: DataFrame, shards: int = 8, text: str = "text", id_col: s
     comes first is open, and they share a shard. Null text counts one byte, null id is a key of its own.
     An empty table gives no rows. Columns named like the added ones are replaced.
     """
-    df = df.drop("_size", "_k1", "_k2", "shard", "slot")
+    df = public(df, "shard", "slot")
     rows = with_key(df, text, id_col)
     keys = durable(rows.select("_k1", "_k2", "_size"), "shard-keys")
     bounds = splitters(keys, shards)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import durable
+from quillon.llm.common import durable, public
 
 #: The model is fitted on at most so many labelled rows, those of the smallest hash of their id.
 TRAIN_ROWS = 20_000
@@ -300,7 +300,7 @@ def score(docs: DataFrame, lexicon: dict[str, float], weights: list[float], text
     """All columns of ``docs`` but the text, with score and predicted. Null and empty texts score as
     texts without a match. Repeated rows score alike; an empty table gives no rows. Columns named
     like the added ones are replaced."""
-    docs = docs.drop("score", "predicted")
+    docs = public(docs, "score", "predicted")
     names = [c for c in docs.columns if c != text]
     sent = docs.sparkSession.sparkContext.broadcast((lexicon, weights))
     schema = docs.select(*names).schema.add("score", "double").add("predicted", "integer")
