@@ -1,9 +1,11 @@
 import json
 import struct
+import threading
+from urllib.request import urlopen
 
 import pytest
 
-from quillon import cli
+from quillon import cli, http
 from quillon.service import Service
 from quillon.sources import records, snapshots, walk
 from quillon.sources.catalog import normalise
@@ -108,3 +110,15 @@ def test_walk_service_and_cli(spark, tmp_path, capsys):
     assert out("dupes", str(data))[1]["wasted_bytes"] == 2000
     assert out("stats")[1]["dirs"] == 2 and out("search", "bogus:x")[0] == 1
     assert out("index", str(data))[1]["files"] == 3
+
+
+def test_http(spark, tmp_path):
+    db = str(tmp_path / "db")
+    snapshots.save(normalise(spark.createDataFrame([(0, r"D:\x.txt", 4), (1, r"D:\y.md", 5)], "id long, path string, size long")), db)
+    s = http.server(Service(spark, db))
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    get = lambda t: json.loads(urlopen(f"http://127.0.0.1:{s.server_port}{t}").read())
+    assert get("/api/search?q=ext%3Atxt")["total"] == 1 and get("/api/du?path=D%3A%5C&allocated=true")["total_bytes"] == 9
+    assert get("/api/stats")["files"] == 2 and get("/api/health")["ok"] and not get("/api/search?q=a&desc=maybe")["ok"]
+    assert http.answer(None, "GET", "/nothing")[0] == 404
+    s.shutdown()
