@@ -28,10 +28,10 @@ from quillon.llm.common import durable, public
 HEAD = 65_536
 #: Classes and words in each: the softmax has CLASSES * SLOTS outputs.
 CLASSES, SLOTS = 64, 64
-EMBED, HIDDEN = 16, 24
-#: Training: rounds of averaging, one of SHARE documents each, cut into segments of so many tokens
+EMBED, HIDDEN = 16, 32
+#: Training: rounds of averaging, each document in one of them, cut into segments of so many tokens
 #: (a window sees no further back); lanes, window, step size, clipping.
-ROUNDS, SHARE, SEGMENT = 4, 20, 512
+ROUNDS, SEGMENT = 4, 512
 LANES, WINDOW, RATE, CLIP = 192, 16, 0.02, 5.0
 SCORE_LANES, SCORE_WINDOW = 256, 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -372,17 +372,18 @@ def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
     return v.with_shapes(totals, singles)
 
 
-def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, share: int = SHARE) -> dict:
+def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict:
     """Weights after ``rounds`` of local training and averaging over ``docs`` (text).
 
-    Round k uses the documents whose hash is k modulo ``share``: the work grows with the corpus.
+    Every document takes part in one round, by the hash of its row's number, so that copies of a
+    text spread over the rounds.
     Each task sends one row of weights; these are averaged by about the square root of as many
     tasks, and only those averages reach the driver.
     """
     spark = docs.sparkSession
     p = initial(v.freq)
-    turn = F.pmod(F.xxhash64("text"), F.lit(share)).cast("int")
-    chosen = durable(docs.select("text", turn.alias("turn")).where(F.col("turn") < rounds), "lm-train")
+    turn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(rounds)).cast("int")
+    chosen = durable(docs.select("text", turn.alias("turn")), "lm-train")
     for k in range(rounds):
         sent = spark.sparkContext.broadcast((vars(v), p))
 

@@ -248,6 +248,16 @@ def test_language_model(spark, nothing, docs):
     assert lm.score(nothing, F.lit(True)).count() == 0 and lm.score(docs, F.lit(False)).count() == docs.count()
 
 
+def test_every_document_trains_and_copies_spread(spark, monkeypatch):
+    rows = [("one text that stands here many times",)] * 60 + [(f"word{k} and word{k + 1}",) for k in range(60)]
+    df, written, write = spark.createDataFrame(rows, "text string"), {}, lm.durable
+    monkeypatch.setattr(lm, "durable", lambda x, name: written.setdefault(name, write(x, name)))
+    lm.train(df, lm.vocabulary(lm.count_words(df), len(rows)))
+    got = written["lm-train"].collect()
+    assert sorted((r.text,) for r in got) == sorted(rows)
+    assert {r.turn for r in got if r.text == rows[0][0]} == set(range(lm.ROUNDS)) == {r.turn for r in got}
+
+
 def test_windows_carry_state_and_gradients_are_right():
     r = np.random.default_rng(1)
     v = lm.Vocabulary([("a", 50), ("b", 30), ("c", 5)], 10, 95, 4).with_shapes(np.zeros(lm.N_SHAPES), np.zeros(lm.N_SHAPES))
