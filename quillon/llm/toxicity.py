@@ -230,7 +230,10 @@ def _spread(train: DataFrame, wanted: frozenset) -> DataFrame:
 
 
 def learn_lexicon(train: DataFrame) -> dict[str, float]:
-    """Entries with log odds ratios from ``train`` (text, toxic), which is bounded by TRAIN_ROWS."""
+    """Entries with log odds ratios from ``train`` (text, toxic), which is bounded by TRAIN_ROWS.
+
+    Words stay beside their parts: a part takes inflections, but only the word takes misspellings.
+    """
     bad, good = train.where("toxic = 1"), train.where("toxic = 0")
     p, q = bad.count(), good.count()
     if not p:
@@ -247,6 +250,8 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
         core = f.strip("*")
         for e in chosen:
             c = e.strip("*")
+            if "*" in e and "*" not in f:
+                continue  # a whole word has edits, which a part has not
             if e[0] != "*" and e[-1] == "*" and core.startswith(c) or e[0] == "*" and core.endswith(c) and f[-1] != "*":
                 break  # an entry that matches it is there
             if (c.startswith(core) or c.endswith(core)) and pos[f] < 1.2 * pos[e]:

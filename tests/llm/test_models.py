@@ -223,6 +223,20 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.train_model(df, lab.where("false"))[0] == {}
 
 
+def test_misspellings_of_a_word_whose_part_was_learned_first(spark):
+    r, rows = random.Random(8), []
+    for k in range(600):
+        words = [f"w{r.randrange(300)}" for _ in range(40)]
+        if k % 3 == 0:
+            words[r.randrange(40)] = "idiotic" if k % 18 == 0 else "idiot"
+        rows.append((" ".join(words), int(k % 3 == 0)))
+    entries = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    lexicon = toxicity.Lexicon(entries)
+    assert any("*" in e and lexicon.match("idiotic") for e in entries)
+    for word in ("idjot", "idot", "iidiot", "idiotik", "idjotic"):
+        assert lexicon.match(word), (word, entries)
+
+
 @needs_tables
 def test_toxicity_held_out(spark):
     sf = TABLES.replace("0.001", "0.01")
