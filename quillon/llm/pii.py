@@ -3,8 +3,8 @@
 Base spans come from four patterns. The information-theoretic part treats each matched value as
 a protected entity: over the whole corpus it counts how often terms stand near the entity and how
 often at all. A term whose pointwise mutual information with an entity is nearly all of the
-entity's own information content tells who or what was masked, and is generalised or removed too, in
-the documents that mention a protected entity.
+entity's own information content tells who or what was masked, and is generalised or removed too,
+wherever it stands.
 """
 
 from __future__ import annotations
@@ -180,8 +180,8 @@ def _document_counts(only: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _per_text(df: DataFrame, text: str, terms: DataFrame, schema: T.StructType, row: Callable) -> DataFrame:
-    """Map every row by ``row(text, spans, terms)``. Terms are marked where an entity stands in the
-    text; a text that protects nothing is left alone.
+    """Map every row by ``row(text, spans, terms)``. Terms are marked in every text: they disclose
+    their entity whether it is named there or not.
 
     Few terms go to the workers. Too many for that: words are joined with them by the text's
     hash, and each row gets the places of its terms from that join.
@@ -213,9 +213,7 @@ def _per_text(df: DataFrame, text: str, terms: DataFrame, schema: T.StructType,
             given = batch.column("_hits").to_pylist() if sent is None else [None] * len(texts)
             for t, hits in zip(texts, given, strict=True):
                 spans = base_spans(t)
-                if not spans:
-                    extra = []
-                elif sent is None:
+                if sent is None:
                     extra = [(h["a"], h["b"], h["generalised"]) for h in hits or []]
                 elif sent.value and not sent.value.keys().isdisjoint(_vocabulary(t)):
                     extra = [(a, b, sent.value[w]) for w, a, b in terms_of(t) if w in sent.value]

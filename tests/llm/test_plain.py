@@ -137,6 +137,17 @@ def test_disclosing_terms_and_the_way_without_broadcast(spark, monkeypatch):
     assert {r.doc_id: r.text for r in pii.sanitise(df).collect()} == some
 
 
+def test_disclosing_terms_stand_without_their_entity(spark, monkeypatch):
+    rows = [(k, f"number {k} says Ragnhild uses jo@mail.example every day") for k in range(8)] + [(k, f"number {k} says nothing every day") for k in range(10, 200)]
+    rows += [(300, "yesterday Ragnhild was here"), (301, "yesterday nobody was here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for _ in range(2):
+        out = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+        assert out[300] == "yesterday [TERM] was here" and out[301] == rows[-1][1]
+        assert {r.doc_id: r.spans for r in pii.find(df).collect()}[300] == "term:10:18"
+        monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
+
+
 RECORDS = "record_id long, kind string, url string, at long, headers array<struct<name:string,value:string>>, digest string, payload string"
 
 
