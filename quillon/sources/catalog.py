@@ -59,12 +59,14 @@ def of_documents(spark: SparkSession, sf_dir: str, directories: bool = True) ->
     """A catalogue view of the table of documents: copies of a text are hard links of one file."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     d, n = F.col("doc_id"), F.col("n_chars")
-    links = docs.groupBy(F.sha2("text", 256).alias("_text")).agg((F.min("doc_id") + 1).alias("frn"))
+    # documents without text are one group, as nulls are in SQL; no hash is empty
+    docs = docs.withColumn("_text", F.coalesce(F.sha2("text", 256), F.lit(""))).drop("text")
+    links = docs.groupBy("_text").agg((F.min("doc_id") + 1).alias("frn"))
     ext = F.element_at(F.array(*map(F.lit, ["txt", "md", "rs", "log", "TXT"])), (d % 5 + 1).cast("int"))
     path = F.concat(F.lit("D:\\corpus\\"), "lang", F.lit("\\"), "source", F.lit("\\Doc"), d.cast("string"), F.lit("."), ext)
     flags = sum([F.when(d % p == 0, bit).otherwise(0) for p, bit in ((11, 2), (13, 4), (17, 8))], F.when(d % 7 == 0, 1).otherwise(0))
     mtime = F.lit(1_700_000_000) + (d * 7919) % 2_592_000
-    files = docs.withColumn("_text", F.sha2("text", 256)).join(links, "_text").select(
+    files = docs.join(links, "_text").select(
         d.alias("id"), path.alias("path"), F.lit(False).alias("is_dir"), n.alias("size"),
         F.when(n <= 700, F.lit(0)).otherwise(F.floor((n + 4095) / 4096) * 4096).cast("long").alias("allocated"),
         mtime.alias("mtime"), (mtime - d % 86_400).alias("ctime"), flags.cast("int").alias("flags"), "frn",

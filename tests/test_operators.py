@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from quillon.functions import paths
 from quillon.operators import duplicates, overlay, stats, tree, usage
 from quillon.operators.query import QueryError
-from quillon.sources.catalog import normalise, numbered
+from quillon.sources.catalog import normalise, numbered, of_documents
 
 
 @pytest.fixture(scope="module")
@@ -53,6 +53,14 @@ def test_tree(spark):
     assert {x.frn for x in tree.orphans(r, built).collect()} == {99, 21, 22, 30}
 
 
+def test_documents_without_text_stay(spark, tmp_path):
+    rows = [(1, "a", 1), (2, None, None), (3, "a", 1), (4, None, None), (5, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").selectExpr("*", "'en' AS lang", "'src1' AS source")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.id: r.frn for r in of_documents(spark, str(tmp_path), directories=False).collect()}
+    assert got == {1: 2, 2: 3, 3: 2, 4: 3, 5: 6}
+
+
 def test_overlay(spark, small):
     removed = spark.createDataFrame([(r"d:\proj2\X.TXT",), (r"D:\proj\alias.rs",)], "path string")
     delta = spark.createDataFrame([(100, r"D:\proj\alias.rs", 7), (101, r"D:\new.txt", 3)], "id long, path string, size long")
