@@ -156,11 +156,10 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j:
     return total[i, j].astype(np.int64)
 
 
-def links_in(sig: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, threshold: Fraction = THRESHOLD):
-    """For one pair of blocks (side 0 and 1; all 0: one block with itself): the weight linked to
+def links_in(sig: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, threshold: Fraction = THRESHOLD, same: bool = True):
+    """For one pair of blocks (side 0 and 1; ``same``: one block with itself, all 0): the weight linked to
     each text, and for each text the least text of its group (a spanning forest)."""
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    same = not len(b)
     b = a if same else b
     links, root = np.zeros(len(sig), np.int64), np.arange(len(sig))
     if not len(a) or not len(b):
@@ -268,7 +267,8 @@ def _blocks(members: DataFrame) -> DataFrame:
 def _count_links(pdf: pd.DataFrame) -> pd.DataFrame:
     sig = np.frombuffer(b"".join(pdf["_sig"]), np.uint32).reshape(-1, HASHES)
     sets = [np.frombuffer(x, np.uint64) for x in pdf["_set"]]
-    links, root = links_in(sig, sets, pdf["w"].to_numpy(), pdf["side"].to_numpy())
+    same = (pdf["g"].iloc[0], pdf["h"].iloc[0]) == (pdf["g2"].iloc[0], pdf["h2"].iloc[0])
+    links, root = links_in(sig, sets, pdf["w"].to_numpy(), pdf["side"].to_numpy(), same=same)
     some = links > 0
     ids = pdf["_digest"].to_numpy()
     return pd.DataFrame({"id": ids[some], "links": links[some], "to": ids[root[some]]})
@@ -293,9 +293,13 @@ def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> tuple[
     edges = buckets.join(least, "k").select(F.col("_digest").alias("a"), F.col("m").alias("b"))
     coarse = durable(components(edges, "jaccard-coarse"), "jaccard-coarse-roots")
     members = sets.join(coarse, sets["_digest"] == coarse["id"]).drop("id")
-    key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
-    members = durable(members.withColumn("_key", key(F.col("_id"))).drop("_id"), "jaccard-wanted")
-    with_text = join_small(rows.withColumn("_key", key(F.col("_id"))), members, ["_key"], "inner")
+    members = durable(members, "jaccard-wanted")
+    names = ["_text", "_digest", "root", "_n", "w", "_sig"]
+    with_text = join_small(rows.where("_id IS NOT NULL"), members.where("_id IS NOT NULL"), ["_id"], "inner").select(*names)
+    unnamed = members.where("_id IS NULL")
+    if unnamed.limit(1).count():  # sets that stand under no id: by the digest, as all of these would meet all rows without an id
+        marked = with_digest(rows.where("_id IS NULL").select("_text"), "_text")
+        with_text = with_text.union(join_small(marked, unnamed, ["_digest"], "inner").dropDuplicates(["_digest"]).select(*names))
     full = durable(_with_sets(with_text), "jaccard-texts").dropDuplicates(["_digest"])
     counted = _blocks(durable(full, "jaccard-full")).groupBy("root", "g", "h", "g2", "h2").applyInPandas(_count_links, "id binary, links long, to binary")
     counted = durable(counted, "jaccard-links")

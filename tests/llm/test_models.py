@@ -110,6 +110,22 @@ def test_similarity_classes(spark, block, monkeypatch):
     assert got == sorted(map(str, brute_classes(rows)))
 
 
+def test_empty_blocks_count_no_links_again(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 100)
+    rows = near_rows()
+    got = sorted(map(str, (tuple(r) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    assert got == sorted(map(str, brute_classes(rows)))
+
+
+def test_rows_without_id_meet_their_own_sets_only(spark, monkeypatch):
+    rows = [(k if k > 1030 else None, t) for k, t in near_rows(40)]
+    met, read = [], jaccard._with_sets
+    monkeypatch.setattr(jaccard, "_with_sets", lambda x: met.append(x.count()) or read(x))
+    got = sorted(map(str, (tuple(r) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    assert got == sorted(map(str, brute_classes(rows)))
+    assert met[0] <= len(rows)
+
+
 def test_one_of_each(spark, docs, nothing):
     kept = jaccard.one_of_each(docs).collect()
     rows = documents()
