@@ -8,6 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +27,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of whole rows whose ``column`` has about ``limit`` bytes, so that Python
+    objects exist for a few megabytes of texts at a time, however many rows a batch has."""
+    for batch in batches:
+        values = batch.column(column)
+        if values.nbytes <= limit:
+            yield batch
+            continue
+        lists = pa.types.is_list(values.type)
+        lengths = pc.list_value_length(values) if lists else pc.binary_length(values)
+        ends = np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64) * (4 if lists else 1)
+        at = 0
+        while at < len(values):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def scratch(spark: SparkSession) -> str:
-    """The shared folder; one of our own only where the session names none (tests)."""
+    """The shared folder; one of our own only in local sessions that name none (tests, bench)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="spark-quillon-")
         spark.conf.set("spark.checkpoint.dir", base)

@@ -14,7 +14,7 @@ import corpus_pipeline
 from quillon.llm import graph_search, jaccard, lm, pieces, q_lm, q_toxicity, registry, toxicity
 from quillon.llm.common import components
 
-from .conftest import documents
+from .conftest import LONG, documents
 
 TABLES = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(TABLES), reason="needs the tables")
@@ -26,16 +26,27 @@ def test_pieces_equal_the_library():
     import sentencepiece
 
     library, codec, r = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Codec(pieces.Model.load(pieces.MODEL)), random.Random(1)
-    for k in range(3000):
-        t = "".join(r.choice(["the", "a", " ", "  ", "é", "報", "ing", "\n", "\t", "1", "ℵ", "▁", "😀", "er", ".", " in", "x"]) for _ in range(r.randrange(30)))
-        ids = codec.encode(t)
-        assert ids == library.encode(t)
-        assert codec.decode(ids) == library.decode(ids) == t.replace("▁", " ")
-    long = "".join(r.choice("thinganderoflyes") for _ in range(5000))
-    assert codec.encode(long) == library.encode(long)
-    parts = [long[a : a + 37] for a in range(0, len(long), 37)]
-    got = list(codec.stream(iter(["▁", *parts])))
-    assert len(got) > 50 and [k for x in got for k in x] == library.encode(long)
+    texts = ["".join(r.choice(["the", "a", " ", "  ", "é", "報", "ing", "\n", "\t", "1", "ℵ", "▁", "😀", "er", ".", " in", "x", "aaaa", "=="]) for _ in range(r.randrange(30))) for _ in range(3000)]
+    texts += ["".join(r.choice("thinganderoflyes") for _ in range(5000)), "a" * 3000, "=" * 700 + "x" + "=" * 700, "ab " * 900 + "e" * 2500, LONG]
+    for t, ids in zip(texts, codec.encode_all(texts), strict=True):
+        assert ids.tolist() == library.encode(t)
+        assert codec.decode(ids.tolist()) == library.decode(ids.tolist()) == t.replace("▁", " ")
+
+
+@needs_model
+def test_pieces_are_committed_as_paths_meet(monkeypatch):
+    import sentencepiece
+
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Codec(pieces.Model.load(pieces.MODEL))
+    held, committed = [], codec._committed
+    monkeypatch.setattr(codec, "_committed", lambda rows, begin, start, end: held.append(len(rows)) or committed(rows, begin, start, end))
+    text = " ".join(t for _, t, *_ in documents() if t)
+    ids = codec.encode(text)
+    assert ids == library.encode(text) and codec.commits > len(text) / codec.BLOCK / 2
+    few = max(held)
+    assert codec.encode(text * 4) == library.encode(text * 4) and max(held) == few <= 4 * codec.BLOCK  # however long the text
+    monkeypatch.setattr(pieces.Codec, "KEPT", 500)  # steps are forgotten in between
+    assert pieces.Codec(codec.model).encode(text[:30_000]) == library.encode(text[:30_000])
 
 
 def test_unigram_scores_are_best():
