@@ -16,13 +16,13 @@ def _side(a: str, b: str) -> str:
 
 
 def _sql() -> str:
-    space, k = r"[^\x20\x09-\x0D]", len(Q.CLASSES) + 2
+    space, k = r"[^\x20\x09-\x0D]", Q.N_CLASSES
     counts = [f"CAST(length(t) - length(regexp_replace(t, '[{c.replace(chr(39), chr(39) * 2)}]+', '', 'g')) AS BIGINT)" for c in Q.CLASSES.values()]
     cs = ", ".join(f"{c} AS c{i}" for i, c in enumerate(counts))
-    wide, rest = (f"c{k - i}" for i in (2, 1))
+    blank, rest = (f"c{k - i}" for i in (2, 1))
     few = " - ".join(f"c{i}" for i in range(k - 2))
-    others = f"strlen(t) - length(t) AS {wide}, length(t) - {few} AS {rest}"
-    size = "strlen(t)"
+    others = f"length(t) - wc AS {blank}, wc - {few} AS {rest}"
+    size = "length(t)"
     total = " + ".join(f"sum(c{i})" for i in range(k))
     shares = ", ".join(f"sum(c{i}) / ({total}) AS q{i}" for i in range(k))
     char_sum = " + ".join(
