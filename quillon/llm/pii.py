@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import BROADCAST_ROWS, durable, public
+from quillon.llm.common import BROADCAST_ROWS, durable, public, slices
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Words on either side of an entity that count as near it.
@@ -97,9 +97,30 @@ def _vocabulary(text: str) -> set[str]:
     return {w.strip(_EDGE) for w in set(_WORD.findall(text.lower()))}
 
 
+def outside(places: list[tuple], spans: list[tuple[int, int, int]]) -> list[tuple]:
+    """Those of ``places`` (name, start, end) that touch no span. Spans are joined to
+    disjoint ones first, so that a place looks at one of them only."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(spans, key=lambda x: x[1]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    if not starts:
+        return list(places)
+    kept = []
+    for w in places:
+        k = bisect.bisect_left(starts, w[2]) - 1
+        if k < 0 or ends[k] <= w[1]:
+            kept.append(w)
+    return kept
+
+
 def near(text: str, spans: list[tuple[int, int, int]]) -> dict[str, set[str]]:
     """entity -> the terms within WINDOW words of one of its mentions, protected text excluded."""
-    words = [w for w in terms_of(text) if not any(a < w[2] and w[1] < b for _, a, b in spans)]
+    words = outside(list(terms_of(text)), spans)
     starts = [w[1] for w in words]
     out: dict[str, set[str]] = {}
     for kind, a, b in spans:
@@ -122,7 +143,7 @@ def disclosing_terms(df: DataFrame, text: str = "text") -> DataFrame:
     total = df.count()
 
     def contexts(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             seen: Counter = Counter()
             for t in _texts(batch, "text"):
                 spans = base_spans(t)
@@ -164,7 +185,7 @@ def _document_counts(only: DataFrame, wanted: DataFrame) -> DataFrame:
     sent = None if few is None else only.sparkSession.sparkContext.broadcast(frozenset(r.term for r in few))
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             seen: Counter = Counter()
             for t in _texts(batch, "text"):
                 words = _vocabulary(t)
@@ -192,7 +213,7 @@ def _per_text(df: DataFrame, text: str, terms: DataFrame, schema: T.StructType,
         marked = df.withColumn("_mark", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
         def places(batches):
-            for batch in batches:
+            for batch in slices(batches, "t"):
                 rows = [(m, w, a, b) for m, t in zip(batch.column("_mark").to_pylist(), _texts(batch, "t"), strict=True) for w, a, b in terms_of(t)]
                 cols = zip(*rows, strict=True) if rows else ((),) * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)], names=["_mark", "term", "a", "b"])
@@ -208,18 +229,18 @@ def _per_text(df: DataFrame, text: str, terms: DataFrame, schema: T.StructType,
     replaced = text if text in kept else None
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, text):
             out, texts = [], _texts(batch, text)
             given = batch.column("_hits").to_pylist() if sent is None else [None] * len(texts)
             for t, hits in zip(texts, given, strict=True):
                 spans = base_spans(t)
                 if sent is None:
-                    extra = [(h["a"], h["b"], h["generalised"]) for h in hits or []]
+                    extra = [(h["generalised"], h["a"], h["b"]) for h in hits or []]
                 elif sent.value and not sent.value.keys().isdisjoint(_vocabulary(t)):
-                    extra = [(a, b, sent.value[w]) for w, a, b in terms_of(t) if w in sent.value]
+                    extra = [(sent.value[w], a, b) for w, a, b in terms_of(t) if w in sent.value]
                 else:
                     extra = []
-                extra = sorted(x for x in extra if not any(s < x[1] and x[0] < e for _, s, e in spans))
+                extra = sorted((a, b, name) for name, a, b in outside(extra, spans))
                 out.append(row(t, spans, extra))
             cols = dict(zip([replaced] * bool(replaced) + [n for n, _ in arrow], zip(*out, strict=True) if out else [()] * (len(arrow) + bool(replaced)), strict=True))
             arrays = [pa.array(cols[n], dict(arrow).get(n, pa.string())) if n in cols else batch.column(n) for n in schema.names]

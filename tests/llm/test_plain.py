@@ -137,6 +137,51 @@ def test_disclosing_terms_and_the_way_without_broadcast(spark, monkeypatch):
     assert {r.doc_id: r.text for r in pii.sanitise(df).collect()} == some
 
 
+def test_disclosing_terms_by_brute_force(spark):
+    import math
+    import random
+
+    r = random.Random(7)
+    names = ["anna", "bert", "carl", "dora"]
+    rows = []
+    for k in range(400):
+        words = [f"w{r.randrange(40)}x" for _ in range(30)]
+        if k % 3 == 0:
+            who = r.randrange(4)
+            i = r.randrange(29)
+            words[i : i + 2] = [f"{names[who]}@mail.example", names[who] if who < 3 or r.random() < 0.5 else r.choice(names)]
+        rows.append((k, " ".join(words)))
+    rows += rows[:30] + [(None, None), (7, "")]
+    texts, both, alone, entities, holds = [t or "" for _, t in rows], defaultdict(int), defaultdict(set), defaultdict(int), Counter()
+    for t in texts:
+        holds.update(set(t.split()))
+        words, spans = [(m[0], *m.span()) for m in WORD.finditer(t) if "@" not in m[0] and len(m[0]) >= 3], plain_spans(t)
+        for e in {t[a:b] for _, a, b in spans}:
+            entities[e] += 1
+            close = set()
+            for _, a, b in spans:
+                if t[a:b] == e:
+                    i = sum(w[1] < a for w in words)
+                    close |= {w[0] for w in words[max(0, i - pii.WINDOW) : i + pii.WINDOW]}
+            for w in close:
+                both[e, w] += 1
+                alone[e, w].add(t)
+    n = len(texts)
+    want = {w for (e, w), k in both.items() if len(alone[e, w]) >= pii.MIN_TEXTS and math.log(k * n / (entities[e] * holds[w])) >= pii.DISCLOSURE * math.log(n / entities[e])}
+    got = {x.term for x in pii.disclosing_terms(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and got
+
+
+def test_many_spans_in_one_text_take_time_in_proportion():
+    import time
+
+    text = " ".join(f"user{k}@mail{k}.example word{k}" for k in range(40_000))
+    began = time.process_time()
+    spans = pii.base_spans(text)
+    assert len(spans) == 40_000 and len(pii.near(text, spans)) == 40_000
+    assert time.process_time() - began < 20
+
+
 def test_disclosing_terms_stand_without_their_entity(spark, monkeypatch):
     rows = [(k, f"number {k} says Ragnhild uses jo@mail.example every day") for k in range(8)] + [(k, f"number {k} says nothing every day") for k in range(10, 200)]
     rows += [(300, "yesterday Ragnhild was here"), (301, "yesterday nobody was here")]
