@@ -1,8 +1,8 @@
 """Scoring by a gated recurrent language model, learned here.
 
 A word-level GRU with a class-factored softmax, trained by truncated backpropagation in numpy.
-Tasks train on their own documents from the same weights, and the weights are averaged, weighted
-by tokens, a few rounds long. For scoring, documents are laid end to end in lanes; the state goes on
+Documents are dealt to rounds and groups by hash; in a round, tasks train on their groups from the
+same weights, which are then averaged, weighted by tokens. For scoring, documents are laid end to end in lanes; the state goes on
 from window to window, so a document's likelihood is that of its whole text.
 
 The softmax covers the frequent words, the end of a text, and shapes: a word outside is emitted as
@@ -15,24 +15,27 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import durable, public
+from quillon.llm.common import durable, public, slices
 
 #: At most so many words' counts travel to the workers; the others' are joined.
 HEAD = 65_536
 #: Classes and words in each: the softmax has CLASSES * SLOTS outputs.
 CLASSES, SLOTS = 64, 64
 EMBED, HIDDEN = 16, 32
-#: Training: rounds of averaging, each document in one of them, cut into segments of so many tokens
-#: (a window sees no further back); lanes, window, step size, clipping.
-ROUNDS, SEGMENT = 4, 512
-LANES, WINDOW, RATE, CLIP = 192, 16, 0.02, 5.0
+#: Training: rounds of averaging, each document in one of them; tokens of a group, which one task trains on;
+#: lanes at most, window, updates of a group at least (if it has the tokens), step size, clipping.
+ROUNDS, GROUP_TOKENS = 4, 500_000
+LANES, WINDOW, LEAST_UPDATES, RATE, CLIP = 384, 16, 32, 0.02, 5.0
+#: Weights of so many groups are averaged together; that many rows reach the driver at most.
+FAN = 32
 SCORE_LANES, SCORE_WINDOW = 256, 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ENDS = {c: k + 1 for k, c in enumerate(b".,*#$%&!|")}
@@ -132,66 +135,52 @@ def run_window(p: dict, gates: np.ndarray, x: np.ndarray, fresh: np.ndarray, h:
     return out, h, cache
 
 
-def _log_softmax(v: np.ndarray) -> np.ndarray:
-    v = v - v.max(axis=1, keepdims=True)
-    return v - np.log(np.exp(v).sum(axis=1, keepdims=True))
-
-
-def _picked(v: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log softmax of rows of v at one place each; v is used up."""
-    v -= v.max(axis=1, keepdims=True)
-    out = v[np.arange(len(v)), at]
-    np.exp(v, out=v)
-    return out - np.log(v.sum(axis=1))
-
-
-def _targets(p: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Log probabilities of the targets alone, class by class."""
-    c, s = y // SLOTS, y % SLOTS
-    out = _picked(h @ p["wc"] + p["bc"], c).astype(np.float64)
-    order = np.argsort(c, kind="stable")
-    edges = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    h, s = h[order], s[order]
-    inner = np.empty(len(y))
-    for k in np.flatnonzero(np.diff(edges)):
-        part = slice(edges[k], edges[k + 1])
-        inner[part] = _picked(h[part] @ p["ww"][k] + p["bw"][k], s[part])
-    out[order] += inner
-    return out
+def _exponents(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(z less what keeps exponents finite, exp of it, row sums); z is used up."""
+    if z.size and z.max() > 60:
+        z -= z.max(axis=1, keepdims=True)
+    e = np.exp(z)
+    return z, e, e.sum(axis=1)
 
 
 def output(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
     """Natural log probabilities of targets y (places) given states h (N, HIDDEN).
 
     With ``grad`` the gradients of minus their mean are added to it, and the states' returned.
+    Rows are handled class by class.
     """
-    if grad is None:
-        return _targets(p, h, y), None
+    order = np.argsort(y, kind="stable")
+    back = np.empty_like(order)
+    back[order] = np.arange(len(y))
+    h, y = h[order], y[order]
     c, s = y // SLOTS, y % SLOTS
+    edges = np.searchsorted(c, np.arange(CLASSES + 1))
     rows = np.arange(len(y))
-    lc = _log_softmax(h @ p["wc"] + p["bc"])
-    out = lc[rows, c].astype(np.float64)
-    order = np.argsort(c, kind="stable")
-    edges = np.searchsorted(c[order], np.arange(CLASSES + 1))
     scale = np.float32(1 / max(1, len(y)))
-    d = np.exp(lc)
-    d[rows, c] -= 1
-    d *= scale
-    grad["wc"] += h.T @ d
-    grad["bc"] += d.sum(axis=0)
-    dh = d @ p["wc"].T
+
+    def layer(h, w, bias, target, rows):
+        z, e, total = _exponents(h @ w + bias)
+        logs = z[rows, target] - np.log(total)
+        if grad is not None:
+            e *= (scale / total)[:, None]
+            e[rows, target] -= scale
+        return logs, e
+
+    logs, e = layer(h, p["wc"], p["bc"], c, rows)
+    out, dh = logs.astype(np.float64), None
+    if grad is not None:
+        grad["wc"] += h.T @ e
+        grad["bc"] += e.sum(axis=0)
+        dh = e @ p["wc"].T
     for k in np.flatnonzero(np.diff(edges)):
-        i = order[edges[k] : edges[k + 1]]
-        lw = _log_softmax(h[i] @ p["ww"][k] + p["bw"][k])
-        at = np.arange(len(i))
-        out[i] += lw[at, s[i]]
-        d = np.exp(lw)
-        d[at, s[i]] -= 1
-        d *= scale
-        grad["ww"][k] += h[i].T @ d
-        grad["bw"][k] += d.sum(axis=0)
-        dh[i] += d @ p["ww"][k].T
-    return out, dh
+        part = slice(edges[k], edges[k + 1])
+        logs, e = layer(h[part], p["ww"][k], p["bw"][k], s[part], rows[: edges[k + 1] - edges[k]])
+        out[part] += logs
+        if grad is not None:
+            grad["ww"][k] += h[part].T @ e
+            grad["bw"][k] += e.sum(axis=0)
+            dh[part] += e @ p["ww"][k].T
+    return out[back], None if dh is None else dh[back]
 
 
 def train_window(p: dict, x: np.ndarray, y: np.ndarray, valid: np.ndarray, fresh: np.ndarray, h: np.ndarray):
@@ -202,11 +191,8 @@ def train_window(p: dict, x: np.ndarray, y: np.ndarray, valid: np.ndarray, fresh
     gates = p["emb"][seen] @ p["wx"] + p["b"]
     states, last, cache = run_window(p, gates, x, fresh, h, keep=True)
     grad = {k: np.zeros_like(v) for k, v in p.items()}
-    flat = valid.ravel()
-    _, dh_flat = output(p, states.reshape(-1, n)[flat], y.ravel()[flat], grad)
-    d_states = np.zeros((x.size, n), states.dtype)
-    d_states[flat] = dh_flat
-    d_states = d_states.reshape(*x.shape, n)
+    d_states = np.zeros(states.shape, states.dtype)
+    _, d_states[valid] = output(p, states[valid], y[valid], grad)
     d_given = np.empty((*x.shape, 3 * n), states.dtype)
     dh = np.zeros_like(last)
     for t in range(len(x) - 1, -1, -1):
@@ -238,68 +224,81 @@ def lanes_of(lengths: list[int], lanes: int) -> list[list[int]]:
     return out
 
 
-def windows(docs: list[np.ndarray], lanes: int, window: int, begin: int | None = None):
-    """(x, y, valid, fresh, doc) of each window: inputs, targets, and which document they belong to.
-
-    Each of ``docs`` is its places with the end last; its first input is ``begin`` (default: the end), from a zero state.
-    Lanes that have ended are left out: later windows have the first lanes of earlier ones.
+def laid_out(lanes: list[np.ndarray], starts: list[np.ndarray], begin: int, window: int):
+    """(x, y, valid, fresh) of each window over lanes of places, longest first: inputs, targets, and where a
+    document begins (from input ``begin`` and a zero state). Lanes that have ended are left out."""
+    loads = np.array([len(lane) for lane in lanes], np.int64)
+    shape = int(loads.max(initial=0)), len(lanes)
+    y, first = np.zeros(shape[::-1], np.int64), np.zeros(shape[::-1], bool)
+    for b, (lane, at) in enumerate(zip(lanes, starts, strict=True)):
+        y[b, : len(lane)] = lane
+        first[b, at] = True
+    x = np.concatenate([np.full((len(lanes), 1), begin, np.int64), y[:, :-1]], axis=1)
+    x[first] = begin
+    for low in range(0, shape[0], window):
+        n = int((loads > low).sum())
+        part = slice(low, low + window)
+        steps = np.arange(low, min(low + window, shape[0]))
+        yield x[:n, part].T, y[:n, part].T, steps[:, None] < loads[:n], first[:n, part].T
+
+
+def fit(p: dict, docs: list[np.ndarray], begin: int) -> dict:
+    """Adam over one pass through ``docs``, each its places with the end last; the weights are changed in place.
+
+    The documents are one stream, cut into lanes of equal length; the state goes on from window to
+    window and starts anew with each document and lane.
     """
-    dealt = lanes_of([len(d) for d in docs], lanes)
-    loads = [sum(len(docs[i]) for i in lane) for lane in dealt]
-    # longest lanes first: those that are not at their end are always the first ones
-    dealt = [dealt[k] for k in np.argsort([-n for n in loads], kind="stable")]
-    loads.sort(reverse=True)
-    steps = max(loads, default=0)
-    end = begin if begin is not None or not docs else docs[0][-1]
-    at = [[0, 0] for _ in dealt]  # per lane: which document, how far in it
-    for low in range(0, steps, window):
-        t = min(window, steps - low)
-        dealt = dealt[: sum(n > low for n in loads)]
-        y, doc = np.zeros((t, len(dealt)), np.int64), np.full((t, len(dealt)), -1, np.int64)
-        x, fresh = np.full((t, len(dealt)), end, np.int64), np.zeros((t, len(dealt)), bool)
-        for b, lane in enumerate(dealt):
-            k, row = at[b], 0
-            while row < t and k[0] < len(lane):
-                d = docs[lane[k[0]]]
-                n = min(t - row, len(d) - k[1])
-                y[row : row + n, b], doc[row : row + n, b] = d[k[1] : k[1] + n], lane[k[0]]
-                first = k[1] == 0
-                x[row + first : row + n, b] = d[k[1] - 1 + first : k[1] + n - 1]
-                fresh[row, b] = first
-                row, k[1] = row + n, k[1] + n
-                if k[1] == len(d):
-                    k[0], k[1] = k[0] + 1, 0
-        yield x, y, doc >= 0, fresh, doc
-
-
-def fit(p: dict, docs: list[np.ndarray], moments: dict | None = None, begin: int | None = None) -> tuple[dict, dict]:
-    """Adam over the windows of ``docs``; the weights are changed in place."""
-    m = moments or {"t": 0} | {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    h = None
-    for x, y, valid, fresh, _ in windows(docs, LANES, WINDOW, begin):
+    m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
+    if not docs:
+        return p
+    stream = np.concatenate(docs).astype(np.int64)
+    first = np.cumsum([0, *map(len, docs[:-1])])
+    lanes = min(LANES, max(1, len(stream) // (WINDOW * LEAST_UPDATES)))
+    edges = np.arange(lanes + 1) * len(stream) // lanes
+    parts = sorted(((stream[a:b], np.concatenate([[0], first[(first > a) & (first < b)] - a])) for a, b in pairwise(edges)), key=lambda x: -len(x[0]))
+    h, t = None, 0
+    for x, y, valid, fresh in laid_out([q[0] for q in parts], [q[1] for q in parts], begin, WINDOW):
         h = np.zeros((x.shape[1], HIDDEN), np.float32) if h is None else h[: x.shape[1]]
         grad, h = train_window(p, x, y, valid, fresh, h)
-        norm = math.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-        m["t"] += 1
-        rate = RATE * math.sqrt(1 - 0.99 ** m["t"]) / (1 - 0.9 ** m["t"]) * min(1.0, CLIP / (norm + 1e-9))
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
+        t += 1
+        rate = np.float32(RATE * math.sqrt(1 - 0.99**t) / (1 - 0.9**t) * min(1.0, CLIP / (norm + 1e-9)))
         for k, g in grad.items():
             a, b = m[k]
-            a += np.float32(0.1) * (g - a)
-            b += np.float32(0.01) * (g * g - b)
-            p[k] -= np.float32(rate) * a / (np.sqrt(b) + np.float32(1e-6))
-    return p, m
+            a *= np.float32(0.9)
+            a += np.float32(0.1) * g
+            b *= np.float32(0.99)
+            g *= g
+            g *= np.float32(0.01)
+            b += g
+            np.sqrt(b, out=g)
+            g += np.float32(1e-6)
+            np.divide(a, g, out=g)
+            g *= rate
+            p[k] -= g
+    return p
 
 
 def score_docs(p: dict, docs: list[np.ndarray]) -> np.ndarray:
-    """Log10 probability of each document's places."""
+    """Log10 probability of each document's places (the end last)."""
     out = np.zeros(len(docs))
+    if not docs:
+        return out
+    dealt = sorted((lane for lane in lanes_of([len(d) for d in docs], SCORE_LANES)), key=lambda lane: -sum(len(docs[i]) for i in lane))
+    lanes = [np.concatenate([docs[i] for i in lane]) for lane in dealt]
+    starts = [np.cumsum([0, *(len(docs[i]) for i in lane[:-1])]) for lane in dealt]
     gates, h = p["emb"] @ p["wx"] + p["b"], None
-    for x, y, valid, fresh, doc in windows(docs, SCORE_LANES, SCORE_WINDOW):
+    logs, at = [np.empty(len(lane)) for lane in lanes], 0
+    for x, y, valid, fresh in laid_out(lanes, starts, int(docs[0][-1]), SCORE_WINDOW):
         h = np.zeros((x.shape[1], HIDDEN), np.float32) if h is None else h[: x.shape[1]]
         states, h, _ = run_window(p, gates, x, fresh, h)
-        flat = valid.ravel()
-        logs, _ = output(p, states.reshape(-1, HIDDEN)[flat], y.ravel()[flat])
-        out += np.bincount(doc.ravel()[flat], logs, len(docs))
+        found = np.zeros(x.shape)
+        found[valid], _ = output(p, states[valid], y[valid])
+        for b, n in enumerate(valid.sum(axis=0)):
+            logs[b][at : at + n] = found[:n, b]
+        at += len(x)
+    for lane, values, begin in zip(dealt, logs, starts, strict=True):
+        out[lane] = np.add.reduceat(values, begin)
     return out / math.log(10)
 
 
@@ -330,7 +329,7 @@ def _places(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
 def count_words(train: DataFrame) -> DataFrame:
     """(word, n) over all texts of ``train``."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             seen: Counter = Counter()
             for t in batch.column("text").to_pylist():
                 seen.update(words_of(t))
@@ -372,55 +371,65 @@ def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
     return v.with_shapes(totals, singles)
 
 
+def _dealt(docs: DataFrame, v: Vocabulary, rounds: int, groups: int) -> DataFrame:
+    """(round, grp, turn, places) of every row of ``docs`` (key, text), durable: where a row goes depends on
+    its key, its text and which of the rows alike it is, not on how the table is partitioned."""
+    sent = docs.sparkSession.sparkContext.broadcast(vars(v))
+
+    def run(batches):
+        voc = Vocabulary.of(sent.value)
+        for batch in slices(batches, "text"):
+            places = [_places(words_of(t), voc)[1].astype(np.uint16).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(places, pa.binary())], names=["h", "places"])
+
+    placed = docs.select(F.xxhash64("key", "text").alias("h"), "text").mapInArrow(run, "h long, places binary")
+    alike = placed.groupBy("h", "places").agg(F.count("*").alias("n"))  # rows alike are counted, then dealt out again
+    each = alike.select("h", "places", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    seat = F.pmod(F.xxhash64("h", "copy"), F.lit(rounds * groups)).cast("int")
+    return durable(each.select((seat % rounds).alias("round"), (seat / rounds).cast("int").alias("grp"), F.xxhash64("copy", "h").alias("turn"), "places"), "lm-train")
+
+
+def _average(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row of weights for some, weighted by tokens, summed in the order of their groups."""
+    pdf = pdf.sort_values("grp")
+    n = int(pdf["tokens"].sum())
+    total = sum(np.frombuffer(raw, np.float32).astype(np.float64) * (k / n) for raw, k in zip(pdf["weights"], pdf["tokens"], strict=True))
+    return pd.DataFrame({"grp": [int(pdf["grp"].iloc[0]) // FAN], "tokens": [n], "weights": [total.astype(np.float32).tobytes()]})
+
+
 def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict:
-    """Weights after ``rounds`` of local training and averaging over ``docs`` (text).
+    """Weights after ``rounds`` of local training and averaging over ``docs`` (key, text).
 
-    Every document takes part in one round, by the hash of its row's number, so that copies of a
-    text spread over the rounds.
-    Each task sends one row of weights; these are averaged by about the square root of as many
-    tasks, and only those averages reach the driver.
+    Every row takes part in one round, in one group of about GROUP_TOKENS tokens, by hash. A task
+    trains on a group from the round's weights; these are averaged FAN at a time, so that the
+    driver gets at most FAN rows however many groups there are. Groups and their order do not depend
+    on partitions, so neither do the weights.
     """
     spark = docs.sparkSession
     p = initial(v.freq)
-    turn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(rounds)).cast("int")
-    chosen = durable(docs.select("text", turn.alias("turn")), "lm-train")
+    groups = max(1, -(-v.tokens // (rounds * GROUP_TOKENS)))
+    dealt, begin = _dealt(docs, v, rounds, groups), int(v.place[0])
     for k in range(rounds):
-        sent = spark.sparkContext.broadcast((vars(v), p))
-
-        def local(batches):
-            state, start = sent.value
-            voc = Vocabulary.of(state)
-            weights, moments, tokens = {n: a.copy() for n, a in start.items()}, None, 0
-            for batch in batches:
-                some = [_places(words_of(t), voc)[1] for t in batch.column("text").to_pylist()]
-                if some:
-                    parts = [d[a : a + SEGMENT] for d in some for a in range(0, len(d), SEGMENT)]
-                    weights, moments = fit(weights, parts, moments, int(voc.place[0]))
-                    tokens += sum(map(len, some))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([packed(weights)], pa.binary())], names=["tokens", "weights"])
-
-        def average(batches):
-            total, tokens = None, 0
-            for batch in batches:
-                for n, raw in zip(batch.column("tokens").to_pylist(), batch.column("weights").to_pylist(), strict=True):
-                    one = np.frombuffer(raw, np.float32).astype(np.float64) * n
-                    total, tokens = one if total is None else total + one, tokens + n
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())], names=["tokens", "weights"])
-
-        part = chosen.where(F.col("turn") == k).select("text")
-        local_rows = part.mapInArrow(local, "tokens long, weights binary")
-        few = max(1, math.isqrt(part.rdd.getNumPartitions()))
-        rows = durable(local_rows.repartition(few).mapInArrow(average, "tokens long, weights binary"), "lm-weights").collect()
-        n = sum(r.tokens for r in rows)
-        if n:
-            mean = sum(np.frombuffer(r.weights, np.float32).astype(np.float64) * (r.tokens / n) for r in rows)
-            p = unpacked(mean.astype(np.float32).tobytes(), p)
+        sent = spark.sparkContext.broadcast(p)
+
+        def local(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["turn", "places"])
+            docs = [np.frombuffer(x, np.uint16) for x in pdf["places"]]
+            weights = fit({n: a.copy() for n, a in sent.value.items()}, docs, begin)
+            return pd.DataFrame({"grp": [int(pdf["grp"].iloc[0])], "tokens": [sum(map(len, docs))], "weights": [packed(weights)]})
+
+        shape = "grp long, tokens long, weights binary"
+        rows = durable(dealt.where(F.col("round") == k).groupBy("grp").applyInPandas(local, shape), "lm-weights")
+        left = groups
+        while left > FAN:
+            rows, left = durable(rows.groupBy(F.floor(F.col("grp") / FAN).alias("some")).applyInPandas(_average, shape), "lm-weights"), -(-left // FAN)
+        rows = rows.toPandas()
+        if len(rows):
+            p = unpacked(_average(rows)["weights"].iloc[0], p)
     return p
 
 
-def score(df: DataFrame, learns: Column, text: str = "text") -> DataFrame:
+def score(df: DataFrame, learns: Column, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The other columns of ``df`` with n_tokens, n_known, train_tokens, base_score and score (log10).
 
     Learns from the rows where ``learns`` holds. Null and empty texts are one token, the end.
@@ -430,7 +439,7 @@ def score(df: DataFrame, learns: Column, text: str = "text") -> DataFrame:
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     df = public(df, *added)
     names = [c for c in df.columns if c != text]
-    docs = df.where(learns).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = df.where(learns).select(F.col(id_col).cast("string").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     counts = count_words(docs)
     v = vocabulary(counts, docs.count())
     sent = df.sparkSession.sparkContext.broadcast((vars(v), train(docs, v)))
@@ -438,7 +447,7 @@ def score(df: DataFrame, learns: Column, text: str = "text") -> DataFrame:
     def run(batches):
         state, p = sent.value
         voc = Vocabulary.of(state)
-        for batch in batches:
+        for batch in slices(batches, text):
             places, rows = [], []
             for t in batch.column(text).to_pylist():
                 words = words_of(t)

@@ -290,13 +290,55 @@ def test_language_model(spark, nothing, docs):
 
 
 def test_every_document_trains_and_copies_spread(spark, monkeypatch):
-    rows = [("one text that stands here many times",)] * 60 + [(f"word{k} and word{k + 1}",) for k in range(60)]
-    df, written, write = spark.createDataFrame(rows, "text string"), {}, lm.durable
+    rows = [(str(k), "one text that stands here many times") for k in range(60)] + [("x", "the same row again")] * 40 + [(None, f"word{k} and word{k + 1}") for k in range(60)]
+    df, written, write = spark.createDataFrame(rows, "key string, text string"), {}, lm.durable
     monkeypatch.setattr(lm, "durable", lambda x, name: written.setdefault(name, write(x, name)))
-    lm.train(df, lm.vocabulary(lm.count_words(df), len(rows)))
-    got = written["lm-train"].collect()
-    assert sorted((r.text,) for r in got) == sorted(rows)
-    assert {r.turn for r in got if r.text == rows[0][0]} == set(range(lm.ROUNDS)) == {r.turn for r in got}
+    v = lm.vocabulary(lm.count_words(df), len(rows))
+    got = lm._dealt(df, v, lm.ROUNDS, 3).collect()
+    places = Counter(lm._places(lm.words_of(t), v)[1].astype(np.uint16).tobytes() for _, t in rows)
+    assert Counter(bytes(r.places) for r in got) == places
+    for text in (rows[0][1], rows[60][1]):
+        own = lm._places(lm.words_of(text), v)[1].astype(np.uint16).tobytes()
+        assert len({(r.round, r.grp) for r in got if bytes(r.places) == own}) == 3 * lm.ROUNDS
+
+
+def test_scores_do_not_depend_on_partitions_and_equal_a_plain_pass(spark, monkeypatch):
+    monkeypatch.setattr(lm, "GROUP_TOKENS", 2000)  # several groups and, with FAN, two levels of averages
+    monkeypatch.setattr(lm, "FAN", 2)
+    r = random.Random(5)
+    rows = [(k, " ".join(r.choice(["the", "of", "and", f"w{r.randrange(60)}", f"Z{r.randrange(3000)}."]) for _ in range(r.randrange(90)))) for k in range(400)] + [(900, None), (901, LONG)] + [(1007, "same")] * 30
+    df, kept, train = spark.createDataFrame(rows, "doc_id long, text string"), [], lm.train
+    monkeypatch.setattr(lm, "train", lambda docs, v: kept.append((v, train(docs, v))) or kept[-1][1])
+    some = [sorted((x.doc_id, x.n_tokens, x.score) for x in lm.score(df.repartition(n, "text") if n > 1 else df.coalesce(1), F.col("doc_id") % 7 != 2).collect()) for n in (1, 5)]
+    for a, b in zip(*some, strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5 * a[1]
+    v, p = kept[0]
+    counts = Counter(w for k, t in rows if k % 7 != 2 for w in lm.words_of(t))
+    inside, sigmoid = list(v.index)[: v.own], lambda z: 1 / (1 + np.exp(-z))
+    shape = lambda w: 1 + lm.shape_of(w)
+    totals, singles = Counter(), Counter()
+    for w, n in counts.items():
+        if w not in inside:
+            totals[shape(w)] += n
+            singles[shape(w)] += n == 1
+    p = {k: x.astype(np.float64) for k, x in p.items()}
+    want = {}
+    for k, t in rows[:60] + [(900, None)]:
+        h, before, total = np.zeros(lm.HIDDEN), v.place[0], 0.0
+        for w in [*lm.words_of(t), None]:
+            g, u = p["emb"][before] @ p["wx"] + p["b"], h @ p["wh"]
+            n = lm.HIDDEN
+            z, q = sigmoid(g[:n] + u[:n]), sigmoid(g[n : 2 * n] + u[n : 2 * n])
+            h = (1 - z) * np.tanh(g[2 * n :] + q * u[2 * n :]) + z * h
+            i = 0 if w is None else 1 + lm.N_SHAPES + inside.index(w) if w in inside else shape(w)
+            before = v.place[i]
+            group, word = h @ p["wc"] + p["bc"], h @ p["ww"][before // lm.SLOTS] + p["bw"][before // lm.SLOTS]
+            total += group[before // lm.SLOTS] - np.logaddexp.reduce(group) + word[before % lm.SLOTS] - np.logaddexp.reduce(word)
+            if 0 < i <= lm.N_SHAPES:
+                total += math.log((counts[w] or singles[i] + 1) / (totals[i] + singles[i] + 1))
+        want[k] = total / math.log(10)
+    for k, n, x in some[0]:
+        assert k not in want or abs(x - want[k]) < 1e-4 * n, k
 
 
 def test_windows_carry_state_and_gradients_are_right():
@@ -308,21 +350,21 @@ def test_windows_carry_state_and_gradients_are_right():
     whole = lm.score_docs(p, texts)
     one = [float(lm.score_docs(p, [t])[0]) for t in texts]
     assert np.allclose(whole, one, rtol=1e-4)  # the same however texts are laid out
-    wide, lm.SCORE_WINDOW = lm.SCORE_WINDOW, 5
+    wide, lm.SCORE_WINDOW = lm.SCORE_WINDOW, 5  # and however they are cut into windows
     assert np.allclose(lm.score_docs(p, texts), whole, rtol=1e-4)
     lm.SCORE_WINDOW = wide
     h, gates = np.zeros((1, lm.HIDDEN), np.float32), p["emb"] @ p["wx"] + p["b"]
     states, _, _ = lm.run_window(p, gates, np.array([[used[0]]]), np.array([[True]]), h)
     everything, _ = lm.output(p, np.repeat(states[0], lm.CLASSES * lm.SLOTS, 0), np.arange(lm.CLASSES * lm.SLOTS))
     assert abs(np.exp(everything).sum() - 1) < 1e-4
-    x, y, valid, fresh, _ = next(lm.windows(texts, 3, 12))
+    x, y, valid, fresh = next(lm.laid_out([np.concatenate(texts[2:]), np.concatenate(texts[:2])], [np.array([0, len(texts[2])]), np.array([0, len(texts[0])])], int(v.place[0]), 12))
     p = {k: a.astype(np.float64) for k, a in p.items()}
     grad, _ = lm.train_window(p, x, y, valid, fresh, np.zeros((x.shape[1], lm.HIDDEN)))
 
     def loss():
         st, _, _ = lm.run_window(p, p["emb"] @ p["wx"] + p["b"], x, fresh, np.zeros((x.shape[1], lm.HIDDEN)))
         f = valid.ravel()
-        return -lm.output(p, st.reshape(-1, lm.HIDDEN)[f], y.ravel()[f])[0].mean()
+        return -lm.output(p, st.reshape(-1, lm.HIDDEN)[f], y.ravel()[f])[0].mean()  # states of places that are not valid count nothing
 
     for k in ("wh", "wx", "emb", "wc", "ww", "b"):
         at = np.unravel_index(np.abs(grad[k]).argmax(), grad[k].shape)
@@ -334,7 +376,7 @@ def test_windows_carry_state_and_gradients_are_right():
         p[k][at] = old
         assert abs((up - down) / (2 * eps) - grad[k][at]) < 0.02 * abs(grad[k][at]) + 1e-5, k
     before = lm.score_docs(lm.initial(v.freq), texts).sum()
-    trained, _ = lm.fit(lm.initial(v.freq), texts * 20)
+    trained = lm.fit(lm.initial(v.freq), texts * 20, int(v.place[0]))
     assert lm.score_docs(trained, texts).sum() > before
 
 
