@@ -136,11 +136,15 @@ def run_window(p: dict, gates: np.ndarray, x: np.ndarray, fresh: np.ndarray, h:
 
 
 def _exponents(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(z less what keeps exponents finite, exp of it, row sums); z is used up."""
-    if z.size and z.max() > 60:
-        z -= z.max(axis=1, keepdims=True)
-    e = np.exp(z)
-    return z, e, e.sum(axis=1)
+    """(z, less each row's maximum if exponents would leave their range, exp of it, row sums)."""
+    with np.errstate(over="ignore", under="ignore"):
+        e = np.exp(z)
+        total = e.sum(axis=1)
+    if len(z) and not (total.min() > 1e-20 and total.max() < 1e20):
+        z = z - z.max(axis=1, keepdims=True)
+        e = np.exp(z)
+        total = e.sum(axis=1)
+    return z, e, total
 
 
 def output(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
@@ -419,7 +423,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict:
             return pd.DataFrame({"grp": [int(pdf["grp"].iloc[0])], "tokens": [sum(map(len, docs))], "weights": [packed(weights)]})
 
         shape = "grp long, tokens long, weights binary"
-        rows = durable(dealt.where(F.col("round") == k).groupBy("grp").applyInPandas(local, shape), "lm-weights")
+        rows = durable(dealt.where(F.col("round") == k).repartition(groups, "grp").groupBy("grp").applyInPandas(local, shape), "lm-weights")
         left = groups
         while left > FAN:
             rows, left = durable(rows.groupBy(F.floor(F.col("grp") / FAN).alias("some")).applyInPandas(_average, shape), "lm-weights"), -(-left // FAN)
