@@ -5,25 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.sources.scratch import durable
+
 ROOT = 5
 
 
 def build(records: DataFrame, root: int = ROOT, drive: str = "D:") -> DataFrame:
     """records(frn, parent_frn, name, is_dir, ...) with path, from the root downwards.
 
-    One recursive query: each step joins the children of the directories found so far. Records
+    Directories are found level by level, each level durable, and each directory once; then one join gives
+    every record its parent's path, so a file with several names or parents has a row for each. Records
     that no chain of directories ties to the root (orphans, cycles, children of files) have no path.
     """
     spark = records.sparkSession
-    records.createOrReplaceTempView("_tree_records")
-    tree = spark.sql(rf"""
-        WITH RECURSIVE t(frn, is_dir, path) MAX RECURSION LEVEL 1024 AS (
-          SELECT frn, is_dir, concat('{drive}\\', name) FROM _tree_records WHERE parent_frn = {root} AND frn <> {root}
-          UNION ALL
-          SELECT r.frn, r.is_dir, concat(t.path, '\\', r.name) FROM t JOIN _tree_records r ON r.parent_frn = t.frn WHERE t.is_dir AND r.frn <> {root})
-        SELECT frn, path FROM t""")
-    names = records.withColumn("_name", F.col("name"))
-    return tree.join(names, "frn").where(F.substring_index("path", "\\", -1) == F.col("_name")).drop("_name")
+    dirs = durable(records.where(F.col("is_dir") & (F.col("frn") != root)).select("frn", "parent_frn", "name").distinct(), "tree-dirs")
+    level = spark.createDataFrame([(root, drive)], "at long, path string")
+    found = level
+    while True:
+        below = dirs.join(level, dirs["parent_frn"] == level["at"]).groupBy(F.col("frn").alias("at")).agg(F.min(F.concat("path", F.lit("\\"), "name")).alias("path"))
+        level = durable(below.join(found.select("at"), "at", "left_anti"), "tree-level")
+        if level.isEmpty():
+            break
+        found = found.union(level)
+    parents = found.withColumnRenamed("path", "_parent")
+    named = records.where(F.col("frn") != root).join(parents, records["parent_frn"] == parents["at"])
+    return named.withColumn("path", F.concat("_parent", F.lit("\\"), "name")).drop("at", "_parent")
 
 
 def orphans(records: DataFrame, built: DataFrame, root: int = ROOT) -> DataFrame:

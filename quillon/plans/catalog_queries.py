@@ -48,7 +48,7 @@ _FOUND: dict[str, tuple[str, str]] = {
     "ext_list": ("ext:rs,.md", "name_l LIKE '%.rs' OR name_l LIKE '%.md'"),
     "glob_qmark": ("doc?5.*", r"regexp_matches(name_l, 'doc.5\..*') AND name_l LIKE 'doc%'"),
     "glob_prefix2": ("do*9*", "name_l LIKE 'do%9%'"),
-    "glob_prefix1_contains": ("o*9.md", "name_l LIKE '%o%9.md'"),
+    "glob_prefix1_contains": ("o*6.md", "name_l LIKE '%o%6.md'"),
     "glob_path": (r"*\en\src?\*.rs", r"regexp_matches(path_ci, '\\en\\src.\\.*\.rs$')"),
     "glob_star_all": ("**", "true"),
     "size_gt": ("size:>2kb", "size >= 2048"),
@@ -163,18 +163,21 @@ def _dupe_summary(spark, d):
 
 
 def tree_records(spark: SparkSession, d: str) -> DataFrame:
-    """Regions, nations and suppliers as records that name their parents; every seventh supplier's is missing."""
+    """Regions, nations and suppliers as records that name their parents; every seventh supplier's is missing,
+    every fifth supplier has a link of the same name in another nation."""
     read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
     region = read("region").select((F.col("r_regionkey") + 100).cast("long").alias("frn"), F.lit(5).cast("long").alias("parent_frn"), F.col("r_name").alias("name"), F.lit(True).alias("is_dir"))
     nation = read("nation").select((F.col("n_nationkey") + 1000).cast("long"), (F.col("n_regionkey") + 100).cast("long"), F.col("n_name"), F.lit(True))
     parent = F.when(F.col("s_suppkey") % 7 == 0, F.lit(99)).otherwise(F.col("s_nationkey") + 1000).cast("long")
     supplier = read("supplier").select((F.col("s_suppkey") + 100_000).cast("long"), parent, F.col("s_name"), F.lit(False))
-    return region.union(nation).union(supplier)
+    linked = read("supplier").where("s_suppkey % 5 = 0").select((F.col("s_suppkey") + 100_000).cast("long"), ((F.col("s_nationkey") + 1) % 25 + 1000).cast("long"), F.col("s_name"), F.lit(False))
+    return region.union(nation).union(supplier).union(linked)
 
 
 TREE_SQL = r"""WITH RECURSIVE recs AS (SELECT CAST(r_regionkey + 100 AS BIGINT) AS frn, CAST(5 AS BIGINT) AS parent_frn, r_name AS name, true AS is_dir FROM region
 UNION ALL SELECT n_nationkey + 1000, n_regionkey + 100, n_name, true FROM nation
-UNION ALL SELECT s_suppkey + 100000, CASE WHEN s_suppkey % 7 = 0 THEN 99 ELSE s_nationkey + 1000 END, s_name, false FROM supplier),
+UNION ALL SELECT s_suppkey + 100000, CASE WHEN s_suppkey % 7 = 0 THEN 99 ELSE s_nationkey + 1000 END, s_name, false FROM supplier
+UNION ALL SELECT s_suppkey + 100000, (s_nationkey + 1) % 25 + 1000, s_name, false FROM supplier WHERE s_suppkey % 5 = 0),
 t AS (SELECT frn, is_dir, 'D:\' || name AS path FROM recs WHERE parent_frn = 5 UNION ALL SELECT r.frn, r.is_dir, t.path || '\' || r.name FROM t JOIN recs r ON r.parent_frn = t.frn WHERE t.is_dir) """
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from quillon.functions import paths
 from quillon.sources.catalog import COLUMNS
+from quillon.sources.scratch import durable
 
 #: Bits of a reason (fixed values).
 DATA_OVERWRITE, DATA_EXTEND, DATA_TRUNCATION = 0x1, 0x2, 0x4
@@ -23,8 +24,6 @@ FILE_CREATE, FILE_DELETE, RENAME_OLD, RENAME_NEW = 0x100, 0x200, 0x1000, 0x2000
 BASIC_INFO, HARD_LINK = 0x8000, 0x10000
 REFRESH = DATA_OVERWRITE | DATA_EXTEND | DATA_TRUNCATION | BASIC_INFO
 MASK = REFRESH | FILE_CREATE | FILE_DELETE | RENAME_OLD | RENAME_NEW | HARD_LINK
-#: A moved directory with more descendants asks for a rebuild.
-MAX_MOVED = 50_000
 
 EVENT = "drive string, frn long, parent_frn long, name string, is_dir boolean, usn long, reason long"
 
@@ -72,49 +71,97 @@ class Applied:
     stats: dict[str, int]
 
 
-def located(events: DataFrame, live: DataFrame) -> DataFrame:
-    """Events with path: that of the parent's record (the root: 5) and the name; null if unknown."""
-    dirs = live.where(F.col("is_dir") & F.col("frn").isNotNull()).groupBy(paths.drive_of("path").alias("drive"), F.col("frn").alias("parent_frn")).agg(F.min_by("path", "id").alias("_parent"))
-    e = events.withColumn("drive", F.upper("drive")).join(dirs, ["drive", "parent_frn"], "left")
-    root = F.concat("drive", F.lit(":\\"), "name")
-    return e.withColumn("path", F.when(F.col("parent_frn") == 5, root).otherwise(F.concat("_parent", F.lit("\\"), "name"))).drop("_parent")
+def _sub(*parts):
+    return F.concat(parts[0], F.lit("\\"), *parts[1:])
 
 
-def moves(events: DataFrame, dir_old: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(moves, waiting): directories' old and new paths paired by record; halves wait for later batches."""
-    gone = events.where(F.col("is_dir") & has(RENAME_OLD) & F.col("path").isNotNull()).select("drive", "frn", F.col("path").alias("old"), "usn")
+def directories(live: DataFrame) -> DataFrame:
+    """(drive, frn, path) of the directories of a catalogue, one path each."""
+    some = live.where(F.col("is_dir") & F.col("frn").isNotNull())
+    return some.groupBy(paths.drive_of("path").alias("drive"), "frn").agg(F.min_by("path", "id").alias("path"))
+
+
+def placed(events: DataFrame, dirs: DataFrame) -> DataFrame:
+    """Events with path: that of the parent's record in ``dirs`` (the root: 5) and the name; null if unknown."""
+    known = dirs.select("drive", F.col("frn").alias("parent_frn"), F.col("path").alias("_parent"))
+    e = events.withColumn("drive", F.upper("drive")).join(known, ["drive", "parent_frn"], "left")
+    return e.withColumn("path", F.when(F.col("parent_frn") == 5, _sub(F.concat("drive", F.lit(":")), "name")).otherwise(_sub(F.col("_parent"), "name"))).drop("_parent")
+
+
+def nearest_move(df: DataFrame, path: str, old: DataFrame) -> DataFrame:
+    """``df`` with _to and _rest: the deepest of old(_to, old) that is ``path`` or above it, and what
+    follows it; null if there is none. One join of ancestors with the moves, however many there are."""
+    marked = df.withColumn("_row", F.struct(*df.columns))
+    up = marked.select("_row", F.explode(F.array_append(paths.ancestors(path), F.col(path))).alias("_above")).withColumn("_ci", paths.fold_path("_above"))
+    hits = up.join(old.select("_to", paths.fold_path("old").alias("_ci")), "_ci")
+    best = hits.groupBy("_row").agg(F.max_by("_to", F.length("_above")).alias("_to"), F.max(F.length("_above")).alias("_n"))
+    out = best.select("_row.*", "_to", F.substring(F.col(f"_row.{path}"), F.col("_n") + 1, F.length(f"_row.{path}")).alias("_rest"))
+    rest = marked.join(best.select("_row"), "_row", "left_anti").select("_row.*", F.lit(None).cast(old.schema["_to"].dataType).alias("_to"), F.lit(None).cast("string").alias("_rest"))
+    return out.union(rest)
+
+
+def new_directories(events: DataFrame, live_dirs: DataFrame, moved: DataFrame) -> DataFrame:
+    """(drive, frn, path) of directories that the batch made or renamed, as they are at its end.
+
+    A parent can be another of them, at any depth, or a live directory below one that ``moved``
+    (drive, frn, old); then the path follows that one.
+    """
+    last = latest(events.where(F.col("is_dir") & has(FILE_CREATE | RENAME_NEW)).withColumn("drive", F.upper("drive")).select("drive", "frn", "parent_frn", "name", "usn"), ["drive", "frn"])
+    key = F.struct("drive", "frn")
+    own = last.select(F.struct("drive", F.col("frn")).alias("_base")).distinct().withColumn("_own", F.lit(True))
+    nodes = last.withColumn("_base", F.struct("drive", F.col("parent_frn").alias("frn"))).join(own, "_base", "left")
+    inner = nodes.where("_own").select(key.alias("key"), F.col("_base").alias("base"), F.concat(F.lit("\\"), "name").alias("rest"))
+    outer = placed(nodes.where("_own IS NULL").select("drive", "frn", "parent_frn", "name"), live_dirs).where("path IS NOT NULL").select(key.alias("key"), "path")
+    olds = moved.join(last.select("drive", "frn"), ["drive", "frn"], "left_semi").select(key.alias("_to"), "old")
+    follow = nearest_move(outer, "path", olds).where(F.col("_to").isNull() | (F.col("_to") != F.col("key")))
+    waiting = durable(inner.union(follow.where("_to IS NOT NULL").select("key", F.col("_to").alias("base"), F.col("_rest").alias("rest"))), "journal-dirs")
+    level = durable(follow.where("_to IS NULL").select("key", "path"), "journal-level")
+    found = level
+    while not level.isEmpty():
+        below = waiting.join(level.select(F.col("key").alias("base"), "path"), "base").select("key", F.concat("path", "rest").alias("path"))
+        level = durable(below.join(found.select("key"), "key", "left_anti"), "journal-level")
+        found = found.union(level)
+    return found.select("key.drive", "key.frn", "path")
+
+
+def old_names(events: DataFrame, live_dirs: DataFrame, dir_old: DataFrame) -> DataFrame:
+    """(drive, frn, old): where directories stood before a rename whose old half came in this batch or waits."""
+    gone = placed(events.where(F.col("is_dir") & has(RENAME_OLD)), live_dirs).join(live_dirs.select("drive", "frn", F.col("path").alias("_live")), ["drive", "frn"], "left")
+    gone = gone.select("drive", "frn", F.coalesce("_live", "path").alias("old"), "usn").where("old IS NOT NULL")
     both = gone.unionByName(dir_old.select("drive", "frn", "old", F.lit(-1).cast("long").alias("usn")))
-    first = both.groupBy("drive", "frn").agg(F.min_by("old", "usn").alias("old"))
-    came = events.where(F.col("is_dir") & has(RENAME_NEW) & F.col("path").isNotNull())
-    came = came.groupBy("drive", "frn").agg(F.max_by("path", "usn").alias("new"))
-    paired = first.join(came, ["drive", "frn"]).where(paths.fold_path("old") != paths.fold_path("new"))
-    return paired, first.join(came, ["drive", "frn"], "left_anti")
+    return both.groupBy("drive", "frn").agg(F.min_by("old", "usn").alias("old"))
 
 
 def apply(live: DataFrame, events: DataFrame, state: DataFrame, dir_old: DataFrame) -> Applied:
     """One batch of events on the catalogue ``live`` (see :mod:`quillon.sources.catalog`).
 
-    In this order: directories that moved take their subtree along; names that an event may have
-    ended go if the state lacks them; paths that appeared, or were written to, take the state's
-    figures (unknown: zeros), each path once. Ids of new rows follow the largest there is.
+    In this order: directories that moved take their subtrees along, of any size and number, in one
+    join; names that an event may have ended go if the state lacks them; paths that appeared, or were
+    written to, take the state's figures (unknown: zeros), each path once. Parents are looked up among
+    the directories of the batch first, then among the live ones where they are now. Ids of new rows
+    follow the largest there is.
     """
     spark = live.sparkSession
-    at = located(masked(events), live)
+    batch = durable(masked(events).withColumn("drive", F.upper("drive")), "journal-batch")
     known = state.withColumn("_ci", paths.fold_path("path")).dropDuplicates(["_ci"])
-    pairs, waiting = moves(at, dir_old)
-    moved_rows = pairs.limit(1000).collect()
+    live_dirs = durable(directories(live), "journal-live-dirs")
+    olds = durable(old_names(batch, live_dirs, dir_old), "journal-olds")
+    fresh_dirs = durable(new_directories(batch, live_dirs, olds), "journal-new-dirs")
+    renamed = batch.where(F.col("is_dir") & has(RENAME_NEW)).select("drive", "frn").distinct()
+    came_dirs = olds.join(renamed, ["drive", "frn"], "left_semi").join(fresh_dirs.withColumnRenamed("path", "new"), ["drive", "frn"])
+    pairs = durable(came_dirs.where(paths.fold_path("old") != paths.fold_path("new")), "journal-moves")
+    waiting = olds.join(came_dirs.select("drive", "frn"), ["drive", "frn"], "left_anti")
+    stats = {"applied": 0, "resolve_fail": 0, "subtree_moved": 0}
     moved = live
-    stats = {"applied": 0, "resolve_fail": at.where(F.col("path").isNull() & has(FILE_CREATE | RENAME_NEW | HARD_LINK)).count(), "subtree_moved": 0, "rebuild_needed": 0}
-    if len(moved_rows) == 1000:
-        stats["rebuild_needed"] += 1
-    for m in [] if stats["rebuild_needed"] else sorted(moved_rows, key=lambda r: len(r.old)):
-        below = moved.where(paths.rewrite_prefix(F.col("path"), m.old, m.new).isNotNull())
-        n = below.limit(MAX_MOVED + 1).count()
-        if n > MAX_MOVED:
-            stats["rebuild_needed"] += 1
-            continue
-        stats["subtree_moved"] += n
-        moved = moved.withColumn("path", F.coalesce(paths.rewrite_prefix(F.col("path"), m.old, m.new), F.col("path")))
+    if not pairs.isEmpty():
+        at = nearest_move(live.select(*COLUMNS), "path", pairs.select(F.col("new").alias("_to"), "old"))
+        below = F.col("_to").isNotNull() & (F.col("_rest") != "")
+        moved = durable(at.withColumn("_moved", below).withColumn("path", F.when(below, F.concat("_to", "_rest")).otherwise(F.col("path"))).drop("_to", "_rest"), "journal-moved")
+        stats["subtree_moved"] = moved.where("_moved").count()
+        moved = moved.select(*COLUMNS)
+    now = directories(moved).join(fresh_dirs.select("drive", "frn"), ["drive", "frn"], "left_anti").unionByName(fresh_dirs)
+    at = durable(placed(batch, durable(now, "journal-dirs-now")), "journal-placed")
+    stats["resolve_fail"] = at.where(F.col("path").isNull() & has(FILE_CREATE | RENAME_NEW | HARD_LINK)).count()
     ci = paths.fold_path("path")
     # what may be gone: every name of a deleted or re-linked record, the old name of a renamed one
     ended = at.where(has(FILE_DELETE | HARD_LINK)).select("drive", "frn", F.lit(None).cast("string").alias("_only"))
@@ -128,7 +175,7 @@ def apply(live: DataFrame, events: DataFrame, state: DataFrame, dir_old: DataFra
     retired = doubted.join(known.select("_ci"), "_ci", "left_anti").select("id")
     # what appeared or was written to
     came = at.where(has(FILE_CREATE | RENAME_NEW | HARD_LINK) & F.col("path").isNotNull())
-    fresh = located(refresh_once(masked(events)), moved).where(F.col("path").isNotNull())
+    fresh = refresh_once(at).where(F.col("path").isNotNull())
     fresh = fresh.join(keyed.select("drive", "frn").distinct(), ["drive", "frn"], "left_semi")
     touched = came.select("path", "frn", "is_dir", "usn", F.lit(True).alias("_new")).unionByName(fresh.select("path", "frn", "is_dir", "usn", F.lit(False).alias("_new")))
     touched = touched.withColumn("_ci", ci).groupBy("_ci").agg(F.max_by(F.struct("path", "frn", "is_dir", "_new"), F.struct("_new", "usn")).alias("_t")).select("_ci", "_t.*")

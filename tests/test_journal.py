@@ -63,6 +63,28 @@ def test_directory_rename_in_one_batch_and_across_two(spark, base):
     assert r"D:\moved\kid.txt" in files and r"D:\old\kid.txt" not in files
 
 
+def test_parents_made_or_renamed_in_the_batch(spark, base):
+    events = [(100, 5, "new", True, 1, J.FILE_CREATE), (101, 100, "sub", True, 2, J.FILE_CREATE), (102, 101, "f.txt", False, 3, J.FILE_CREATE)]
+    files, dirs, out = run(spark, base, events, {r"D:\new": 0, r"D:\new\sub": 0, r"D:\new\sub\f.txt": 3} | FILES)
+    assert files == FILES | {r"D:\new\sub\f.txt": 3} and {r"D:\new", r"D:\new\sub"} <= dirs and out.stats["resolve_fail"] == 0
+    events = [(80, 5, "old", True, 1, J.RENAME_OLD), (80, 5, "moved", True, 2, J.RENAME_NEW), (103, 80, "g.txt", False, 3, J.FILE_CREATE)]
+    files, dirs, out = run(spark, base, events, {r"D:\moved": 0, r"D:\moved\kid.txt": 5, r"D:\moved\g.txt": 4} | {p: n for p, n in FILES.items() if "old" not in p})
+    assert files[r"D:\moved\g.txt"] == 4 and r"D:\moved\kid.txt" in files and r"D:\old\kid.txt" not in files and r"D:\old" not in dirs
+
+
+def test_many_nested_moves_in_one_batch(spark):
+    rows = [(k, rf"D:\d{k}", True, 0, 1000 + k) for k in range(1100)] + [(2000 + k, rf"D:\d{k}\kid.txt", False, 1, 5000 + k) for k in range(1100)]
+    rows += [(4000, r"D:\d1\in", True, 0, 9000), (4001, r"D:\d1\in\deep.txt", False, 2, 9001), (4002, r"D:\d2\stay", True, 0, 9002)]
+    live = normalise(spark.createDataFrame(rows, "id long, path string, is_dir boolean, size long, frn long"))
+    events = [e for k in range(1100) for e in ((1000 + k, 5, f"d{k}", True, 2 * k, J.RENAME_OLD), (1000 + k, 5, f"m{k}", True, 2 * k + 1, J.RENAME_NEW))]
+    # a directory inside one that moved is renamed into another that moved, below a live directory of it
+    events += [(9000, 1001, "in", True, 5000, J.RENAME_OLD), (9000, 9002, "out", True, 5001, J.RENAME_NEW), (9003, 9000, "new.txt", False, 5002, J.FILE_CREATE)]
+    want = {rf"D:\m{k}\kid.txt": 1 for k in range(1100)} | {r"D:\m2\stay\out\deep.txt": 2, r"D:\m2\stay\out\new.txt": 7}
+    there = want | {rf"D:\m{k}": 0 for k in range(1100)} | {r"D:\m2\stay": 0, r"D:\m2\stay\out": 0}
+    files, dirs, out = run(spark, live, events, there)
+    assert files == want and out.stats["subtree_moved"] >= 1102 and r"D:\m2\stay\out" in dirs and r"D:\d1\in" not in dirs
+
+
 def test_replay_status():
     assert [J.replay_status(*x) for x in ((5, 10, 20), (20, 10, 20), (15, 10, 20), (10, 10, 20))] == ["gap", "current", "replayable", "replayable"]
 
