@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import durable
+from quillon.llm.common import durable, join_small
 
 #: Query parameters that do not change what a URL names.
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid|sessionid|phpsessid|jsessionid)(=|$)"
@@ -58,18 +58,25 @@ def merged(stored: Column, fresh: Column) -> Column:
 
 def latest_before(asked: DataFrame, known: DataFrame) -> DataFrame:
     """asked(key, at), distinct; known(key, at, r), distinct in (key, at): asked with the r of the
-    latest known moment strictly before. A hot key is split into spans of time: within a span rows
-    are ordered by one task, and what a span knows last is carried over spans, at most MAX_SPANS a key.
+    latest known moment strictly before. A hot key is split into spans of time at quantiles of its own
+    moments, so that outliers and bursts make no span large: within a span rows are ordered by one
+    task, and what a span knows last is carried over spans, at most MAX_SPANS a key.
     """
     both = durable(
         known.select("key", "at", "r", F.lit(1).alias("order")).unionByName(
             asked.select("key", "at", F.lit(0).alias("order")), allowMissingColumns=True),
         "asof-events",
     )
-    low, high, n = both.agg(F.min("at"), F.max("at"), F.count("*")).first()
-    spans = min(MAX_SPANS, (n or 0) // SPAN_ROWS + 1)
-    width = ((high or 0) - (low or 0)) // spans + 1
-    both = both.withColumn("span", ((F.col("at") - F.lit(low or 0)) / F.lit(width)).cast("long"))
+    hot = durable(both.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SPAN_ROWS), "asof-hot")
+    most = hot.agg(F.max("n")).first()[0]
+    span = F.lit(0)
+    if most:
+        spans = min(MAX_SPANS, most // SPAN_ROWS + 1)
+        cuts = join_small(both.select("key", "at"), hot.select("key"), ["key"], "left_semi").groupBy("key").agg(
+            F.percentile_approx("at", [k / spans for k in range(1, spans)], max(10_000, 10 * spans)).alias("cuts"))
+        both = join_small(both, durable(cuts, "asof-cuts"), ["key"])
+        span = F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("at"))))
+    both = both.withColumn("span", span).drop("cuts")
     here = Window.partitionBy("key", "span").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, -1)
     near = both.withColumn("r_near", F.last("r", ignorenulls=True).over(here)).where(F.col("order") == 0)
     last = both.groupBy("key", "span").agg(F.max_by("r", F.when(F.col("r").isNotNull(), F.col("at"))).alias("r_last"))

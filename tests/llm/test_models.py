@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import graph_search, jaccard, lm, pieces, q_lm, q_toxicity, registry, toxicity
+from quillon.llm import graph_search, jaccard, lm, pieces, q_lm, q_toxicity, quality, registry, toxicity
 from quillon.llm.common import components
 
 from .conftest import LONG, documents
@@ -393,10 +393,29 @@ def test_pipeline(spark, docs):
     assert {r.doc_id for r in stage2.collect()} == want
     got = out.collect()
     assert {r.doc_id for r in got} <= want and all(r.ids for r in got) and all(r.n_chars == len(r.text) for r in got)
+
+
+@needs_model
+def test_pipeline_stages_on_edge_rows(spark, docs):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     plain = docs.select(*corpus_pipeline.COLUMNS)
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        edge = stage(spark, plain, TABLES)
-        assert edge.count() >= 0 and edge.columns[:5] == corpus_pipeline.COLUMNS and (k == 4) == ("ids" in edge.columns)
+    rows = sorted(map(tuple, plain.collect()), key=str)
+    by = {name: stage(spark, plain, TABLES) for name, stage in corpus_pipeline.STAGES}
+    out = {name: sorted(map(tuple, df.select(*corpus_pipeline.COLUMNS).collect()), key=str) for name, df in by.items()}
+    judged = sorted(map(tuple, quality.judge(plain).where("kept").select(*corpus_pipeline.COLUMNS).collect()), key=str)
+    assert out["quality rules"] == judged and 0 < len(judged) < len(rows)
+    classes = brute_classes([r[:2] for r in rows])
+    wordless = [r for r in rows if not (r[1] or "").split()]
+    assert len(out["near duplicates"]) == len(wordless) + len({c for (_, c, _), r in zip(classes, rows, strict=True) if (r[1] or "").split()})
+    assert Counter(out["near duplicates"]) <= Counter(rows)
+    # no personal data here: texts stay, null becomes empty
+    assert Counter((r[0], r[1], r[4]) for r in out["personal data"]) == Counter((r[0], r[1] or "", len(r[1] or "")) for r in rows)
+    assert set(out["source mixture"]) <= set(rows)
+    assert all(list(r.ids) == library.encode(r.text or "") for r in by["token ids"].collect()) and out["token ids"] == rows
+    for name, df in by.items():
+        assert df.columns[:5] == corpus_pipeline.COLUMNS and (name == "token ids") == ("ids" in df.columns)
 
 
 @needs_tables

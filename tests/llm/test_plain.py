@@ -230,6 +230,19 @@ def test_revisits(spark, monkeypatch):
     assert revisits.resolve(df.where("false")).count() == 0
 
 
+def test_a_hot_url_with_outlying_times_splits_evenly(spark, monkeypatch):
+    monkeypatch.setattr(revisits, "SPAN_ROWS", 100)
+    written, write = {}, revisits.durable
+    monkeypatch.setattr(revisits, "durable", lambda df, name: written.setdefault(name, write(df, name)))
+    at = [0, 10**12, *range(5_000_000, 5_002_000)]
+    known = spark.createDataFrame([("k", t, t) for t in at[::2]], "key string, at long, r long")
+    asked = spark.createDataFrame([("k", t) for t in at[1::2]], "key string, at long")
+    got = {x["at"]: x.r for x in revisits.latest_before(asked, known).collect()}
+    assert got == {t: max((u for u in at[::2] if u < t), default=None) for t in at[1::2]}
+    cuts = sorted(set(written["asof-cuts"].first().cuts))
+    assert len(cuts) > 15 and max(sum(a < t <= b for t in at) for a, b in zip([-1, *cuts], [*cuts, 10**13], strict=True)) < 250
+
+
 def test_header_merge(spark):
     h = lambda **k: [(a.replace("_", "-"), b) for a, b in k.items()]
     rows = [(1, "response", "http://x/", 1, h(ETag='"a"', Date="1", Content_Length="9"), "d", "p"), (2, "revisit", "http://x/", 2, h(etag='W/"a"', DATE="2", content_length="0", x_new="n"), None, None),
