@@ -112,108 +112,140 @@ def initial(freq: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
 
 
 def run_window(p: dict, gates: np.ndarray, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
-    """States after each of the T steps of x (T, B); a lane starts from zero where ``fresh``."""
-    n, out, cache = HIDDEN, np.empty((*x.shape, HIDDEN), h.dtype), []
-    given = gates[x]
-    some = fresh.any(axis=1)
-    for t in range(len(x)):
+    """(states after each of the T steps of x (T, B), last state, what backpropagation needs of them if ``keep``).
+
+    A lane starts from zero where ``fresh``. Inside, lanes run along the last axis, so that the
+    parts of a gate are contiguous.
+    """
+    n, (steps, lanes) = HIDDEN, x.shape
+    some, given, wh = fresh.any(axis=1), gates.take(x, axis=0), np.ascontiguousarray(p["wh"].T)
+    kept = steps if keep else 1
+    states = np.empty((steps, n, lanes), h.dtype)
+    before, a = np.empty((kept, n, lanes), h.dtype), np.empty((kept, 3 * n, lanes), h.dtype)
+    zr, new = np.empty((kept, 2 * n, lanes), h.dtype), np.empty((kept, n, lanes), h.dtype)
+    last = np.ascontiguousarray(h.T)
+    for t in range(steps):
+        k, g = t % kept, given[t].T
         if some[t]:
-            h = h * ~fresh[t][:, None]
-        a, g = h @ p["wh"], given[t]
-        zr = g[:, : 2 * n] + a[:, : 2 * n]
-        zr *= 0.5  # the logistic function by way of tanh
-        np.tanh(zr, out=zr)
-        zr += 1
-        zr *= 0.5
-        z, r = zr[:, :n], zr[:, n:]
-        new = r * a[:, 2 * n :]
-        new += g[:, 2 * n :]
-        np.tanh(new, out=new)
+            last = last * ~fresh[t]
+        np.matmul(wh, last, out=a[k])
+        s = np.add(a[k, : 2 * n], g[: 2 * n], out=zr[k])
+        s *= 0.5  # the logistic function by way of tanh
+        np.tanh(s, out=s)
+        s += 1
+        s *= 0.5
+        c = np.multiply(s[n:], a[k, 2 * n :], out=new[k])
+        c += g[2 * n :]
+        np.tanh(c, out=c)
         if keep:
-            cache.append((h, z, r, new, a[:, 2 * n :]))
-        h = out[t] = new + z * (h - new)
-    return out, h, cache
-
-
-def _exponents(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(z, less each row's maximum if exponents would leave their range, exp of it, row sums)."""
-    with np.errstate(over="ignore", under="ignore"):
-        e = np.exp(z)
-        total = e.sum(axis=1)
-    if len(z) and not (total.min() > 1e-20 and total.max() < 1e20):
-        z = z - z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        total = e.sum(axis=1)
-    return z, e, total
+            before[t] = last
+        last = np.subtract(last, c, out=states[t])
+        last *= s[:n]
+        last += c
+    return np.ascontiguousarray(states.transpose(0, 2, 1)), last.T, (before, zr[:, :n], zr[:, n:], new, a[:, 2 * n :])
 
 
 def output(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
     """Natural log probabilities of targets y (places) given states h (N, HIDDEN).
 
     With ``grad`` the gradients of minus their mean are added to it, and the states' returned.
-    Rows are handled class by class.
+    Rows are handled class by class; a last column of ones stands for the biases.
     """
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        return _output(p, h, y.astype(np.uint16), grad)
+
+
+def _layer(h: np.ndarray, w: np.ndarray, target: np.ndarray, rows: np.ndarray, ones: np.ndarray):
+    """(log probabilities of the targets, exponents, their sums by row)."""
+    z = h @ w
+    logs = z[rows, target]
+    e = np.exp(z, out=z)
+    total = e @ ones
+    if len(h) and not (total.min() > 1e-20 and total.max() < 1e20):  # less each row's maximum
+        z = h @ w
+        z -= z.max(axis=1, keepdims=True)
+        logs = z[rows, target]
+        e = np.exp(z, out=z)
+        total = e @ ones
+    logs -= np.log(total)
+    return logs, e, total
+
+
+def _output(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None):
     order = np.argsort(y, kind="stable")
+    y = y.take(order).astype(np.int64)
+    rows, n = np.arange(len(y)), HIDDEN
     back = np.empty_like(order)
-    back[order] = np.arange(len(y))
-    h, y = h[order], y[order]
+    back[order] = rows
+    wide = np.ones((len(y), n + 1), h.dtype)
+    np.take(h, order, axis=0, out=wide[:, :n])
     c, s = y // SLOTS, y % SLOTS
     edges = np.searchsorted(c, np.arange(CLASSES + 1))
-    rows = np.arange(len(y))
-    scale = np.float32(1 / max(1, len(y)))
-
-    def layer(h, w, bias, target, rows):
-        z, e, total = _exponents(h @ w + bias)
-        logs = z[rows, target] - np.log(total)
-        if grad is not None:
-            e *= (scale / total)[:, None]
-            e[rows, target] -= scale
-        return logs, e
-
-    logs, e = layer(h, p["wc"], p["bc"], c, rows)
+    wc, ww = np.concatenate([p["wc"], p["bc"][None]]), np.concatenate([p["ww"], p["bw"][:, None]], axis=1)
+    ones, scale = np.ones(max(CLASSES, SLOTS), h.dtype), np.float32(1 / max(1, len(y)))
+    logs, e, total = _layer(wide, wc, c, rows, ones[:CLASSES])
     out, dh = logs.astype(np.float64), None
     if grad is not None:
-        grad["wc"] += h.T @ e
-        grad["bc"] += e.sum(axis=0)
+        e *= (scale / total)[:, None]
+        e[rows, c] -= scale
+        d = wide.T @ e
+        grad["wc"] += d[:n]
+        grad["bc"] += d[n]
         dh = e @ p["wc"].T
     for k in np.flatnonzero(np.diff(edges)):
-        part = slice(edges[k], edges[k + 1])
-        logs, e = layer(h[part], p["ww"][k], p["bw"][k], s[part], rows[: edges[k + 1] - edges[k]])
+        part, target, own = slice(edges[k], edges[k + 1]), s[edges[k] : edges[k + 1]], rows[: edges[k + 1] - edges[k]]
+        logs, e, total = _layer(wide[part], ww[k], target, own, ones[:SLOTS])
         out[part] += logs
         if grad is not None:
-            grad["ww"][k] += h[part].T @ e
-            grad["bw"][k] += e.sum(axis=0)
+            e *= (scale / total)[:, None]
+            e[own, target] -= scale
+            d = wide[part].T @ e
+            grad["ww"][k] += d[:n]
+            grad["bw"][k] += d[n]
             dh[part] += e @ p["ww"][k].T
-    return out[back], None if dh is None else dh[back]
+    return out.take(back), None if dh is None else dh.take(back, axis=0)
 
 
 def train_window(p: dict, x: np.ndarray, y: np.ndarray, valid: np.ndarray, fresh: np.ndarray, h: np.ndarray):
     """(gradients, last state): truncated backpropagation through one window."""
-    n = HIDDEN
-    seen, x = np.unique(x, return_inverse=True)
-    x = x.reshape(y.shape)
-    gates = p["emb"][seen] @ p["wx"] + p["b"]
-    states, last, cache = run_window(p, gates, x, fresh, h, keep=True)
+    n, some = HIDDEN, fresh.any(axis=1)
+    states, last, (before, z, r, new, a) = run_window(p, p["emb"] @ p["wx"] + p["b"], x, fresh, h, keep=True)
     grad = {k: np.zeros_like(v) for k, v in p.items()}
-    d_states = np.zeros(states.shape, states.dtype)
-    _, d_states[valid] = output(p, states[valid], y[valid], grad)
-    d_given = np.empty((*x.shape, 3 * n), states.dtype)
-    dh = np.zeros_like(last)
+    if valid.all():
+        d_states = output(p, states.reshape(-1, n), y.ravel(), grad)[1].reshape(states.shape)
+    else:
+        d_states = np.zeros(states.shape, states.dtype)
+        _, d_states[valid] = output(p, states[valid], y[valid], grad)
+    d_states = np.ascontiguousarray(d_states.transpose(0, 2, 1))
+    # what a step's gradient is multiplied by, for all steps at once
+    by_new, by_z, by_r = 1 - new * new, before - new, a * r
+    by_z *= z
+    rest = 1 - z
+    by_new *= rest
+    by_z *= rest
+    by_r *= 1 - r
+    da, dn = np.empty((len(x), 3 * n, x.shape[1]), states.dtype), np.empty_like(new)
+    dh = np.zeros_like(new[0])
     for t in range(len(x) - 1, -1, -1):
-        h0, z, r, new, a = cache[t]
-        dh = dh + d_states[t]
-        dn = dh * (1 - z) * (1 - new * new)
-        dz = dh * (h0 - new) * z * (1 - z)
-        dr = dn * a * r * (1 - r)
-        da = np.concatenate([dz, dr, dn * r], axis=1)
-        grad["wh"] += h0.T @ da
-        d_given[t, :, : 2 * n], d_given[t, :, 2 * n :] = da[:, : 2 * n], dn
-        dh = (dh * z + da @ p["wh"].T) * ~fresh[t][:, None]
-    order = np.argsort(x, axis=None, kind="stable")
-    d_gates = np.add.reduceat(d_given.reshape(-1, 3 * n)[order], np.searchsorted(x.ravel()[order], np.arange(len(seen))))
-    grad["b"] += d_gates.sum(axis=0)
-    grad["wx"] += p["emb"][seen].T @ d_gates
-    grad["emb"][seen] += d_gates @ p["wx"].T
+        dh += d_states[t]
+        np.multiply(dh, by_new[t], out=dn[t])
+        np.multiply(dh, by_z[t], out=da[t, :n])
+        np.multiply(dn[t], by_r[t], out=da[t, n : 2 * n])
+        np.multiply(dn[t], r[t], out=da[t, 2 * n :])
+        dh *= z[t]
+        dh += p["wh"] @ da[t]
+        if some[t]:
+            dh *= ~fresh[t]
+    grad["wh"] += (before @ da.transpose(0, 2, 1)).sum(axis=0)
+    da[:, 2 * n :] = dn
+    grad["b"] += da.sum(axis=2).sum(axis=0)
+    grad["wx"] += (p["emb"].take(x, axis=0).transpose(0, 2, 1) @ da.transpose(0, 2, 1)).sum(axis=0)
+    flat = x.ravel().astype(np.uint16)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(flat)) + 1])
+    d_emb = (p["wx"] @ da).transpose(0, 2, 1).reshape(-1, EMBED)
+    grad["emb"][flat[starts]] += np.add.reduceat(d_emb.take(order, axis=0), starts)
     return grad, last
 
 
@@ -297,7 +329,10 @@ def score_docs(p: dict, docs: list[np.ndarray]) -> np.ndarray:
         h = np.zeros((x.shape[1], HIDDEN), np.float32) if h is None else h[: x.shape[1]]
         states, h, _ = run_window(p, gates, x, fresh, h)
         found = np.zeros(x.shape)
-        found[valid], _ = output(p, states[valid], y[valid])
+        if valid.all():
+            found = output(p, states.reshape(-1, HIDDEN), y.ravel())[0].reshape(x.shape)
+        else:
+            found[valid], _ = output(p, states[valid], y[valid])
         for b, n in enumerate(valid.sum(axis=0)):
             logs[b][at : at + n] = found[:n, b]
         at += len(x)
