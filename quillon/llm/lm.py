@@ -410,19 +410,38 @@ def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
     return v.with_shapes(totals, singles)
 
 
-def _dealt(docs: DataFrame, v: Vocabulary, rounds: int, groups: int) -> DataFrame:
-    """(round, grp, turn, places) of every row of ``docs`` (key, text), durable: where a row goes depends on
-    its key, its text and which of the rows alike it is, not on how the table is partitioned."""
-    sent = docs.sparkSession.sparkContext.broadcast(vars(v))
+def _placed(rows: DataFrame, v: Vocabulary, text: str) -> DataFrame:
+    """``rows`` with the places of their words and of the end for ``text``, and what follows from counts
+    alone: n_tokens, _known, _base, _inner (log10) and _tail, the words outside the head; durable."""
+    names = [c for c in rows.columns if c != text]
+    sent = rows.sparkSession.sparkContext.broadcast(vars(v))
 
     def run(batches):
         voc = Vocabulary.of(sent.value)
-        for batch in slices(batches, "text"):
-            places = [_places(words_of(t), voc)[1].astype(np.uint16).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(places, pa.binary())], names=["h", "places"])
+        for batch in slices(batches, text):
+            out = []
+            for t in batch.column(text).to_pylist():
+                words = words_of(t)
+                found, places = _places(words, voc)
+                head, tail = found[found >= 0], np.flatnonzero(found < 0)
+                shapes = np.array([shape_of(words[i]) for i in tail], np.int64)
+                n = len(words) + 1
+                base = float(voc.base[head].sum()) + voc.base_end - n * voc.denominator
+                inner = float(voc.inner[head].sum() + voc.new[shapes].sum())
+                out.append((places.astype(np.uint16).tobytes(), n, len(head) + (voc.documents > 0), base, inner, [words[i].decode() for i in tail]))
+            cols = zip(*out, strict=True) if out else ((),) * 6
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string())]
+            arrays = [pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *arrays], names=[*names, "_places", "n_tokens", "_known", "_base", "_inner", "_tail"])
+
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*[f"`{c}`" for c in names]).schema.fields] + ["_places binary, n_tokens long, _known long, _base double, _inner double, _tail array<string>"])
+    return durable(rows.mapInArrow(run, fields), "lm-placed")
 
-    placed = docs.select(F.xxhash64("key", "text").alias("h"), "text").mapInArrow(run, "h long, places binary")
-    alike = placed.groupBy("h", "places").agg(F.count("*").alias("n"))  # rows alike are counted, then dealt out again
+
+def _dealt(docs: DataFrame, rounds: int, groups: int) -> DataFrame:
+    """(round, grp, turn, places) of every row of ``docs`` (h, places; h: a hash of id and text), durable: where
+    a row goes depends on these and on which of the rows alike it is, not on how the table is partitioned."""
+    alike = docs.groupBy("h", "places").agg(F.count("*").alias("n"))  # rows alike are counted, then dealt out again
     each = alike.select("h", "places", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
     seat = F.pmod(F.xxhash64("h", "copy"), F.lit(rounds * groups)).cast("int")
     return durable(each.select((seat % rounds).alias("round"), (seat / rounds).cast("int").alias("grp"), F.xxhash64("copy", "h").alias("turn"), "places"), "lm-train")
@@ -437,7 +456,7 @@ def _average(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict:
-    """Weights after ``rounds`` of local training and averaging over ``docs`` (key, text).
+    """Weights after ``rounds`` of local training and averaging over ``docs`` (h, places).
 
     Every row takes part in one round, in one group of about GROUP_TOKENS tokens, by hash. A task
     trains on a group from the round's weights; these are averaged FAN at a time, so that the
@@ -447,7 +466,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict:
     spark = docs.sparkSession
     p = initial(v.freq)
     groups = max(1, -(-v.tokens // (rounds * GROUP_TOKENS)))
-    dealt, begin = _dealt(docs, v, rounds, groups), int(v.place[0])
+    dealt, begin = _dealt(docs, rounds, groups), int(v.place[0])
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(p)
 
@@ -478,32 +497,24 @@ def score(df: DataFrame, learns: Column, text: str = "text", id_col: str = "doc_
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     df = public(df, *added)
     names = [c for c in df.columns if c != text]
-    docs = df.where(learns).select(F.col(id_col).cast("string").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    learns = F.coalesce(learns, F.lit(False))
+    docs = df.where(learns).select(body.alias("text"))
     counts = count_words(docs)
     v = vocabulary(counts, docs.count())
-    sent = df.sparkSession.sparkContext.broadcast((vars(v), train(docs, v)))
+    key = F.xxhash64(F.col(id_col).cast("string"), body)
+    placed = _placed(df.select(*names, F.monotonically_increasing_id().alias("_rid"), learns.alias("_learns"), key.alias("_h"), text), v, text)
+    sent = df.sparkSession.sparkContext.broadcast((vars(v), train(placed.where("_learns").select(F.col("_h").alias("h"), F.col("_places").alias("places")), v)))
+    kept = [*names, "_rid", "n_tokens", "_known", "_base", "_inner"]
 
     def run(batches):
-        state, p = sent.value
-        voc = Vocabulary.of(state)
-        for batch in slices(batches, text):
-            places, rows = [], []
-            for t in batch.column(text).to_pylist():
-                words = words_of(t)
-                found, where = _places(words, voc)
-                head, tail = found[found >= 0], np.flatnonzero(found < 0)
-                shapes = np.array([shape_of(words[i]) for i in tail], np.int64)
-                n = len(words) + 1
-                base = float(voc.base[head].sum()) + voc.base_end - n * voc.denominator
-                places.append(where)
-                rows.append((n, len(head) + (voc.documents > 0), base, float(voc.inner[head].sum() + voc.new[shapes].sum()), [words[i].decode() for i in tail]))
-            n, known, base, inner, tails = zip(*rows, strict=True) if rows else ((),) * 5
-            logs = score_docs(p, places) + np.array(inner) if rows else ()
-            cols = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(logs, pa.float64()), pa.array(tails, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in [*names, "_rid"]], *cols], names=[*names, "_rid", "n_tokens", "_known", "_base", "_score", "_tail"])
+        p = sent.value[1]
+        for batch in slices(batches, "_places", 2 << 20):
+            logs = score_docs(p, [np.frombuffer(x, np.uint16).astype(np.int64) for x in batch.column("_places").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(logs, pa.float64())], names=[*kept, "_logs"])
 
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema.fields] + ["_rid long", "n_tokens long", "_known long", "_base double", "_score double", "_tail array<string>"])
-    scored = durable(df.withColumn("_rid", F.monotonically_increasing_id()).select(*names, "_rid", text).mapInArrow(run, fields), "lm-scored")
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*kept).schema.fields] + ["_logs double"])
+    scored = placed.select(*kept, "_places").mapInArrow(run, fields)
 
     # words outside the head: what they have above a word never seen
     def above(batches):
@@ -517,10 +528,10 @@ def score(df: DataFrame, learns: Column, text: str = "text", id_col: str = "doc_
             yield out.filter(pa.array(keep))
 
     gains = counts.mapInArrow(above, "word string, up_base double, up double")
-    tail = scored.select("_rid", F.explode("_tail").alias("word"))
+    tail = placed.select("_rid", F.explode("_tail").alias("word"))
     gained = tail.join(gains, "word").groupBy("_rid").agg(F.count("*").alias("k"), F.sum("up_base").alias("up_base"), F.sum("up").alias("up"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return scored.drop("_tail").join(gained, "_rid", "left").select(
+    return scored.join(gained, "_rid", "left").select(
         *names, "n_tokens", (F.col("_known") + zero(F.col("k"))).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
-        (F.col("_base") + zero(F.col("up_base"))).alias("base_score"), (F.col("_score") + zero(F.col("up"))).alias("score"),
+        (F.col("_base") + zero(F.col("up_base"))).alias("base_score"), (F.col("_logs") + F.col("_inner") + zero(F.col("up"))).alias("score"),
     )

@@ -294,7 +294,8 @@ def test_every_document_trains_and_copies_spread(spark, monkeypatch):
     df, written, write = spark.createDataFrame(rows, "key string, text string"), {}, lm.durable
     monkeypatch.setattr(lm, "durable", lambda x, name: written.setdefault(name, write(x, name)))
     v = lm.vocabulary(lm.count_words(df), len(rows))
-    got = lm._dealt(df, v, lm.ROUNDS, 3).collect()
+    placed = lm._placed(df.select(F.xxhash64("key", "text").alias("h"), "text"), v, "text")
+    got = lm._dealt(placed.select("h", F.col("_places").alias("places")), lm.ROUNDS, 3).collect()
     places = Counter(lm._places(lm.words_of(t), v)[1].astype(np.uint16).tobytes() for _, t in rows)
     assert Counter(bytes(r.places) for r in got) == places
     for text in (rows[0][1], rows[60][1]):
