@@ -90,6 +90,7 @@ class Vocabulary:
         order = np.argsort(-freq, kind="stable")
         self.place = np.empty(n, np.int64)  # id -> class * SLOTS + slot, the most frequent first
         self.place[order] = np.arange(n)
+        self.order = order
         self.freq = np.zeros(CLASSES * SLOTS)
         self.freq[self.place] = freq
         return self
@@ -111,38 +112,40 @@ def initial(freq: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     }
 
 
-def run_window(p: dict, gates: np.ndarray, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
+def run_window(p: dict, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
     """(states after each of the T steps of x (T, B), last state, what backpropagation needs of them if ``keep``).
 
     A lane starts from zero where ``fresh``. Inside, lanes run along the last axis, so that the
-    parts of a gate are contiguous.
+    parts of a gate are contiguous; a step's input is the state, the embedding and a one for the bias.
     """
     n, (steps, lanes) = HIDDEN, x.shape
-    some, given, wh = fresh.any(axis=1), gates.take(x, axis=0), np.ascontiguousarray(p["wh"].T)
+    some, emb = fresh.any(axis=1), p["emb"].take(x, axis=0).transpose(0, 2, 1)
+    w = np.concatenate([p["wh"], p["wx"], p["b"][None]]).T
+    gate, inner, given = w[: 2 * n] * w.dtype.type(0.5), np.ascontiguousarray(w[2 * n :, :n]), np.ascontiguousarray(w[2 * n :, n:])
     kept = steps if keep else 1
-    states = np.empty((steps, n, lanes), h.dtype)
-    before, a = np.empty((kept, n, lanes), h.dtype), np.empty((kept, 3 * n, lanes), h.dtype)
-    zr, new = np.empty((kept, 2 * n, lanes), h.dtype), np.empty((kept, n, lanes), h.dtype)
-    last = np.ascontiguousarray(h.T)
+    states, u = np.empty((steps, n, lanes), h.dtype), np.ones((kept, n + EMBED + 1, lanes), h.dtype)
+    zr, new, a = (np.empty((kept, k * n, lanes), h.dtype) for k in (2, 1, 1))
+    part, last = np.empty((n, lanes), h.dtype), h.T
     for t in range(steps):
-        k, g = t % kept, given[t].T
+        k = t % kept
+        before = u[k, :n]
         if some[t]:
-            last = last * ~fresh[t]
-        np.matmul(wh, last, out=a[k])
-        s = np.add(a[k, : 2 * n], g[: 2 * n], out=zr[k])
-        s *= 0.5  # the logistic function by way of tanh
-        np.tanh(s, out=s)
+            np.multiply(last, ~fresh[t], out=before)
+        else:
+            before[:] = last
+        u[k, n:-1] = emb[t]
+        s = np.matmul(gate, u[k], out=zr[k])
+        np.tanh(s, out=s)  # the logistic function by way of tanh, its argument halved in the weights
         s += 1
         s *= 0.5
-        c = np.multiply(s[n:], a[k, 2 * n :], out=new[k])
-        c += g[2 * n :]
+        np.multiply(s[n:], np.matmul(inner, before, out=a[k]), out=part)
+        c = np.matmul(given, u[k, n:], out=new[k])
+        c += part
         np.tanh(c, out=c)
-        if keep:
-            before[t] = last
-        last = np.subtract(last, c, out=states[t])
+        last = np.subtract(before, c, out=states[t])
         last *= s[:n]
         last += c
-    return np.ascontiguousarray(states.transpose(0, 2, 1)), last.T, (before, zr[:, :n], zr[:, n:], new, a[:, 2 * n :])
+    return np.ascontiguousarray(states.transpose(0, 2, 1)), last.T, (u, zr[:, :n], zr[:, n:], new, a)
 
 
 def output(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
@@ -209,7 +212,7 @@ def _output(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None):
 def train_window(p: dict, x: np.ndarray, y: np.ndarray, valid: np.ndarray, fresh: np.ndarray, h: np.ndarray):
     """(gradients, last state): truncated backpropagation through one window."""
     n, some = HIDDEN, fresh.any(axis=1)
-    states, last, (before, z, r, new, a) = run_window(p, p["emb"] @ p["wx"] + p["b"], x, fresh, h, keep=True)
+    states, last, (u, z, r, new, a) = run_window(p, x, fresh, h, keep=True)
     grad = {k: np.zeros_like(v) for k, v in p.items()}
     if valid.all():
         d_states = output(p, states.reshape(-1, n), y.ravel(), grad)[1].reshape(states.shape)
@@ -218,7 +221,7 @@ def train_window(p: dict, x: np.ndarray, y: np.ndarray, valid: np.ndarray, fresh
         _, d_states[valid] = output(p, states[valid], y[valid], grad)
     d_states = np.ascontiguousarray(d_states.transpose(0, 2, 1))
     # what a step's gradient is multiplied by, for all steps at once
-    by_new, by_z, by_r = 1 - new * new, before - new, a * r
+    by_new, by_z, by_r = 1 - new * new, u[:, :n] - new, a * r
     by_z *= z
     rest = 1 - z
     by_new *= rest
@@ -236,10 +239,15 @@ def train_window(p: dict, x: np.ndarray, y: np.ndarray, valid: np.ndarray, fresh
         dh += p["wh"] @ da[t]
         if some[t]:
             dh *= ~fresh[t]
-    grad["wh"] += (before @ da.transpose(0, 2, 1)).sum(axis=0)
+    d = (u @ da[:, : 2 * n].transpose(0, 2, 1)).sum(axis=0)
+    grad["wh"][:, : 2 * n] += d[:n]
+    grad["wx"][:, : 2 * n] += d[n:-1]
+    grad["b"][: 2 * n] += d[-1]
+    grad["wh"][:, 2 * n :] += (u[:, :n] @ da[:, 2 * n :].transpose(0, 2, 1)).sum(axis=0)
+    d = (u[:, n:] @ dn.transpose(0, 2, 1)).sum(axis=0)
+    grad["wx"][:, 2 * n :] += d[:-1]
+    grad["b"][2 * n :] += d[-1]
     da[:, 2 * n :] = dn
-    grad["b"] += da.sum(axis=2).sum(axis=0)
-    grad["wx"] += (p["emb"].take(x, axis=0).transpose(0, 2, 1) @ da.transpose(0, 2, 1)).sum(axis=0)
     flat = x.ravel().astype(np.uint16)
     order = np.argsort(flat, kind="stable")
     flat = flat[order]
@@ -323,11 +331,10 @@ def score_docs(p: dict, docs: list[np.ndarray]) -> np.ndarray:
     dealt = sorted((lane for lane in lanes_of([len(d) for d in docs], SCORE_LANES)), key=lambda lane: -sum(len(docs[i]) for i in lane))
     lanes = [np.concatenate([docs[i] for i in lane]) for lane in dealt]
     starts = [np.cumsum([0, *(len(docs[i]) for i in lane[:-1])]) for lane in dealt]
-    gates, h = p["emb"] @ p["wx"] + p["b"], None
-    logs, at = [np.empty(len(lane)) for lane in lanes], 0
+    h, logs, at = None, [np.empty(len(lane)) for lane in lanes], 0
     for x, y, valid, fresh in laid_out(lanes, starts, int(docs[0][-1]), SCORE_WINDOW):
         h = np.zeros((x.shape[1], HIDDEN), np.float32) if h is None else h[: x.shape[1]]
-        states, h, _ = run_window(p, gates, x, fresh, h)
+        states, h, _ = run_window(p, x, fresh, h)
         found = np.zeros(x.shape)
         if valid.all():
             found = output(p, states.reshape(-1, HIDDEN), y.ravel())[0].reshape(x.shape)
@@ -424,7 +431,7 @@ def _placed(rows: DataFrame, v: Vocabulary, text: str) -> DataFrame:
                 words = words_of(t)
                 found, places = _places(words, voc)
                 head, tail = found[found >= 0], np.flatnonzero(found < 0)
-                shapes = np.array([shape_of(words[i]) for i in tail], np.int64)
+                shapes = voc.order[places[tail]] - 1
                 n = len(words) + 1
                 base = float(voc.base[head].sum()) + voc.base_end - n * voc.denominator
                 inner = float(voc.inner[head].sum() + voc.new[shapes].sum())

@@ -354,8 +354,8 @@ def test_windows_carry_state_and_gradients_are_right():
     wide, lm.SCORE_WINDOW = lm.SCORE_WINDOW, 5  # and however they are cut into windows
     assert np.allclose(lm.score_docs(p, texts), whole, rtol=1e-4)
     lm.SCORE_WINDOW = wide
-    h, gates = np.zeros((1, lm.HIDDEN), np.float32), p["emb"] @ p["wx"] + p["b"]
-    states, _, _ = lm.run_window(p, gates, np.array([[used[0]]]), np.array([[True]]), h)
+    h = np.zeros((1, lm.HIDDEN), np.float32)
+    states, _, _ = lm.run_window(p, np.array([[used[0]]]), np.array([[True]]), h)
     everything, _ = lm.output(p, np.repeat(states[0], lm.CLASSES * lm.SLOTS, 0), np.arange(lm.CLASSES * lm.SLOTS))
     assert abs(np.exp(everything).sum() - 1) < 1e-4
     x, y, valid, fresh = next(lm.laid_out([np.concatenate(texts[2:]), np.concatenate(texts[:2])], [np.array([0, len(texts[2])]), np.array([0, len(texts[0])])], int(v.place[0]), 12))
@@ -363,7 +363,7 @@ def test_windows_carry_state_and_gradients_are_right():
     grad, _ = lm.train_window(p, x, y, valid, fresh, np.zeros((x.shape[1], lm.HIDDEN)))
 
     def loss():
-        st, _, _ = lm.run_window(p, p["emb"] @ p["wx"] + p["b"], x, fresh, np.zeros((x.shape[1], lm.HIDDEN)))
+        st, _, _ = lm.run_window(p, x, fresh, np.zeros((x.shape[1], lm.HIDDEN)))
         f = valid.ravel()
         return -lm.output(p, st.reshape(-1, lm.HIDDEN)[f], y.ravel()[f])[0].mean()  # states of places that are not valid count nothing
 
