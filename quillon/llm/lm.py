@@ -27,6 +27,8 @@ from quillon.llm.common import durable, public, slices
 
 #: At most so many words' counts travel to the workers; the others' are joined.
 HEAD = 65_536
+#: A task counts so many words before it passes the counts on.
+HELD = 300_000
 #: Classes and words in each: the softmax has CLASSES * SLOTS outputs.
 CLASSES, SLOTS = 64, 64
 EMBED, HIDDEN = 16, 32
@@ -47,10 +49,12 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_LOWER).split()
 
 
+#: Twice the kind of a word's last byte: a listed mark, a digit, another one that is no small letter, the rest.
+_KINDS = [2 * _ENDS.get(c, 10 if 48 <= c <= 57 else 11 if c < 128 and not 97 <= c <= 122 else 0) for c in range(256)]
+
+
 def shape_of(word: bytes) -> int:
-    c = word[-1]
-    kind = 10 if 48 <= c <= 57 else 11 if c < 128 and not 97 <= c <= 122 else 0
-    return 2 * _ENDS.get(c, kind) + (not word.isascii())
+    return _KINDS[word[-1]] + (not word.isascii())
 
 
 class Vocabulary:
@@ -174,6 +178,15 @@ def _layer(h: np.ndarray, w: np.ndarray, target: np.ndarray, rows: np.ndarray, o
     return logs, e, total
 
 
+def _products(a: np.ndarray, b: np.ndarray, block: int = 384) -> np.ndarray:
+    """a.T @ b for many rows, block by block: much faster than one product of two thin matrices."""
+    m = len(a) // block * block
+    out = a[m:].T @ b[m:]
+    if m:
+        out += (a[:m].reshape(-1, block, a.shape[1]).transpose(0, 2, 1) @ b[:m].reshape(-1, block, b.shape[1])).sum(axis=0)
+    return out
+
+
 def _output(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None):
     order = np.argsort(y, kind="stable")
     y = y.take(order).astype(np.int64)
@@ -191,7 +204,7 @@ def _output(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None):
     if grad is not None:
         e *= (scale / total)[:, None]
         e[rows, c] -= scale
-        d = wide.T @ e
+        d = _products(wide, e)
         grad["wc"] += d[:n]
         grad["bc"] += d[n]
         dh = e @ p["wc"].T
@@ -202,7 +215,7 @@ def _output(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None):
         if grad is not None:
             e *= (scale / total)[:, None]
             e[own, target] -= scale
-            d = wide[part].T @ e
+            d = _products(wide[part], e)
             grad["ww"][k] += d[:n]
             grad["bw"][k] += d[n]
             dh[part] += e @ p["ww"][k].T
@@ -367,19 +380,25 @@ def _places(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(head index or -1, place) of each word and of the end."""
     found = np.fromiter(map(v.index.get, words, repeat(-1)), np.int64, len(words))
     ids = np.append(v.ids[found] if len(v.ids) else np.zeros(len(words), np.int64), 0)
-    for i in np.flatnonzero(found < 0):
-        ids[i] = 1 + shape_of(words[i])
+    miss = np.flatnonzero(found < 0)
+    ids[miss] = [1 + _KINDS[w[-1]] + (not w.isascii()) for w in map(words.__getitem__, miss)]
     return found, v.place[ids]
 
 
 def count_words(train: DataFrame) -> DataFrame:
     """(word, n) over all texts of ``train``."""
+    def counted(seen):
+        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
     def run(batches):
+        seen: Counter = Counter()
         for batch in slices(batches, "text"):
-            seen: Counter = Counter()
             for t in batch.column("text").to_pylist():
                 seen.update(words_of(t))
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            if len(seen) >= HELD:
+                yield counted(seen)
+                seen.clear()
+        yield counted(seen)
 
     return durable(train.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
 
@@ -517,7 +536,9 @@ def score(df: DataFrame, learns: Column, text: str = "text", id_col: str = "doc_
     def run(batches):
         p = sent.value[1]
         for batch in slices(batches, "_places", 2 << 20):
-            logs = score_docs(p, [np.frombuffer(x, np.uint16).astype(np.int64) for x in batch.column("_places").to_pylist()])
+            rows = batch.column("_places").to_pylist()
+            at = {x: k for k, x in enumerate(dict.fromkeys(rows))}  # texts alike score alike
+            logs = score_docs(p, [np.frombuffer(x, np.uint16).astype(np.int64) for x in at])[[at[x] for x in rows]]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(logs, pa.float64())], names=[*kept, "_logs"])
 
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*kept).schema.fields] + ["_logs double"])
