@@ -29,16 +29,18 @@ def _path(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write beside, then rename over."""
+    """Write beside, then rename over, in one step: readers find the old text or the new one."""
     fs, target = _path(spark, path)
     _, beside = _path(spark, f"{path}.{uuid.uuid4().hex}")
     out = fs.create(beside, True)
     out.write(bytearray(text, "utf-8"))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(beside, target):
-        raise OSError(f"cannot write {path}")
+    target = fs.makeQualified(target)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    kind = getattr(hadoop, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    hadoop.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), target, over)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
