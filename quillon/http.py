@@ -1,4 +1,4 @@
-"""The service over HTTP: GET /api/search, /api/du, /api/stats, /api/health and POST /api/rescan."""
+"""The service over HTTP: GET /api/search, /api/du, /api/stats, /api/feed, /api/health; POST /api/rescan, /api/rebuild."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ def _number(text: str | None) -> int | None:
     return int(text) if text and text.lstrip("-").isdigit() else None
 
 
-def answer(service: Service, method: str, target: str, rescan: Callable[[], None] | None = None) -> tuple[int, dict]:
+def answer(service: Service, method: str, target: str, rescan: Callable[[], None] | None = None, rebuild: Callable[[], None] | None = None) -> tuple[int, dict]:
     """(status, body). Errors of a query are answers of status 200 with ok: false."""
     url = urlsplit(target)
     q = {k: v[-1] for k, v in parse_qs(url.query, keep_blank_values=True).items()}
@@ -28,17 +28,27 @@ def answer(service: Service, method: str, target: str, rescan: Callable[[], None
             return 200, service.du(q.get("path", ""), _number(q.get("depth")), 20 if top is None else top, q.get("allocated", "0"))
         if url.path == "/api/stats":
             return 200, service.stats()
+        if url.path == "/api/feed":
+            return 200, service.feed()
     elif method == "POST" and url.path == "/api/rescan" and rescan:
         rescan()
         return 200, {"ok": True, "reloaded": service.refresh()}
+    elif method == "POST" and url.path == "/api/rebuild" and rebuild:
+        rebuild()
+        return 200, {"ok": True, "requested": "rebuild"}
     return 404, {"ok": False, "error": f"no {url.path}"}
 
 
-def server(service: Service, host: str = "127.0.0.1", port: int = 0, rescan: Callable[[], None] | None = None) -> ThreadingHTTPServer:
-    """Not yet serving; port 0 takes a free one."""
+def server(service: Service, host: str = "127.0.0.1", port: int = 0, rescan: Callable[[], None] | None = None, rebuild: Callable[[], None] | None = None) -> ThreadingHTTPServer:
+    """Not yet serving; port 0 takes a free one. Requests that change something must come from the
+    page of this server, or from no page."""
     class Handler(BaseHTTPRequestHandler):
         def _reply(self):
-            status, body = answer(service, self.command, self.path, rescan)
+            origin = self.headers.get("Origin")
+            if self.command == "POST" and origin and urlsplit(origin).netloc != self.headers.get("Host"):
+                status, body = 403, {"ok": False, "error": "another origin"}
+            else:
+                status, body = answer(service, self.command, self.path, rescan, rebuild)
             raw = json.dumps(body, ensure_ascii=False).encode()
             self.send_response(status)
             self.send_header("Content-Type", "application/json; charset=utf-8")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,18 @@ class Overlay:
         return any(x.limit(CAP + 1).count() > CAP for x in (self.removed, self.delta))
 
 
+def merged(parts: list[Overlay]) -> Overlay:
+    """The overlay of several volumes, whose paths have nothing in common."""
+    return Overlay(reduce(DataFrame.unionByName, [p.removed for p in parts]), reduce(DataFrame.unionByName, [p.delta for p in parts]))
+
+
+def then(before: Overlay | None, removed: DataFrame, delta: DataFrame) -> Overlay:
+    """``before`` with a later batch: rows that it took away are no longer new, rows it brought are."""
+    if before is None:
+        return Overlay(removed, delta)
+    return Overlay(before.removed.union(removed).distinct(), base_left(before.delta, removed).unionByName(delta))
+
+
 def base_left(base: DataFrame, removed: DataFrame) -> DataFrame:
     gone = removed.select(paths.fold_path("path").alias("_gone")).distinct()
     return base.join(gone, paths.fold_path(base["path"]) == gone["_gone"], "left_anti")

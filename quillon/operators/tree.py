@@ -37,8 +37,16 @@ def orphans(records: DataFrame, built: DataFrame, root: int = ROOT) -> DataFrame
     return records.where(F.col("frn") != root).join(built.select("frn").distinct(), "frn", "left_anti")
 
 
-def spilled_metadata(base: DataFrame, extension: DataFrame, columns: list[str]) -> DataFrame:
-    """Base records with what extension records hold of them; without one the old value stays."""
+def spilled_metadata(base: DataFrame, extension: DataFrame, columns: list[str], lists: DataFrame | None = None) -> DataFrame:
+    """Base records with what extension records hold of them; without one the old value stays.
+
+    ``lists`` (frn, owner) says in which record a base's attribute list places its data: what no
+    extension record of the base itself gives is taken from the rows of that owner.
+    """
+    if lists is not None:
+        held = extension.groupBy(F.col("frn").alias("owner")).agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns])
+        second = lists.join(held, "owner").groupBy("frn").agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns])
+        return spilled_metadata(spilled_metadata(base, second, columns), extension.select("frn", *columns), columns)
     got = extension.groupBy("frn").agg(*[F.first(c, ignorenulls=True).alias(f"_{c}") for c in columns])
     out = base.join(got, "frn", "left")
     return out.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*[f"_{c}" for c in columns])

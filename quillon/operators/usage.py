@@ -12,6 +12,7 @@ from quillon.operators.query import QueryError
 from quillon.sources.catalog import with_derived
 
 TOP = 20
+MAX_LONG = 2**63 - 1
 
 
 @dataclass
@@ -43,12 +44,16 @@ def unique_files(entries: DataFrame) -> DataFrame:
     return entries.where(~F.col("is_dir")).groupBy(key.alias("_key")).agg(row.alias("_row")).select("_row.*")
 
 
+def saturating(column: str):
+    """The sum of sizes; the largest long if it is beyond that, 0 of none."""
+    return F.coalesce(F.try_sum(column), F.when(F.count(column) > 0, F.lit(MAX_LONG)).otherwise(F.lit(0)).cast("long"))
+
+
 def totals(catalog: DataFrame, root: str) -> DataFrame:
     """One row: total_bytes, total_allocated, files, dirs (the root left out), entries."""
     sub = subtree(catalog, root)
     ci = paths.fold_path_text(paths.trim_separators(root.strip()))
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    files = unique_files(sub).agg(zero(F.sum("size")).alias("total_bytes"), zero(F.sum("allocated")).alias("total_allocated"), F.count("*").alias("files"))
+    files = unique_files(sub).agg(saturating("size").alias("total_bytes"), saturating("allocated").alias("total_allocated"), F.count("*").alias("files"))
     rest = sub.agg(
         (F.count_if("is_dir") - F.coalesce(F.max(F.when(F.col("is_dir") & (F.col("path_ci") == ci), 1)), F.lit(0))).cast("long").alias("dirs"), F.count("*").alias("entries"))
     return files.join(F.broadcast(rest))  # one row and one row
@@ -61,7 +66,7 @@ def directories(catalog: DataFrame, root: str) -> DataFrame:
     """
     sub = subtree(catalog, root)
     clean = paths.trim_separators(root.strip())
-    sums = [F.sum("size").alias("size"), F.sum("allocated").alias("allocated")]
+    sums = [saturating("size").alias("size"), saturating("allocated").alias("allocated")]
     parents = unique_files(sub).groupBy(paths.dirname("path_ci").alias("parent")).agg(*sums, F.count("*").alias("files"))
     up = F.explode(F.array_append(paths.ancestors("parent"), F.col("parent")))
     rolled = parents.select(up.alias("path_ci"), "size", "allocated", "files").groupBy("path_ci").agg(*sums, F.sum("files").alias("files"))

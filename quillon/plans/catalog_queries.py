@@ -11,6 +11,7 @@ from quillon.functions import paths
 from quillon.operators import duplicates, overlay, search, stats, tree, usage
 from quillon.operators.query import Clock
 from quillon.sources import catalog as C
+from quillon.sources import snapshots
 from quillon.streaming import journal
 
 CLOCK = Clock(1_702_000_000)
@@ -38,7 +39,12 @@ def shown(df: DataFrame, *more: str) -> DataFrame:
 
 
 def catalog_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.of_documents(spark, sf_dir)
+    """The stored snapshot of the catalogue, made by the first query that asks."""
+    return snapshots.stored(spark, f"{sf_dir}/documents.parquet", lambda: C.of_documents(spark, sf_dir))
+
+
+def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog_of(spark, sf_dir).where(~F.col("is_dir"))
 
 
 _FOUND: dict[str, tuple[str, str]] = {
@@ -147,19 +153,19 @@ def _du_pages(spark, d):
 
 def _contents(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return C.of_documents(spark, d, directories=False).select("id", "path").join(docs, "id").select("path", "content")
+    return files_of(spark, d).select("id", "path").join(docs, "id").select("path", "content")
 
 
 def _dupe_groups(spark, d):
-    return duplicates.groups(C.of_documents(spark, d, directories=False), _contents(spark, d), 100).select("path", "size")
+    return duplicates.groups(files_of(spark, d), _contents(spark, d), 100).select("path", "size")
 
 
 def _dupe_ranked(spark, d):
-    return duplicates.ranked(duplicates.groups(C.of_documents(spark, d, directories=False), _contents(spark, d), 100), 10).drop("digest")
+    return duplicates.ranked(duplicates.groups(files_of(spark, d), _contents(spark, d), 100), 10).drop("digest")
 
 
 def _dupe_summary(spark, d):
-    return duplicates.summary(C.of_documents(spark, d, directories=False), _contents(spark, d), 100)
+    return duplicates.summary(files_of(spark, d), _contents(spark, d), 100)
 
 
 def tree_records(spark: SparkSession, d: str) -> DataFrame:
@@ -193,7 +199,7 @@ live AS (SELECT * FROM delta UNION ALL SELECT {', '.join(SHOWN)}, 1 FROM catalog
 
 
 def _trigram_postings(spark, d):
-    return stats.trigram_rows(C.of_documents(spark, d, directories=False)).groupBy("trigram").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return stats.trigram_rows(files_of(spark, d)).groupBy("trigram").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 def _attribute_lists(spark, d):
@@ -201,14 +207,14 @@ def _attribute_lists(spark, d):
 
 
 def _spilled(spark, d):
-    c = C.of_documents(spark, d, directories=False)
+    c = files_of(spark, d)
     base = c.select(F.col("id").alias("frn"), "path", "size", "mtime")
     ext = c.where(F.col("id") % 3 == 0).select(F.col("id").alias("frn"), (F.col("size") * 2).alias("size"), F.when(F.col("id") % 2 == 0, F.col("ctime")).alias("mtime"))
     return tree.spilled_metadata(base, ext, ["size", "mtime"])
 
 
 def _scalars(spark, d):
-    c = C.of_documents(spark, d, directories=False)
+    c = files_of(spark, d)
     return c.select(
         "id", paths.basename("path").alias("name"), paths.dirname("path").alias("dir"), paths.lower_reversed(paths.basename("path")).alias("rev"),
         paths.filetime_to_unix((F.col("mtime") + paths.FILETIME_EPOCH) * 10_000_000 + 5).alias("unix"), paths.masked_frn(F.col("frn") + F.lit(1 << 50)).alias("frn"),

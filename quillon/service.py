@@ -10,39 +10,67 @@ from quillon.operators import duplicates, overlay, search, stats, usage
 from quillon.operators.query import Clock, QueryError
 from quillon.sources import snapshots
 from quillon.sources.catalog import HIT
+from quillon.streaming import pending
 
 
 class Service:
-    """Search and roll-up over the current snapshot, with an overlay of changes if there is one.
+    """Search over the current snapshot with the changes that wait beside it; roll-ups over the
+    snapshot alone.
 
-    Answers are kept for TTL seconds, CACHE at most, and dropped when the data change.
+    Answers are kept for TTL seconds, CACHE at most, and dropped when the data change. With
+    ``watch`` the pointers are looked at before an answer, every POLL seconds at most.
     """
 
-    CACHE, TTL = 256, 3.0
+    CACHE, TTL, POLL = 256, 3.0, 2.0
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.overlay, self.generation = spark, root, None, 0
+    def __init__(self, spark: SparkSession, root: str, watch: bool = False):
+        self.spark, self.root, self.watch, self.overlay, self.generation = spark, root, watch, None, 0
+        self.saturated, self.names, self.looked = False, {}, time.monotonic()
         self.kept: dict[tuple, tuple[float, dict]] = {}
         self.reload()
 
     def reload(self) -> None:
-        self.base, self.version = snapshots.load(self.spark, self.root), snapshots.read_text(self.spark, f"{self.root}/current")
-        self.overlay, self.generation = None, self.generation + 1
+        s = pending.read(self.spark, self.root)
+        self.base, self.version = snapshots.load(self.spark, self.root, s["base"]), s["base"]
+        self.overlay, self.saturated, self.names, self.generation = None, False, {}, self.generation + 1
         self.kept.clear()
+        self._take(s)
+
+    def _take(self, s: dict) -> None:
+        changes = pending.every(self.spark, self.root, s)
+        if changes is not None:
+            self.changed(changes.removed, changes.delta)
+        self.names = dict(s["pending"])
 
     def refresh(self) -> bool:
-        """Load the snapshot anew if the pointer has moved."""
-        if snapshots.read_text(self.spark, f"{self.root}/current") == self.version:
+        """Load the snapshot anew if the pointer has moved, the changes if there are others."""
+        s = pending.read(self.spark, self.root)
+        if s["base"] != self.version:
+            self.reload()
+            return True
+        if s["pending"] == self.names:
             return False
-        self.reload()
+        self._take(s)
         return True
 
+    def poll(self) -> None:
+        if self.watch and time.monotonic() - self.looked >= self.POLL:
+            self.refresh()
+            self.looked = time.monotonic()
+
+    def warm(self) -> None:
+        """Read the snapshot once before the first question."""
+        self.stats()
+
     def changed(self, removed: DataFrame, delta: DataFrame) -> None:
-        """A batch of changes; it replaces the one before."""
+        """A batch of changes; it replaces the one before. Answers stay right beyond the cap on rows,
+        but a fold is due: the feed says so."""
         self.overlay = overlay.Overlay(removed, delta)
+        self.saturated = self.overlay.saturated()
         self.kept.clear()
 
     def search(self, q: str, limit: int | None = None, sort: str | None = None, desc: str | None = None, clock: Clock | None = None) -> dict:
+        self.poll()
         key, now = (q, limit, sort, desc), time.monotonic()
         if key in self.kept and now - self.kept[key][0] < self.TTL:
             return self.kept[key][1] | {"took_ms": 0}
@@ -82,3 +110,9 @@ class Service:
 
     def health(self) -> dict:
         return {"ok": True, "generation": self.generation, "overlay": self.overlay is not None}
+
+    def feed(self) -> dict:
+        """The changes that answers include."""
+        self.poll()
+        n = {"removed": self.overlay.removed.count(), "delta": self.overlay.delta.count()} if self.overlay else {"removed": 0, "delta": 0}
+        return {"ok": True, "watching": self.watch, "generation": self.generation, "version": self.version, "saturated": self.saturated} | n

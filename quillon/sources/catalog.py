@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import paths
+from quillon.sources.scratch import durable
 
 SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), False), T.StructField("path", T.StringType(), False), T.StructField("is_dir", T.BooleanType(), False),
@@ -44,9 +45,11 @@ def with_derived(df: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], start: int = 0) -> DataFrame:
-    """Dense ids from ``start`` in this order, counted per partition first: no task gets all rows."""
+    """Dense ids from ``start`` in this order, counted per partition first: no task gets all rows.
+
+    The ranges are written before they are counted, so that both readings see the same ones."""
     ranged = df.drop("id").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_m", F.monotonically_increasing_id())
+    ranged = durable(ranged.withColumn("_m", F.monotonically_increasing_id()), "numbered")
     from pyspark.sql.window import Window
 
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))

@@ -7,13 +7,17 @@ writers and Hadoop's file system, so any store that Spark reaches will do.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillon.sources.catalog import normalise, with_derived
+from quillon.sources.scratch import folder
 
 #: How complete a way of building is (fixed values); what has none of these counts 0.
 RANKS = {"mft": 3, "usn": 2, "walk": 1}
@@ -50,6 +54,16 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(r.value for r in spark.read.text(path).collect())
 
 
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """What a JSON file holds; None if it is missing or torn."""
+    return _json(read_text(spark, path))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
 def _json(text: str | None) -> dict | None:
     try:
         return json.loads(text) if text else None
@@ -67,7 +81,8 @@ def rank(method: str | None) -> int:
 
 
 def save(catalog: DataFrame, root: str, method: str = "mft", volumes: list[str] | None = None, skipped: int = 0, force: bool = False) -> str:
-    """Write a new version with the derived columns, sorted within files, and point to it.
+    """Write a new version with the derived columns, in ranges of the folded path, and point to it:
+    files and row groups of other subtrees are skipped by their statistics.
 
     A method of a lower rank than that of the current snapshot is refused unless ``force``.
     """
@@ -76,25 +91,39 @@ def save(catalog: DataFrame, root: str, method: str = "mft", volumes: list[str]
     if before and rank(before.get("method")) > rank(method) and not force:
         raise DegradeError(f"{method} would replace {before['method']}")
     version = f"v_{uuid.uuid4().hex}"
-    with_derived(normalise(catalog)).sortWithinPartitions("path_ci").write.parquet(f"{root}/{version}")
+    with_derived(normalise(catalog)).repartitionByRange("path_ci").sortWithinPartitions("path_ci").write.parquet(f"{root}/{version}")
     write_text(spark, f"{root}/current", version)
     kept = spark.read.parquet(f"{root}/{version}")
-    dirs = kept.where("is_dir").count()
-    meta = {"method": method, "volumes": volumes or [], "files": kept.count() - dirs, "dirs": dirs, "skipped": skipped,
+    n = kept.agg(F.count("*").alias("all"), F.count_if("is_dir").alias("dirs")).first()
+    meta = {"method": method, "volumes": volumes or [], "files": n["all"] - n.dirs, "dirs": n.dirs, "skipped": skipped,
             "elapsed_ms": int(1000 * (time.time() - began)), "built_at_unix": int(time.time())}
     write_text(spark, f"{root}/meta.json", json.dumps(meta))
     return version
 
 
-def load(spark: SparkSession, root: str) -> DataFrame:
-    """The current version. Ones that lack derived columns or allocated sizes get them (the latter: sizes)."""
-    version = read_text(spark, f"{root}/current")
+def load(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
+    """The current version, or the one named. Ones that lack derived columns or allocated sizes get them (the latter: sizes)."""
+    version = version or read_text(spark, f"{root}/current")
     if version is None:
         raise FileNotFoundError(root)
     df = spark.read.parquet(f"{root}/{version}")
     return df if {"name_l", "path_ci", "allocated"} <= set(df.columns) else with_derived(normalise(df))
 
 
+def stored(spark: SparkSession, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The catalogue that ``build`` makes of the files at ``source``, kept as a snapshot in the shared
+    folder and made anew when their number, bytes or time of change do. Filters reach its scan."""
+    fs, p = _path(spark, source)
+    held = fs.getContentSummary(p)
+    mark = f"{fs.makeQualified(p)}|{held.getFileCount()}|{held.getLength()}|{fs.getFileStatus(p).getModificationTime()}"
+    root = f"{folder(spark)}/catalogue-{hashlib.md5(mark.encode()).hexdigest()}"
+    try:
+        return load(spark, root)
+    except FileNotFoundError:
+        save(build(), root)
+        return load(spark, root)
+
+
 def upgrade(spark: SparkSession, root: str) -> bool:
     """Rewrite a version that lacks columns; False if there is nothing to do."""
     version = read_text(spark, f"{root}/current")

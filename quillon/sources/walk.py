@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import time
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +12,18 @@ from pyspark.sql import functions as F
 
 from quillon.functions import paths
 from quillon.sources.catalog import normalise, numbered
+from quillon.sources.scratch import durable
+from quillon.sources.snapshots import rank
+
+
+def drives(text: str) -> list[str]:
+    """The letters of a comma list, each once: ``c:, D,c`` is C and D."""
+    return list(dict.fromkeys(x.strip().rstrip(":\\/").upper() for x in text.split(",") if x.strip(" :\\/")))
 
 
 def volumes(rows: DataFrame, wanted: str = "") -> DataFrame:
     """volumes(drive, label, fs) of a comma list of letters; all if it is empty."""
-    letters = [x.strip().rstrip(":").upper() for x in wanted.split(",") if x.strip()]
+    letters = drives(wanted)
     return rows.where(F.upper("drive").isin(letters)) if letters else rows
 
 
@@ -67,7 +76,7 @@ def tree(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
             yield pd.DataFrame(out, columns=["path", "is_dir", "size", "mtime", "ctime"])
 
     below = spark.createDataFrame([(b,) for b in branches], "path string").repartition(max(1, min(len(branches), 64))).mapInPandas(walk, schema)
-    every = spark.createDataFrame(rows, schema).union(below).persist()
+    every = durable(spark.createDataFrame(rows, schema).union(below), "walk")
     skipped = every.where("path IS NULL").count() + sum(x is None for x in top)
     entries = numbered(every.where("path IS NOT NULL").withColumn("allocated", F.lit(0)), ["path"])
     return normalise(entries), skipped
@@ -82,5 +91,75 @@ def method_of(methods: list[str]) -> str:
     return methods[0] if len(set(methods)) == 1 else "mixed"
 
 
+@dataclass
+class Part:
+    """What one way of reading a volume found."""
+
+    drive: str
+    method: str
+    entries: DataFrame
+    skipped: int = 0
+    max_usn: int | None = None
+
+
+@dataclass
+class Report:
+    method: str
+    volumes: list[str] = field(default_factory=list)
+    files: int = 0
+    dirs: int = 0
+    skipped: int = 0
+    elapsed_ms: int = 0
+    max_usn: dict[str, int] = field(default_factory=dict)
+
+
+def build(parts: list[Part], wanted: str = "", method: str = "auto") -> tuple[DataFrame, Report]:
+    """(catalogue, report) of the wanted volumes (empty: all): of several ways to read one, that of
+    ``method``, or with ``auto`` the most complete there is. The entries come out numbered anew."""
+    began, letters, chosen = time.monotonic(), drives(wanted), {}
+    for p in parts:
+        drive = p.drive.rstrip(":").upper() if len(p.drive) < 3 else p.drive
+        fits = (not letters or drive in letters) and method in ("auto", p.method)
+        if fits and (drive not in chosen or rank(p.method) > rank(chosen[drive].method)):
+            chosen[drive] = p
+    if not chosen:
+        raise ValueError(f"no volume of {wanted or 'any letter'} can be read by {method}")
+    found = list(chosen.values())
+    entries = durable(union_of_volumes([p.entries for p in found]), "built")
+    n = entries.agg(F.count("*").alias("all"), F.count_if("is_dir").alias("dirs")).first()
+    most = {d: p.max_usn for d, p in chosen.items() if p.max_usn is not None}
+    report = Report(method_of([p.method for p in found]), sorted(chosen), n["all"] - n.dirs, n.dirs, sum(p.skipped for p in found), int(1000 * (time.monotonic() - began)), most)
+    return entries, report
+
+
+def probe(wanted: DataFrame, mounts: dict[str, str] | None = None) -> DataFrame:
+    """The state of the paths of ``wanted`` (path), as :func:`quillon.streaming.journal.apply` reads it:
+    those that are there as ok, those that cannot be read as unknown; what is gone has no row.
+
+    ``mounts`` says where a drive's letter is mounted, on every executor. Links report themselves.
+    """
+    at = {k.rstrip(":").upper(): v.rstrip("/") for k, v in (mounts or {}).items()}
+
+    def look(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for p in pdf["path"]:
+                place = at[p[:1].upper()] + p[2:].replace("\\", "/") if p[1:2] == ":" and p[:1].upper() in at else p
+                try:
+                    s = os.lstat(place)
+                except (FileNotFoundError, NotADirectoryError):
+                    continue
+                except OSError:
+                    out.append((p, "unknown", 0, 0, 0, 0, 0))
+                    continue
+                plain = not os.path.isdir(place) or os.path.islink(place)
+                out.append((p, "ok", s.st_size if plain else 0, s.st_blocks * 512 if plain else 0, int(s.st_mtime), int(getattr(s, "st_birthtime", s.st_ctime)), 0))
+            yield pd.DataFrame(out, columns=["path", "status", "size", "allocated", "mtime", "ctime", "flags"])
+
+    return wanted.select("path").where("path IS NOT NULL").mapInPandas(look, "path string, status string, size long, allocated long, mtime long, ctime long, flags int")
+
+
 def on_drives(catalog: DataFrame, drives: list[str]) -> DataFrame:
     return catalog.where(paths.drive_of("path").isin([d.upper().rstrip(":") for d in drives]))

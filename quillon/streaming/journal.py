@@ -8,6 +8,7 @@ read); a path that is not there is gone. So a batch is joins and latest-per-key,
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,11 +65,14 @@ def moved_subtree(catalog: DataFrame, old: str, new: str) -> DataFrame:
 
 @dataclass
 class Applied:
-    """The catalogue after a batch, half renames that wait for their other half, and counts."""
+    """The catalogue after a batch, half renames that wait for their other half, counts, and the
+    batch's own share: paths that left the catalogue and rows that came or moved."""
 
     live: DataFrame
     dir_old: DataFrame
     stats: dict[str, int]
+    removed: DataFrame
+    delta: DataFrame
 
 
 def _sub(*parts):
@@ -88,16 +92,22 @@ def placed(events: DataFrame, dirs: DataFrame) -> DataFrame:
     return e.withColumn("path", F.when(F.col("parent_frn") == 5, _sub(F.concat("drive", F.lit(":")), "name")).otherwise(_sub(F.col("_parent"), "name"))).drop("_parent")
 
 
-def nearest_move(df: DataFrame, path: str, old: DataFrame) -> DataFrame:
-    """``df`` with _to and _rest: the deepest of old(_to, old) that is ``path`` or above it, and what
-    follows it; null if there is none. One join of ancestors with the moves, however many there are."""
-    marked = df.withColumn("_row", F.struct(*df.columns))
+def below_moves(df: DataFrame, path: str, old: DataFrame) -> DataFrame:
+    """Rows of ``df`` at or below one of old(_to, old), with the deepest as _to and what follows it as
+    _rest. One join of ancestors with the moves, however many there are."""
+    marked = df.select(F.struct(*df.columns).alias("_row"), path)
     up = marked.select("_row", F.explode(F.array_append(paths.ancestors(path), F.col(path))).alias("_above")).withColumn("_ci", paths.fold_path("_above"))
     hits = up.join(old.select("_to", paths.fold_path("old").alias("_ci")), "_ci")
     best = hits.groupBy("_row").agg(F.max_by("_to", F.length("_above")).alias("_to"), F.max(F.length("_above")).alias("_n"))
-    out = best.select("_row.*", "_to", F.substring(F.col(f"_row.{path}"), F.col("_n") + 1, F.length(f"_row.{path}")).alias("_rest"))
-    rest = marked.join(best.select("_row"), "_row", "left_anti").select("_row.*", F.lit(None).cast(old.schema["_to"].dataType).alias("_to"), F.lit(None).cast("string").alias("_rest"))
-    return out.union(rest)
+    return best.select("_row.*", "_to", F.substring(F.col(f"_row.{path}"), F.col("_n") + 1, F.length(f"_row.{path}")).alias("_rest"))
+
+
+def nearest_move(df: DataFrame, path: str, old: DataFrame) -> DataFrame:
+    """All of ``df`` with _to and _rest; both null outside the moves."""
+    out = below_moves(df, path, old)
+    marked = df.withColumn("_row", F.struct(*df.columns))
+    rest = marked.join(out.select(F.struct(*df.columns).alias("_row")), "_row", "left_anti")
+    return out.union(rest.select("_row.*", F.lit(None).cast(old.schema["_to"].dataType).alias("_to"), F.lit(None).cast("string").alias("_rest")))
 
 
 def new_directories(events: DataFrame, live_dirs: DataFrame, moved: DataFrame) -> DataFrame:
@@ -132,9 +142,12 @@ def old_names(events: DataFrame, live_dirs: DataFrame, dir_old: DataFrame) -> Da
     return both.groupBy("drive", "frn").agg(F.min_by("old", "usn").alias("old"))
 
 
-def apply(live: DataFrame, events: DataFrame, state: DataFrame, dir_old: DataFrame) -> Applied:
+def apply(live: DataFrame, events: DataFrame, state: DataFrame | Callable[[DataFrame], DataFrame], dir_old: DataFrame) -> Applied:
     """One batch of events on the catalogue ``live`` (see :mod:`quillon.sources.catalog`).
 
+    ``state`` is the table of the file system, or gives it for a table of paths, those of the events
+    and those that the catalogue holds for their records.
+
     In this order: directories that moved take their subtrees along, of any size and number, in one
     join; names that an event may have ended go if the state lacks them; paths that appeared, or were
     written to, take the state's figures (unknown: zeros), each path once. Parents are looked up among
@@ -143,7 +156,6 @@ def apply(live: DataFrame, events: DataFrame, state: DataFrame, dir_old: DataFra
     """
     spark = live.sparkSession
     batch = durable(masked(events).withColumn("drive", F.upper("drive")), "journal-batch")
-    known = state.withColumn("_ci", paths.fold_path("path")).dropDuplicates(["_ci"])
     live_dirs = durable(directories(live), "journal-live-dirs")
     olds = durable(old_names(batch, live_dirs, dir_old), "journal-olds")
     fresh_dirs = durable(new_directories(batch, live_dirs, olds), "journal-new-dirs")
@@ -152,13 +164,13 @@ def apply(live: DataFrame, events: DataFrame, state: DataFrame, dir_old: DataFra
     pairs = durable(came_dirs.where(paths.fold_path("old") != paths.fold_path("new")), "journal-moves")
     waiting = olds.join(came_dirs.select("drive", "frn"), ["drive", "frn"], "left_anti")
     stats = {"applied": 0, "resolve_fail": 0, "subtree_moved": 0}
-    moved = live
+    live = live.select(*COLUMNS)
+    moved, shifted = live, live.where("false").withColumn("_was", F.col("path"))
     if not pairs.isEmpty():
-        at = nearest_move(live.select(*COLUMNS), "path", pairs.select(F.col("new").alias("_to"), "old"))
-        below = F.col("_to").isNotNull() & (F.col("_rest") != "")
-        moved = durable(at.withColumn("_moved", below).withColumn("path", F.when(below, F.concat("_to", "_rest")).otherwise(F.col("path"))).drop("_to", "_rest"), "journal-moved")
-        stats["subtree_moved"] = moved.where("_moved").count()
-        moved = moved.select(*COLUMNS)
+        under = below_moves(live, "path", pairs.select(F.col("new").alias("_to"), "old")).where("_rest <> ''")
+        shifted = durable(under.withColumn("_was", F.col("path")).withColumn("path", F.concat("_to", "_rest")).drop("_to", "_rest"), "journal-moved")
+        stats["subtree_moved"] = shifted.count()
+        moved = live.join(shifted.select("id"), "id", "left_anti").select(*COLUMNS).unionByName(shifted.select(*COLUMNS))
     now = directories(moved).join(fresh_dirs.select("drive", "frn"), ["drive", "frn"], "left_anti").unionByName(fresh_dirs)
     at = durable(placed(batch, durable(now, "journal-dirs-now")), "journal-placed")
     stats["resolve_fail"] = at.where(F.col("path").isNull() & has(FILE_CREATE | RENAME_NEW | HARD_LINK)).count()
@@ -167,25 +179,32 @@ def apply(live: DataFrame, events: DataFrame, state: DataFrame, dir_old: DataFra
     ended = at.where(has(FILE_DELETE | HARD_LINK)).select("drive", "frn", F.lit(None).cast("string").alias("_only"))
     ended = ended.union(at.where(has(RENAME_OLD)).select("drive", "frn", "name")).distinct()
     keyed = moved.withColumn("drive", paths.drive_of("path")).withColumn("_ci", ci)
+    if callable(state):
+        held = keyed.join(at.select("drive", "frn").distinct(), ["drive", "frn"], "left_semi")
+        state = durable(state(at.select("path").where("path IS NOT NULL").union(held.select("path")).distinct()), "journal-state")
+    known = state.withColumn("_ci", ci).dropDuplicates(["_ci"])
     suspects = keyed.join(ended, ["drive", "frn"])
     named = suspects.withColumn("_fits", F.col("_only").isNull() | paths.same_name(F.col("path"), F.col("_only")))
     # a rename whose old name fits none doubts the first name of the record
     none = named.groupBy("drive", "frn").agg(F.max(F.col("_fits").cast("int")).alias("_any"), F.min("id").alias("_first"))
     doubted = named.join(none, ["drive", "frn"]).where(F.col("_fits") | ((F.col("_any") == 0) & (F.col("id") == F.col("_first")))).select("id", "_ci").distinct()
-    retired = doubted.join(known.select("_ci"), "_ci", "left_anti").select("id")
+    retired = durable(doubted.join(known.select("_ci"), "_ci", "left_anti").select("id").distinct(), "journal-retired")
     # what appeared or was written to
     came = at.where(has(FILE_CREATE | RENAME_NEW | HARD_LINK) & F.col("path").isNotNull())
     fresh = refresh_once(at).where(F.col("path").isNotNull())
     fresh = fresh.join(keyed.select("drive", "frn").distinct(), ["drive", "frn"], "left_semi")
     touched = came.select("path", "frn", "is_dir", "usn", F.lit(True).alias("_new")).unionByName(fresh.select("path", "frn", "is_dir", "usn", F.lit(False).alias("_new")))
     touched = touched.withColumn("_ci", ci).groupBy("_ci").agg(F.max_by(F.struct("path", "frn", "is_dir", "_new"), F.struct("_new", "usn")).alias("_t")).select("_ci", "_t.*")
-    looked = touched.join(known.drop("path"), "_ci", "left")
+    looked = durable(touched.join(known.drop("path"), "_ci", "left"), "journal-looked")
     upserts = looked.where((F.col("status") == "ok") | ((F.col("status") == "unknown") & F.col("_new")))
     vanished = looked.where(F.col("status").isNull() & F.col("_new")).select("_ci")
     # names of refreshed records under paths that are gone go too
     stale = keyed.join(upserts.where(~F.col("_new")).select("frn", F.col("_ci").alias("_at")), "frn").where(F.col("_ci") != F.col("_at")).join(known.select("_ci"), "_ci", "left_anti").select("id")
-    left = moved.withColumn("_ci", ci).join(retired.union(stale).distinct(), "id", "left_anti")
-    left = left.join(upserts.select("_ci").union(vanished).distinct(), "_ci", "left_anti").select(*COLUMNS)
+    every = moved.withColumn("_ci", ci)
+    by_id = retired.union(stale).distinct()
+    by_path = upserts.select("_ci").union(vanished).distinct()
+    ended_ids = durable(every.join(by_id, "id", "left_semi").select("id", "path").union(every.join(by_path, "_ci", "left_semi").select("id", "path")).distinct(), "journal-ended")
+    left = moved.join(ended_ids.select("id"), "id", "left_anti").select(*COLUMNS)
     top = moved.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
     zero = lambda c: F.when(F.col("status") == "ok", F.coalesce(c, F.lit(0))).otherwise(0)
     rows = upserts.select("path", "is_dir", zero(F.col("size")).cast("long").alias("size"), zero(F.col("allocated")).cast("long").alias("allocated"), zero(F.col("mtime")).cast("long").alias("mtime"),
@@ -194,9 +213,12 @@ def apply(live: DataFrame, events: DataFrame, state: DataFrame, dir_old: DataFra
 
     stats["applied"] = rows.count()
     stats["stat_gone"] = vanished.count()
-    stats["retired"] = retired.distinct().count()
+    stats["retired"] = retired.count()
     new = numbered(rows, ["path"], top + 1).select(*COLUMNS) if stats["applied"] else spark.createDataFrame([], live.select(*COLUMNS).schema)
-    return Applied(left.unionByName(new), waiting, stats)
+    # a row that moved left its old path; one that ended after a move was never in the catalogue at the new one
+    removed = ended_ids.join(shifted.select("id"), "id", "left_anti").select("path").union(shifted.select("_was")).distinct()
+    delta = shifted.select(*COLUMNS).join(ended_ids.select("id"), "id", "left_anti").select(*COLUMNS).unionByName(new)
+    return Applied(left.unionByName(new), waiting, stats, removed, delta)
 
 
 def replay_status(stored: int, first: int, following: int) -> str:

@@ -1,60 +1,188 @@
-"""A stream of journal events folded into the current snapshot, batch by batch."""
+"""Streams of journal events folded into the current snapshot, batch by batch."""
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillon.functions import paths
+from quillon.operators import overlay
 from quillon.sources import snapshots
-from quillon.streaming import journal
+from quillon.sources.catalog import COLUMNS
+from quillon.sources.scratch import durable
+from quillon.sources.walk import union_of_volumes
+from quillon.streaming import journal, pending
 
 INTERVAL = "5 seconds"
+#: Seconds between two folds of the changes, and before a stream that failed starts again.
+FLUSH, RETRY = 60.0, 60.0
 
 
 class Monitor:
-    """Keeps a snapshot live. ``state`` gives the file system's table for a batch of events.
+    """Keeps a snapshot live. ``state`` gives the file system's table for a table of paths;
+    ``rescan`` gives the entries of volumes anew.
 
-    Each batch reads the snapshot that the pointer names, applies the events and writes the next
-    version; the checkpoint of the stream holds its position, and a batch that is run again
-    (the pointer's batch number tells) changes nothing. Half renames wait beside the snapshot.
+    A batch writes only what it changed, beside the snapshot (:mod:`quillon.streaming.pending`);
+    readers see both. The changes are folded into a new version after ``flush_secs``, or at once
+    when a side has more than ``overlay.CAP`` rows. A stream per volume may run; one that fails
+    stops no other and starts again. Streams share no volume.
     """
 
-    def __init__(self, spark: SparkSession, root: str, state: Callable[[DataFrame], DataFrame]):
-        self.spark, self.root, self.state = spark, root, state
-
-    def waiting(self) -> DataFrame:
-        where = snapshots.read_text(self.spark, f"{self.root}/waiting")
-        if where is None:
-            return self.spark.createDataFrame([], "drive string, frn long, old string")
-        return self.spark.read.parquet(f"{self.root}/{where}")
-
-    def apply_batch(self, events: DataFrame, batch: int) -> dict[str, int]:
-        done = snapshots.read_positions(self.spark, self.root).get("_batch", -1)
-        if batch <= done or events.isEmpty():
-            return {}
-        live = snapshots.load(self.spark, self.root)
-        out = journal.apply(live, events, self.state(events), self.waiting())
+    def __init__(self, spark: SparkSession, root: str, state: Callable[[DataFrame], DataFrame], flush_secs: float = FLUSH, rescan: Callable[[list[str]], DataFrame] | None = None):
+        self.spark, self.root, self.state, self.flush_secs, self.rescan = spark, root, state, flush_secs, rescan
+        self.lock = threading.RLock()
+        self.streams: dict[str, tuple] = {}
+        self.down: dict[str, tuple[float, str]] = {}
+
+    def live(self, s: dict | None = None) -> DataFrame:
+        """The snapshot with its pending changes."""
+        s = s or pending.read(self.spark, self.root)
+        base, changes = snapshots.load(self.spark, self.root, s["base"]), pending.every(self.spark, self.root, s)
+        return (overlay.live(base, changes) if changes else base).select(*COLUMNS)
+
+    def apply_batch(self, events: DataFrame, batch: int, stream: str = "all", run: str = "") -> dict[str, int]:
+        """Fold one batch in; a batch of the same ``run`` (checkpoint) that was folded in changes nothing."""
+        with self.lock:
+            s, key = pending.read(self.spark, self.root), f"{stream}|{run}"
+            if batch <= s["batches"].get(key, -1):
+                return {}
+            drive = F.upper("drive")
+            for d, floor in s["floors"].items():
+                events = events.where((drive != d) | (F.col("usn") >= floor))
+            events = durable(events, "monitor-events")
+            if events.isEmpty():
+                return {}
+            out = journal.apply(self.live(s), events, self.state, pending.half_renames(self.spark, self.root, s, stream))
+            mine = pending.of(self.spark, self.root, s["pending"][stream]) if stream in s["pending"] else None
+            name = pending.save(overlay.then(mine, out.removed, out.delta), out.dir_old, self.root)
+            last = {r.drive: r.usn for r in events.groupBy(drive.alias("drive")).agg(F.max("usn").alias("usn")).collect()}
+            after = s | {"pending": s["pending"] | {stream: name}, "waiting": s["waiting"] | {stream: name}, "positions": s["positions"] | last,
+                         "batches": s["batches"] | {key: batch}, "flushed": s["flushed"] or time.time()}
+            pending.write(self.spark, self.root, after, s)
+            self.flush_if_due()
+            return out.stats
+
+    def flush(self) -> str:
+        """Fold all pending changes into a new version, ids renewed; positions beside it come last."""
+        with self.lock:
+            s = pending.read(self.spark, self.root)
+            return self._replace(s, self.live(s)) if s["pending"] else self._stamp(s, s)
+
+    def flush_if_due(self) -> bool:
+        with self.lock:
+            s = pending.read(self.spark, self.root)
+            changes = pending.every(self.spark, self.root, s)
+            if changes is None or (time.time() - (s["flushed"] or 0) < self.flush_secs and not changes.saturated()):
+                return False
+            self._replace(s, self.live(s))
+            return True
+
+    def _replace(self, s: dict, entries: DataFrame) -> str:
         meta = snapshots.read_meta(self.spark, self.root) or {}
-        out.dir_old.select("drive", "frn", "old").write.mode("overwrite").parquet(f"{self.root}/waiting_{batch}")
-        snapshots.save(out.live, self.root, meta.get("method", "mft"), meta.get("volumes"), force=True)
-        snapshots.write_text(self.spark, f"{self.root}/waiting", f"waiting_{batch}")
-        last = {r.drive: r.usn for r in events.groupBy("drive").agg({"usn": "max"}).withColumnRenamed("max(usn)", "usn").collect()}
-        snapshots.write_positions(self.spark, self.root, last | {"_batch": batch})
-        return out.stats
-
-    def start(self, events: DataFrame, checkpoint: str, available_now: bool = False):
+        version = snapshots.save(union_of_volumes([entries]), self.root, meta.get("method", "mft"), meta.get("volumes"), meta.get("skipped", 0), force=True)
+        return self._stamp(s | {"base": version, "pending": {}}, s)
+
+    def _stamp(self, after: dict, before: dict) -> str:
+        pending.write(self.spark, self.root, after | {"flushed": time.time()}, before)
+        snapshots.write_positions(self.spark, self.root, after["positions"])
+        return after["base"]
+
+    def rebuild(self, volumes: list[str], rescanned: DataFrame | None = None, positions: dict[str, int] | None = None) -> str:
+        """Replace the entries of rescanned volumes; the others are carried over with their changes.
+
+        ``positions`` are the ends of the journals from before the scan, where reading goes on, so
+        that what changed during the scan is seen again.
+        """
+        with self.lock:
+            s, letters = pending.read(self.spark, self.root), [v.upper().rstrip(":") for v in volumes]
+            if rescanned is None:
+                if self.rescan is None:
+                    raise ValueError(f"nothing can scan {', '.join(letters)}")
+                rescanned = self.rescan(letters)
+            kept = self.live(s).where(~paths.drive_of("path").isin(letters))
+            at = {k.upper().rstrip(":"): v for k, v in (positions or {}).items()}
+            return self._replace(s | {"positions": s["positions"] | at, "floors": s["floors"] | at}, union_of_volumes([kept, rescanned]))
+
+    def heal(self, bounds: DataFrame) -> dict[str, str]:
+        """What each volume of bounds(drive, first, following) needs; volumes whose journal lost records
+        since they were read are rebuilt."""
+        held = pending.read(self.spark, self.root)["positions"]
+        found = {r.drive.upper().rstrip(":"): r for r in bounds.collect()}  # a row a volume
+        status = {d: journal.replay_status(held[d], r.first, r.following) for d, r in found.items() if d in held}
+        torn = [d for d, x in status.items() if x == "gap"]
+        if torn:
+            self.rebuild(torn, positions={d: found[d].following for d in torn})
+        return status
+
+    def resync(self, drive: str, following: int) -> None:
+        """A journal that was made anew under a running stream: go on at its end, drop what came before."""
+        with self.lock:
+            s, d = pending.read(self.spark, self.root), drive.upper().rstrip(":")
+            pending.write(self.spark, self.root, s | {"positions": s["positions"] | {d: following}, "floors": s["floors"] | {d: following}}, s)
+
+    def start(self, events: DataFrame, checkpoint: str, available_now: bool = False, stream: str = "all", interval: str = INTERVAL):
         """A streaming query over ``events`` (columns of :data:`journal.EVENT`)."""
-        writer = events.writeStream.foreachBatch(lambda df, k: self.apply_batch(df, k) and None).option("checkpointLocation", checkpoint)
-        return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=INTERVAL)).start()
+        def again():
+            writer = events.writeStream.queryName(f"monitor-{stream}-{id(self)}").foreachBatch(lambda df, k: self.apply_batch(df, k, stream, checkpoint) and None)
+            writer = writer.option("checkpointLocation", checkpoint)
+            return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
-    def rebuild(self, volumes: list[str], rescanned: DataFrame) -> str:
-        """Replace the entries of rescanned volumes; the others are carried over."""
-        from quillon.functions import paths
-        from quillon.sources.catalog import COLUMNS
-        from quillon.sources.walk import union_of_volumes
+        query = again()
+        self.streams[stream] = (query, again)
+        return query
 
-        live = snapshots.load(self.spark, self.root).select(*COLUMNS)
-        kept = live.where(~paths.drive_of("path").isin([v.upper() for v in volumes]))
-        meta = snapshots.read_meta(self.spark, self.root) or {}
-        return snapshots.save(union_of_volumes([kept, rescanned]), self.root, meta.get("method", "mft"), meta.get("volumes"), force=True)
+    def start_volumes(self, events: dict[str, DataFrame], checkpoint: str, **more) -> None:
+        """One query per volume."""
+        for drive, df in events.items():
+            d = drive.upper().rstrip(":")
+            self.start(df, f"{checkpoint.rstrip('/')}/{d}", stream=d, **more)
+
+    def revive(self, now: float | None = None) -> list[str]:
+        """Note streams that failed; start those anew that have been down for RETRY seconds."""
+        now, started = time.monotonic() if now is None else now, []
+        for name, (query, again) in list(self.streams.items()):
+            fault = None if query.isActive else query.exception()
+            if fault is None:
+                self.down.pop(name, None)
+                continue
+            since = self.down.setdefault(name, (now, str(fault).splitlines()[0]))[0]
+            if now - since >= RETRY:
+                self.streams[name] = (again(), again)
+                self.down.pop(name)
+                started.append(name)
+        return started
+
+    def tick(self) -> str | None:
+        """What is due between batches: failed streams, a request, a flush. The request that was met, if any."""
+        self.revive()
+        where = f"{self.root}/request"
+        word = (snapshots.read_text(self.spark, where) or "").strip()
+        if word:
+            snapshots.delete(self.spark, where)
+        if word == "flush":
+            self.flush()
+        elif word == "rebuild":
+            self.rebuild(sorted(pending.read(self.spark, self.root)["positions"]))
+        else:
+            self.flush_if_due()
+        return word or None
+
+    def status(self, bounds: DataFrame | None = None) -> dict:
+        """Position of each volume (and how far its journal is ahead), sizes of the changes, streams that are down."""
+        s = pending.read(self.spark, self.root)
+        ahead = {r.drive.upper().rstrip(":"): r.following for r in bounds.collect()} if bounds is not None else {}
+        drives = {d: {"position": p} | ({"lag": max(0, ahead[d] - p)} if d in ahead else {}) for d, p in sorted(s["positions"].items())}
+        changes = pending.every(self.spark, self.root, s)
+        n = {"removed": changes.removed.count(), "delta": changes.delta.count()} if changes else {"removed": 0, "delta": 0}
+        return {"version": s["base"], "drives": drives, "pending": n, "flushed": s["flushed"], "watching": sorted(set(self.streams) - set(self.down)), "down": {k: v[1] for k, v in self.down.items()}}
+
+
+def request(spark: SparkSession, root: str, word: str) -> None:
+    """Ask the monitor of this folder to ``flush`` or ``rebuild`` at its next tick."""
+    if word not in ("flush", "rebuild"):
+        raise ValueError(f"flush or rebuild, not {word!r}")
+    snapshots.write_text(spark, f"{root}/request", word)

@@ -1,10 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.sources import snapshots
+from quillon.operators import overlay
+from quillon.service import Service
+from quillon.sources import snapshots, walk
 from quillon.sources.catalog import normalise
 from quillon.streaming import journal as J
-from quillon.streaming.monitor import Monitor
+from quillon.streaming.monitor import Monitor, request
 
 STATE = "path string, status string, size long, allocated long, mtime long, ctime long, flags int"
 
@@ -95,7 +97,7 @@ def test_stream(spark, base, tmp_path):
     event = lambda *x: spark.createDataFrame([("D", *x)], J.EVENT).coalesce(1).write.mode("append").parquet(str(inbox))
     event(90, 60, "new.txt", False, 1, J.FILE_CREATE)
     state = spark.createDataFrame([(r"D:\links\new.txt", "ok", 4, 4, 1, 1, 0), (r"D:\links\h2.bin", "ok", 7, 7, 1, 1, 0)], STATE)
-    m = Monitor(spark, root, lambda events: state)
+    m = Monitor(spark, root, lambda paths: state, flush_secs=0)
     for step in range(2):
         q = m.start(spark.readStream.schema(J.EVENT).parquet(str(inbox)), str(tmp_path / "ckpt"), available_now=True)
         q.awaitTermination()
@@ -104,3 +106,126 @@ def test_stream(spark, base, tmp_path):
         if not step:
             event(70, 60, "h1.bin", False, 2, J.FILE_DELETE)
     assert snapshots.read_positions(spark, root)["D"] == 2
+
+
+def table(spark, there):
+    return spark.createDataFrame([(p, "ok", n, n, 1, 1, 0) for p, n in there.items()], STATE)
+
+
+def events_of(spark, *rows):
+    return spark.createDataFrame([r if isinstance(r[0], str) else ("D", *r) for r in rows], J.EVENT)
+
+
+def test_changes_wait_beside_the_snapshot(spark, base, tmp_path):
+    root, there = str(tmp_path / "db"), dict(FILES)
+    snapshots.save(base, root, "mft", ["D"])
+    first = snapshots.read_text(spark, f"{root}/current")
+    asked = []
+
+    def state(paths):
+        asked.append({r.path for r in paths.collect()})
+        return table(spark, there)
+
+    m, s = Monitor(spark, root, state, flush_secs=3600), Service(spark, root)
+    there |= {r"D:\moved": 0, r"D:\moved\kid.txt": 5}
+    del there[r"D:\old\kid.txt"]
+    m.apply_batch(events_of(spark, (80, 5, "old", True, 1, J.RENAME_OLD), (80, 5, "moved", True, 2, J.RENAME_NEW)), 0)
+    assert asked[0] == {r"D:\old", r"D:\moved"} or asked[0] == {r"D:\moved"}
+    there[r"D:\moved\new.txt"] = 4
+    del there[r"D:\moved\kid.txt"]
+    stats = m.apply_batch(events_of(spark, (81, 80, "kid.txt", False, 3, J.FILE_DELETE), (95, 80, "new.txt", False, 4, J.FILE_CREATE)), 1)
+    want = {r"D:\links", r"D:\links\h1.bin", r"D:\links\h2.bin", r"D:\links\other.bin", r"D:\moved", r"D:\moved\new.txt"}
+    assert {r.path for r in m.live().collect()} == want and stats["retired"] == 1
+    assert m.apply_batch(events_of(spark, (81, 80, "again.txt", False, 5, J.FILE_CREATE)), 1) == {}
+    assert snapshots.read_text(spark, f"{root}/current") == first and r"D:\old\kid.txt" in {r.path for r in snapshots.load(spark, root).collect()}
+    assert s.refresh() and {h["path"] for h in s.search("")["hits"]} == want and not s.refresh()
+    assert s.feed()["delta"] == 2 and not s.feed()["saturated"]
+    assert m.status(spark.createDataFrame([("d", 0, 10)], "drive string, first long, following long"))["drives"] == {"D": {"position": 4, "lag": 6}}
+    assert not m.flush_if_due() and snapshots.read_positions(spark, root) == {}
+    # a monitor of another process takes up where this one stood
+    Monitor(spark, root, state).flush()
+    flushed = snapshots.load(spark, root)
+    assert {r.path for r in flushed.collect()} == want and sorted(r.id for r in flushed.collect()) == list(range(6))
+    assert snapshots.read_positions(spark, root) == {"D": 4} and s.refresh() and s.overlay is None and s.search("")["total"] == 6
+
+
+def test_changes_of_a_replaced_snapshot_are_dropped(spark, base, tmp_path):
+    root = str(tmp_path / "db")
+    snapshots.save(base, root, "mft", ["D"])
+    m = Monitor(spark, root, lambda paths: table(spark, {r"D:\links\new.txt": 1}))
+    m.apply_batch(events_of(spark, (90, 60, "new.txt", False, 1, J.FILE_CREATE)), 0)
+    assert m.live().count() == 7
+    snapshots.save(base, root, "mft", ["D"])
+    assert m.live().count() == 6 and m.status()["pending"] == {"removed": 0, "delta": 0}
+
+
+def test_many_changes_are_folded_at_once(spark, base, tmp_path, monkeypatch):
+    root = str(tmp_path / "db")
+    snapshots.save(base, root, "mft", ["D"])
+    monkeypatch.setattr(overlay, "CAP", 1)
+    m = Monitor(spark, root, lambda paths: table(spark, {rf"D:\links\n{k}": 1 for k in range(3)}), flush_secs=3600)
+    m.apply_batch(events_of(spark, *[(90 + k, 60, f"n{k}", False, k, J.FILE_CREATE) for k in range(3)]), 0)
+    assert snapshots.load(spark, root).count() == 9
+
+
+def test_gaps_resyncs_and_rebuilds(spark, base, tmp_path):
+    root = str(tmp_path / "db")
+    other = normalise(spark.createDataFrame([(9, r"E:\keep.txt", 3)], "id long, path string, size long"))
+    snapshots.save(base.unionByName(other), root, "mft", ["D", "E"])
+    snapshots.write_positions(spark, root, {"D": 5, "E": 15})
+    scanned = []
+
+    def rescan(letters):
+        scanned.append(letters)
+        return normalise(spark.createDataFrame([(0, r"D:\only.txt", 8)], "id long, path string, size long"))
+
+    m = Monitor(spark, root, lambda paths: table(spark, {r"D:\late.txt": 1}), rescan=rescan)
+    bounds = spark.createDataFrame([("D:", 10, 20), ("E", 10, 20), ("F", 0, 1)], "drive string, first long, following long")
+    assert m.heal(bounds) == {"D": "gap", "E": "replayable"} and scanned == [["D"]]
+    assert {r.path for r in m.live().collect()} == {r"D:\only.txt", r"E:\keep.txt"} and snapshots.read_positions(spark, root) == {"D": 20, "E": 15}
+    # the scan has seen what came before its start
+    assert m.apply_batch(events_of(spark, (1, 5, "late.txt", False, 19, J.FILE_CREATE)), 0) == {}
+    assert m.apply_batch(events_of(spark, (1, 5, "late.txt", False, 20, J.FILE_CREATE)), 1)["applied"] == 1
+    m.resync("d:", 1000)
+    assert m.apply_batch(events_of(spark, (1, 5, "late.txt", False, 21, J.FILE_DELETE)), 2) == {}
+    assert m.status()["drives"]["D"]["position"] == 1000
+    with pytest.raises(ValueError):
+        Monitor(spark, root, m.state).rebuild(["D"])
+
+
+def test_a_dead_volume_stops_no_other(spark, base, tmp_path):
+    root, inbox = str(tmp_path / "db"), tmp_path / "in"
+    snapshots.save(base, root, "mft", ["D"])
+    events_of(spark, ("D", 90, 60, "new.txt", False, 1, J.FILE_CREATE), ("E", 1, 5, "bad.txt", False, 1, J.FILE_CREATE)).coalesce(1).write.parquet(str(inbox))
+    broken = [True]
+
+    def state(paths):
+        if broken[0] and paths.where("path LIKE 'E:%'").count():
+            raise OSError("volume is gone")
+        return table(spark, {r"D:\links\new.txt": 4, r"E:\bad.txt": 2})
+
+    m = Monitor(spark, root, state, flush_secs=0)
+    source = spark.readStream.schema(J.EVENT).parquet(str(inbox))
+    m.start_volumes({d: source.where(F.col("drive") == d) for d in "DE"}, str(tmp_path / "ckpt"), available_now=True)
+    for q, _ in m.streams.values():
+        try:
+            q.awaitTermination()
+        except Exception:
+            pass
+    assert m.revive(now=0) == [] and set(m.down) == {"E"} and r"D:\links\new.txt" in {r.path for r in m.live().collect()}
+    broken[0] = False
+    assert m.revive(now=59) == [] and m.revive(now=61) == ["E"]
+    m.streams["E"][0].awaitTermination()
+    assert r"E:\bad.txt" in {r.path for r in m.live().collect()} and m.revive() == [] and m.down == {}
+    request(spark, root, "flush")
+    assert m.tick() == "flush" and m.tick() is None
+    with pytest.raises(ValueError):
+        request(spark, root, "format")
+
+
+def test_probe(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "b.txt").write_text("xyz")
+    asked = spark.createDataFrame([(r"D:\a",), (r"d:\a\b.txt",), (r"D:\none",), (r"D:\a\b.txt\c",), (None,)], "path string")
+    got = {r.path: (r.status, r["size"]) for r in walk.probe(asked, {"D": str(tmp_path)}).collect()}
+    assert got == {r"D:\a": ("ok", 0), r"d:\a\b.txt": ("ok", 3)}

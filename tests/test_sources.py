@@ -1,14 +1,17 @@
 import json
 import struct
 import threading
-from urllib.request import urlopen
+from urllib.error import HTTPError
+from urllib.request import Request, urlopen
 
 import pytest
 
 from quillon import cli, http
+from quillon.operators import search
 from quillon.service import Service
 from quillon.sources import records, snapshots, walk
 from quillon.sources.catalog import normalise
+from quillon.streaming import journal as J
 
 
 def journal(major, frn, parent, name, usn, reason, attributes=0):
@@ -112,6 +115,64 @@ def test_walk_service_and_cli(spark, tmp_path, capsys):
     assert out("index", str(data))[1]["files"] == 3
 
 
+def test_cli_of_volumes(spark, tmp_path, capsys):
+    data, db, inbox = tmp_path / "vol", str(tmp_path / "db"), tmp_path / "in"
+    (data / "sub").mkdir(parents=True)
+    (data / "sub" / "a.txt").write_text("abc")
+    out = lambda *a: (cli.main(["--db", db, "--json", *a]), json.loads(capsys.readouterr().out.strip().splitlines()[-1]))
+    richer = normalise(spark.createDataFrame([(0, r"E:\x.txt", 4)], "id long, path string, size long"))
+    richer.write.parquet(str(tmp_path / "records"))
+    code, got = out("index", f"D={data}", "--records", f"E={tmp_path / 'records'}")
+    assert code == 0 and (got["method"], got["volumes"], got["files"], got["dirs"]) == ("mixed", ["D", "E"], 2, 1)
+    assert out("index", f"D={data}", "--method", "usn")[0] == 1
+    assert [(v["drive"], v["files"], v["bytes"]) for v in out("volumes")[1]["volumes"]] == [("D", 1, 3), ("E", 1, 4)]
+    (data / "sub" / "b.txt").write_text("abcd")
+    row = [("D", 50, 40, "b.txt", False, 7, J.FILE_CREATE), ("D", 40, 5, "sub", True, 6, J.FILE_CREATE)]
+    spark.createDataFrame(row, J.EVENT).write.parquet(str(inbox))
+    watch = ("monitor", str(inbox), "--checkpoint", str(tmp_path / "ckpt"), "--volume", "d:", "--mount", f"D={data}", "--once")
+    code, got = out(*watch)
+    assert code == 0 and got["drives"] == {"D": {"position": 7}} and got["pending"]["delta"] == 2
+    assert out("search", "ext:txt")[1]["total"] == 3 and out("flush")[0] == 0
+    assert out("monitor", str(inbox), "--checkpoint", str(tmp_path / "ckpt"), "--volume", "d:", "--once")[1]["pending"]["delta"] == 0
+    (data / "sub" / "a.txt").unlink()
+    assert out("rebuild", "--mount", f"D={data}")[0] == 0 and out("search", "ext:txt")[1]["total"] == 2
+    assert out("rebuild", "--running")[1]["requested"] == "rebuild"
+
+
+def test_build_chooses_the_most_complete(spark):
+    one = lambda p: normalise(spark.createDataFrame([(0, p, 1)], "id long, path string, size long"))
+    parts = [walk.Part("C", "walk", one(r"C:\w"), 3), walk.Part("c:", "mft", one(r"C:\m"), 1, 70), walk.Part("D", "usn", one(r"D:\u"), 0, 9)]
+    entries, r = walk.build(parts)
+    assert {x.path for x in entries.collect()} == {r"C:\m", r"D:\u"} and (r.method, r.volumes, r.skipped, r.max_usn) == ("mixed", ["C", "D"], 1, {"C": 70, "D": 9})
+    assert walk.build(parts, "c", "walk")[1].method == "walk"
+    with pytest.raises(ValueError):
+        walk.build(parts, "x")
+    assert walk.drives(" c:, D ,,c") == ["C", "D"]
+
+
+def test_stored_catalogue_is_made_once_and_filters_reach_its_scan(spark, tmp_path):
+    made = []
+
+    def build():
+        made.append(1)
+        return normalise(spark.createDataFrame([(k, rf"D:\d{k % 3}\f{k}.rs", k) for k in range(20)], "id long, path string, size long"))
+
+    source = str(tmp_path / "t")
+    spark.range(3).write.parquet(source)
+    first = snapshots.stored(spark, source, build)
+    assert first.count() == 20 and snapshots.stored(spark, source, build).count() == 20 and len(made) == 1
+    spark.range(4).write.mode("append").parquet(source)
+    snapshots.stored(spark, source, build)
+    assert len(made) == 2
+    plan = lambda q: search.matching(first, q)._jdf.queryExecution().executedPlan().toString()
+    for q, wanted in (("size:>1kb", "GreaterThanOrEqual(size,1024)"), ("dm:>2023-01-01", "GreaterThanOrEqual(mtime"), ("*.rs", "StringEndsWith(name_l,.rs)"), (r"parent:D:\d1", r"StringStartsWith(path_ci,d:\d1)")):
+        assert wanted in plan(q).split("PushedFilters")[1].split("ReadSchema")[0], q
+
+
+def s_version(spark, db):
+    return snapshots.read_text(spark, f"{db}/current")
+
+
 def test_http(spark, tmp_path):
     db = str(tmp_path / "db")
     snapshots.save(normalise(spark.createDataFrame([(0, r"D:\x.txt", 4), (1, r"D:\y.md", 5)], "id long, path string, size long")), db)
@@ -119,6 +180,11 @@ def test_http(spark, tmp_path):
     threading.Thread(target=s.serve_forever, daemon=True).start()
     get = lambda t: json.loads(urlopen(f"http://127.0.0.1:{s.server_port}{t}").read())
     assert get("/api/search?q=ext%3Atxt")["total"] == 1 and get("/api/du?path=D%3A%5C&allocated=true")["total_bytes"] == 9
+    assert get("/api/feed") == {"ok": True, "watching": False, "generation": 1, "version": s_version(spark, db), "saturated": False, "removed": 0, "delta": 0}
+    asked = []
+    assert http.answer(None, "POST", "/api/rebuild", rebuild=lambda: asked.append(1))[1]["ok"] and asked
+    with pytest.raises(HTTPError):
+        urlopen(Request(f"http://127.0.0.1:{s.server_port}/api/rescan", b"", {"Origin": "http://elsewhere"}))
     assert get("/api/stats")["files"] == 2 and get("/api/health")["ok"] and not get("/api/search?q=a&desc=maybe")["ok"]
     assert http.answer(None, "GET", "/nothing")[0] == 404
     s.shutdown()
