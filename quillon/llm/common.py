@@ -6,9 +6,10 @@ Recovery from lost executors: whatever a later step reads more than once is writ
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,10 +58,32 @@ def scratch(spark: SparkSession) -> str:
 
 
 def public(df: DataFrame, *replaced: str) -> DataFrame:
-    """``df`` without the columns an operator adds, and without those that begin with an underscore:
-    such names are the operators' own."""
+    """``df`` without the columns an operator adds."""
     own = {c.lower() for c in replaced}
-    return df.select(*[f"`{c}`" for c in df.columns if not c.startswith("_") and c.lower() not in own])
+    return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in own])
+
+
+def keeps_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Names that begin with an underscore are the operators' own: inside one, such columns of its first
+    argument bear other names, and their own again in the result, but those that it adds itself."""
+
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **more) -> DataFrame:
+        taken, to = {c.lower() for c in df.columns}, {}
+        for c in df.columns:
+            if c.startswith("_"):
+                k = next(k for k in range(len(taken) + 1) if f"own{k}{c}".lower() not in taken)
+                to[c] = f"own{k}{c}"
+                taken.add(to[c].lower())
+        if not to:
+            return operator(df, *args, **more)
+        named = lambda x: to.get(x, x) if isinstance(x, str) else x
+        out = operator(df.withColumnsRenamed(to), *map(named, args), **{k: named(x) for k, x in more.items()})
+        added = {c.lower() for c in out.columns}
+        back = {new: old for old, new in to.items() if new in out.columns}
+        return out.drop(*[new for new, old in back.items() if old.lower() in added]).withColumnsRenamed({new: old for new, old in back.items() if old.lower() not in added})
+
+    return run
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import components, durable, join_small, public
+from quillon.llm.common import components, durable, join_small, keeps_names, public
 
 SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
@@ -312,6 +312,7 @@ def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> tuple[
     return signed.select("_id", "_digest"), durable(out, "jaccard-classes")
 
 
+@keeps_names
 def join(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``df``: the id, class_id and n_links.
 
@@ -325,6 +326,7 @@ def join(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame
                       F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
+@keeps_names
 def one_of_each(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``df`` with one row of each class, that of the least id; rows without words all stay."""
     df = public(df)

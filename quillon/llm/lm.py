@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import durable, public, slices
+from quillon.llm.common import durable, keeps_names, public, slices
 
 #: At most so many words' counts travel to the workers; the others' are joined.
 HEAD = 65_536
@@ -513,6 +513,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict:
     return p
 
 
+@keeps_names
 def score(df: DataFrame, learns: Column, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The other columns of ``df`` with n_tokens, n_known, train_tokens, base_score and score (log10).
 

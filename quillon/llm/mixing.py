@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import durable, join_small, public
+from quillon.llm.common import durable, join_small, keeps_names, public
 
 #: A larger mean is drawn as a sum of equal means of at most this (a sum of Poisson draws is Poisson).
 MAX_MEAN = 32
@@ -68,6 +68,7 @@ def hash52(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
+@keeps_names
 def mix(df: DataFrame, size: Column, source: str = "source", key: str = "doc_id", weights: dict | None = None,
         total: float | None = None, seed: int = 17) -> DataFrame:
     """All columns of ``df`` with copy (1..n) and mix_key, n Poisson; partitions are a random split.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillon.llm.common import public, slices
+from quillon.llm.common import keeps_names, public, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -346,6 +346,7 @@ def _codec(plain: tuple) -> Codec:
     return kept[key]
 
 
+@keeps_names
 def encode(df: DataFrame, model_path: str = MODEL, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns of ``df`` with the ids of the text. Null and empty texts get no ids (an empty list);
     repeated rows get the same ones; an empty table gives no rows. A column named like ``ids`` is replaced.
@@ -363,6 +364,7 @@ def encode(df: DataFrame, model_path: str = MODEL, text: str = "text", ids: str
     return df.mapInArrow(run, schema)
 
 
+@keeps_names
 def decode(df: DataFrame, model_path: str = MODEL, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """All columns of ``df`` with the text of the ids; null ids give an empty text."""
     df = public(df, text)
@@ -378,6 +380,7 @@ def decode(df: DataFrame, model_path: str = MODEL, ids: str = "ids", text: str =
     return df.mapInArrow(run, schema)
 
 
+@keeps_names
 def summary(df: DataFrame, model_path: str = MODEL, text: str = "text") -> DataFrame:
     """The other columns of ``df`` with ids, n_ids, ids_crc32 (of the ids as 32-bit little-endian numbers)
     and round_trip: whether decoding the ids gives the text again (null: the empty text)."""

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import BROADCAST_ROWS, durable, public, slices
+from quillon.llm.common import BROADCAST_ROWS, durable, keeps_names, public, slices
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Words on either side of an entity that count as near it.
@@ -253,6 +253,7 @@ def _joined(spans, extra=()) -> str:
     return ",".join([f"{KINDS[k]}:{a}:{b}" for k, a, b in spans] + [f"{KINDS[4]}:{a}:{b}" for a, b, _ in extra])
 
 
+@keeps_names
 def find(df: DataFrame, text: str = "text", terms: DataFrame | None = None) -> DataFrame:
     """All columns of ``df`` but the text, with n_email, n_ip, n_card, n_phone (base spans),
     base_sha256 and spans (base spans by kind and start, then terms).
@@ -287,6 +288,7 @@ def masked(text: str, spans, extra) -> str:
     return "".join([*out, text[at:]])
 
 
+@keeps_names
 def sanitise(df: DataFrame, text: str = "text", terms: DataFrame | None = None) -> DataFrame:
     """``df`` with personal data in its texts masked, columns as they were; null texts become empty."""
     df = public(df)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import SPACE, durable, join_small, public
+from quillon.llm.common import SPACE, durable, join_small, keeps_names, public
 
 SYMBOLS = "#*$%&|<>"
 #: Character classes counted one by one; blanks and the rest (other letters: lower case, or without case) follow.
@@ -150,6 +150,7 @@ def base_rules(worded: DataFrame) -> DataFrame:
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
 
 
+@keeps_names
 def judge(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """All rows and columns of ``df`` with the base figures, both distances and ``kept``.
 
@@ -180,6 +181,7 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     return rows.drop("_text", "_lang", "_words", "_rare", "_chars", "_all_chars", "_marks", "ref_chars", "ref_words", "ref_n", "common")
 
 
+@keeps_names
 def kept_rows(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """Rows of ``df`` that pass, with their own columns.
 

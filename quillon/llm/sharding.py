@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import durable, join_small, public
+from quillon.llm.common import durable, join_small, keeps_names, public
 
 #: Bits that one round of probes adds to a boundary: 1024 probes in each open interval.
 ROUND_BITS = 9
@@ -116,6 +116,7 @@ def shard_of(bounds: list[tuple[int, int]]) -> Column:
     return out.cast("int")
 
 
+@keeps_names
 def shard_by_bytes(df: DataFrame, shards: int = 8, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """All rows of ``df`` with _size, _k1, _k2, shard and slot (gapless from 0 in each shard).
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import durable, public
+from quillon.llm.common import durable, keeps_names, public
 
 #: The model is fitted on at most so many labelled rows, those of the smallest hash of their id.
 TRAIN_ROWS = 20_000
@@ -301,6 +301,7 @@ def train_model(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     return lexicon, fit(x, y).tolist()
 
 
+@keeps_names
 def score(docs: DataFrame, lexicon: dict[str, float], weights: list[float], text: str = "text") -> DataFrame:
     """All columns of ``docs`` but the text, with score and predicted. Null and empty texts score as
     texts without a match. Repeated rows score alike; an empty table gives no rows. Columns named

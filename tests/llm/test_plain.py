@@ -260,3 +260,13 @@ def test_checksums_of_ids():
 def test_power_weights(spark, n):
     df = spark.createDataFrame([("s", float(n))], "source string, units double")
     assert mixing.power_weights(df).first().weight == (n**0.7 if n else 0.0)
+
+
+def test_columns_that_begin_with_an_underscore_stay(spark):
+    df = spark.createDataFrame([(1, "a b", "en", "s", "x", 7), (2, "c d", "en", "s", "y", 8)], "doc_id long, _text string, lang string, source string, _digest string, _size long")
+    out = mixing.mix(df, F.lit(1).cast("long"), total=40.0)
+    assert set(df.columns) < set(out.columns) and {(r.doc_id, r._text, r._digest, r["_size"]) for r in out.collect()} == {(1, "a b", "x", 7), (2, "c d", "y", 8)}
+    out = sharding.shard_by_bytes(df, 2, text="_text")  # adds a size of its own
+    assert {(r.doc_id, r._digest, r["_size"]) for r in out.collect()} == {(1, "x", 4), (2, "y", 4)} and out.columns.count("_size") == 1
+    out = pii.sanitise(df, text="_text")
+    assert out.columns == df.columns and {tuple(r) for r in out.collect()} == {tuple(r) for r in df.collect()}
