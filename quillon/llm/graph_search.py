@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillon.llm.common import durable
+from quillon.llm.common import durable, join_small
 
 #: Different vectors in a shard, about; and queries that search a shard in one task.
 SHARD_ROWS, QUERY_BLOCK = 8192, 2048
@@ -161,11 +161,15 @@ def build_index(vectors: DataFrame) -> DataFrame:
 
 
 def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, key): for each of queries(qid, dim, vector) the k nearest keys of every shard."""
-    shards = durable(index.select("dim", "shard"), "graph-shards")
+    """(qid, key): for each of queries(qid, dim, vector) the k nearest keys of every shard.
+
+    Queries get the numbers of their shards from one row a dimension, not from a join with all shards,
+    and meet a shard by (dim, shard, block); they travel in the precision of the search.
+    """
+    shards = durable(index.groupBy("dim").agg((F.max("shard") + 1).alias("shards")), "graph-shards")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
-    asked = asked.join(F.broadcast(shards), "dim") if shards.count() < 10_000 else asked.join(shards, "dim")
+    asked = queries.select("qid", "dim", F.col("vector").cast("array<float>").alias("vector"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"))
+    asked = join_small(asked, shards, ["dim"], "inner").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -203,6 +203,23 @@ def test_graph_search(spark):
     assert graph_search.nearest(few, F.col("vec_id") == 0).count() == 4
 
 
+def test_graph_search_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(graph_search, "SHARD_ROWS", 150)
+    monkeypatch.setattr(graph_search, "QUERY_BLOCK", 20)
+    x = np.random.default_rng(4).standard_normal((900, 16))
+    df = spark.createDataFrame([(k, [float(v) for v in x[k]]) for k in range(900)], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for q in graph_search.nearest(df, F.col("vec_id") % 20 == 0, 20).collect():
+        found[q.query_id].append(q.vec_id)
+    want = {}
+    for q in range(0, 900, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want[q] = set(np.argsort(-s)[:20].tolist())
+    assert set(found) == set(want) and all(len(v) == len(set(v)) == 20 for v in found.values())
+    assert sum(len(want[q] & set(found[q])) for q in want) > 0.95 * 20 * len(want)
+
+
 def test_matcher_is_levenshtein():
     def distance(a, b):
         row = list(range(len(b) + 1))
