@@ -94,3 +94,11 @@ def test_columns_over_paths(spark):
 def test_numbered_is_dense(spark):
     df = numbered(spark.range(100).select((F.col("id") * 37 % 101).alias("x")), ["x"], 10)
     assert [r.id for r in df.orderBy("x").collect()] == list(range(10, 110))
+
+
+def test_spilled_metadata_by_attribute_lists(spark):
+    base = spark.createDataFrame([(1, 10, 1), (2, 20, 2), (3, 30, 3)], "frn long, size long, mtime long")
+    ext = spark.createDataFrame([(1, 11, None), (50, 99, 7), (60, 98, 8)], "frn long, size long, mtime long")
+    lists = spark.createDataFrame([(1, 50), (2, 60), (3, 70)], "frn long, owner long")
+    got = tree.spilled_metadata(base, ext, ["size", "mtime"], lists)
+    assert sorted(tuple(r) for r in got.select("frn", "size", "mtime").collect()) == [(1, 11, 7), (2, 98, 8), (3, 30, 3)]
