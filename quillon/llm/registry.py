@@ -2,10 +2,13 @@
 
 import corpus_pipeline
 from quillon.llm import (
+    q_chat,
+    q_codes,
     q_graph_search,
     q_jaccard,
     q_lm,
     q_mixing,
+    q_phrases,
     q_pieces,
     q_pii,
     q_quality,
@@ -14,7 +17,7 @@ from quillon.llm import (
     q_toxicity,
 )
 
-_PARTS = [q_lm, q_pieces, q_graph_search, q_mixing, q_pii, q_sharding, q_toxicity, q_quality, q_jaccard, q_revisits]
+_PARTS = [q_lm, q_pieces, q_graph_search, q_mixing, q_pii, q_sharding, q_toxicity, q_quality, q_jaccard, q_revisits, q_codes, q_phrases, q_chat]
 
 
 def queries():
