@@ -2,12 +2,14 @@
 
 Three passes over the texts. The first hashes each run of 2 to ``longest`` words into the cells of a
 sketch that grows with the texts; a cell's sum is an upper bound of the count of any phrase in it. The
-sketch lies in stripes: a task sends each stripe its distinct cells and their counts (capped at the
-threshold, which keeps the bound), and a stripe is summed alone. The second pass takes the phrases whose bound
-reaches the threshold. They, and their words, are compiled into automata over bytes, each pattern
+sketch lies in stripes: a task sends each stripe its distinct cells and their counts, and a stripe is
+summed alone. The second pass takes the phrases of the cells whose sum reaches the threshold, each cell's from the
+shard that has most of it. They, and their words, are compiled into automata over bytes, each pattern
 between blanks as guards; the third pass counts all matches of each shard of texts, overlapping ones
-included, and the counts are summed. Everything after works on exact counts. Cells and patterns go to
-the tasks in bounded chunks, a pass over the texts for each chunk.
+included, and the counts are summed. Where the counts of a cell's phrases leave as much of its sum as the
+threshold, its shard lacked a phrase: such cells are sought in all shards, and what is found is counted
+too. So no phrase is missed, whatever shares a cell. Everything after works on exact counts. Cells and
+patterns go to the tasks in bounded chunks, a pass over the texts for each chunk.
 
 Texts are lower-cased (A-Z) and split into pieces at sentence marks and line ends, pieces into words at
 blanks and tabs. Null texts are empty, a null language is ``und``; repeated rows count each time; ties go by
@@ -28,7 +30,9 @@ from functools import reduce
 from operator import itemgetter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,9 +46,11 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 #: Bytes of text that are hashed or scanned at once.
 CUT = 1 << 20
 #: Cells that a task gathers before it sends them on, and that one stripe of the sketch gets in all.
-FLUSH, STRIPE = 1 << 22, 1 << 22
+FLUSH, STRIPE = 1 << 22, 1 << 21
 #: Cells, bytes of patterns and phrases that a task holds at once.
 CELLS, PATTERN_BYTES, PHRASES = 1 << 20, 4 << 20, 1 << 18
+#: Counts that one row of a shard's counts holds.
+COUNTS = 32
 #: Bytes from which a word is hashed alone.
 LONG_WORD = 4096
 
@@ -169,49 +175,87 @@ def runs(word: np.ndarray, lang: str, lead: int, longest: int, bits: int) -> Ite
 
 
 def sketch(df: DataFrame, bits: int, least: int, longest: int) -> DataFrame:
-    """Cells (cell) of the sketch of ``df(lang, text)`` whose sum is ``least`` or more."""
+    """Cells of the sketch of ``df(lang, text)`` whose sum is ``least`` or more: cell, sum, and the shard (a
+    partition of ``df``) that has most of it."""
     stripe_bits = max(0, bits - (STRIPE.bit_length() - 1))
+    names = ["stripe", "first", "shard", "width", "gaps", "n", "places", "more"]
 
-    def send(cells: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def send(cells: list[np.ndarray], shard: int) -> Iterator[pa.RecordBatch]:
         cell, n = np.unique(np.concatenate(cells), return_counts=True)
-        n = np.minimum(n, least).astype("<u1" if least < 256 else "<u4")
         stripe = cell >> np.uint64(bits - stripe_bits)
         ends = np.flatnonzero(np.diff(stripe)) + 1
         for c, m in zip(np.split(cell, ends), np.split(n, ends), strict=True):
             gap = np.diff(c, prepend=c[:1])
             width = next(w for w in (1, 2, 4, 8) if int(gap.max()) < 1 << (8 * w))
-            row = [[int(c[0] >> np.uint64(bits - stripe_bits))], [int(c[0])], [width], [gap.astype(f"<u{width}").tobytes()], [m.tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["stripe", "first", "width", "gaps", "n"])
+            large = np.flatnonzero(m > 255)
+            row = [[int(c[0] >> np.uint64(bits - stripe_bits))], [int(c[0])], [shard], [width], [gap.astype(f"<u{width}").tobytes()], [np.minimum(m, 255).astype("u1").tobytes()],
+                   [large.astype("<i8").tobytes()], [m[large].astype("<i8").tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4], strict=True)], names=names)
 
     def gather(batches):
-        held, size = [], 0
+        held, size, shard = [], 0, TaskContext.get().partitionId()
         for lang, text, lead in blocks(batches, longest):
             for _, _, cells in runs(words_of(text)[2], lang, lead, longest, bits):
                 held.append(cells)
                 size += len(cells)
             if size >= FLUSH:
-                yield from send(held)
+                yield from send(held, shard)
                 held, size = [], 0
         if size:
-            yield from send(held)
+            yield from send(held, shard)
 
     def total(rows):
-        kind = "<u1" if least < 256 else "<u4"
-        cells = np.concatenate([np.uint64(f) + np.cumsum(np.frombuffer(g, f"<u{w}"), dtype=np.uint64) for f, w, g in zip(rows["first"], rows["width"], rows["gaps"], strict=True)])
-        n = np.concatenate([np.frombuffer(x, kind) for x in rows["n"]]).astype(np.int64)
-        cell, at = np.unique(cells, return_inverse=True)
-        return rows[:0][[]].assign(cell=[]) if not len(cell) else type(rows)({"cell": cell[np.bincount(at, weights=n) >= least].astype(np.int64)})
-
-    parts = df.mapInArrow(gather, "stripe long, first long, width int, gaps binary, n binary")
-    return parts.groupBy("stripe").applyInPandas(total, "cell long")
-
-
-def phrases_in(df: DataFrame, cells: np.ndarray, bits: int, longest: int) -> DataFrame:
-    """(lang, phrase) of the runs whose cell is one of ``cells``, some of them more than once."""
-    sent = df.sparkSession.sparkContext.broadcast(np.sort(cells.astype(np.uint64)))
+        cells, counts, shards = [], [], []
+        for x in rows.itertuples():
+            cells.append(np.uint64(x.first) + np.cumsum(np.frombuffer(x.gaps, f"<u{x.width}"), dtype=np.uint64))
+            n = np.frombuffer(x.n, "u1").astype(np.int64)
+            n[np.frombuffer(x.places, "<i8")] = np.frombuffer(x.more, "<i8")
+            counts.append(n)
+            shards.append(np.full(len(n), x.shard, np.int32))
+        cell, n, shard = map(np.concatenate, (cells, counts, shards))
+        order = np.argsort(cell, kind="stable")
+        cell, n = cell[order], n[order]
+        begin = np.flatnonzero(np.diff(cell, prepend=cell[:1] + np.uint64(1)))
+        sums, heavy = np.add.reduceat(n, begin), []
+        ends = np.append(begin[1:], len(cell))
+        for k in np.flatnonzero(sums >= least).tolist():
+            a = begin[k]
+            heavy.append((int(cell[a]), int(sums[k]), int(shard[order[a + n[a : ends[k]].argmax()]])))
+        return pd.DataFrame(heavy, columns=["cell", "sum", "shard"])
+
+    parts = df.mapInArrow(gather, "stripe long, first long, shard int, width int, gaps binary, n binary, places binary, more binary")
+    return parts.groupBy("stripe").applyInPandas(total, "cell long, sum long, shard int")
+
+
+def cells_of(df: DataFrame, bits: int, longest: int) -> DataFrame:
+    """``df(lang, phrase, f)`` as cell, f; words have no cell."""
+
+    def run(batches):
+        for batch in batches:
+            cells, counts = [], []
+            for lang, phrase, f in zip(batch.column("lang").to_pylist(), batch.column("phrase").cast(pa.binary()).to_pylist(), batch.column("f").to_pylist(), strict=True):
+                for k, _, cell in runs(words_of(b" " + phrase + b" ")[2], lang, 0, longest, bits):
+                    if k == phrase.count(b" ") + 1:
+                        cells.append(int(cell[0]))
+                        counts.append(f)
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts, pa.int64())], names=["cell", "f"])
+
+    return df.select("lang", "phrase", "f").mapInArrow(run, "cell long, f long")
+
+
+def phrases_in(df: DataFrame, cells: np.ndarray, bits: int, longest: int, shards: np.ndarray | None = None) -> DataFrame:
+    """(lang, phrase) of the runs whose cell is one of ``cells``, some of them more than once; each cell's in its
+    shard alone, if ``shards`` are given."""
+    order = np.argsort(cells)
+    sent = df.sparkSession.sparkContext.broadcast((cells[order].astype(np.uint64), None if shards is None else shards[order]))
 
     def find(batches):
-        heavy, mask = sent.value, np.uint64((1 << min(bits, 22)) - 1)
+        heavy, owner = sent.value
+        if owner is not None:
+            heavy = heavy[owner == TaskContext.get().partitionId()]
+        if not len(heavy):
+            return
+        mask = np.uint64((1 << min(bits, 22)) - 1)
         some = np.zeros(int(mask) + 1, bool)
         some[(heavy & mask).astype(np.int64)] = True
 
@@ -257,7 +301,8 @@ def _automaton(key: str, lang: str, patterns: list[bytes]):
 
 
 def scan(df: DataFrame, patterns: dict[str, list[bytes]], longest: int) -> DataFrame:
-    """(lang, phrase, f): matches of each pattern in each shard of ``df``, and with a null phrase the words there."""
+    """Matches of each pattern in each shard of ``df``: lang, stripe, n, where n counts the ``COUNTS`` patterns
+    from number stripe * COUNTS on. A null stripe has the number of words."""
     sent, key = df.sparkSession.sparkContext.broadcast(patterns), uuid.uuid4().hex
 
     def count(batches):
@@ -273,41 +318,70 @@ def scan(df: DataFrame, patterns: dict[str, list[bytes]], longest: int) -> DataF
                 matches = ((e, k) for e, k in matches if e > last)
             own.update(map(itemgetter(1), matches))
         for lang, n in words.items():
-            own = counts.get(lang, {})
-            named = [sent.value[lang][k] for k in own]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(own) + 1), pa.string()), pa.array([*named, None], pa.binary()), pa.array([*own.values(), n], pa.int64())], names=["lang", "phrase", "f"])
-
-    return df.mapInArrow(count, "lang string, phrase binary, f long").withColumn("phrase", F.col("phrase").cast("string"))
+            rows: dict[int | None, list[int]] = {None: [n]}
+            for k, f in counts.get(lang, {}).items():
+                rows.setdefault(k // COUNTS, [0] * COUNTS)[k % COUNTS] = f
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(list(rows), pa.int32()), pa.array(list(rows.values()), pa.list_(pa.int64()))], names=["lang", "stripe", "n"])
+
+    return df.mapInArrow(count, "lang string, stripe int, n array<long>")
+
+
+def _counts(docs: DataFrame, phrases: DataFrame | None, longest: int) -> DataFrame:
+    """(lang, phrase, f) of ``phrases`` and their words, and with a null phrase the number of words."""
+    chunks = 1
+    if phrases is not None:
+        every = durable(phrases.union(phrases.select("lang", F.explode(F.split("phrase", " ")))).distinct(), "phrases-patterns")
+        chunks = max(1, -(-int(every.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0) // PATTERN_BYTES))
+        place = F.row_number().over(Window.partitionBy("chunk", "lang").orderBy("phrase")) - 1  # a chunk has about PATTERN_BYTES
+        patterns = durable(every.withColumn("chunk", F.pmod(F.xxhash64("lang", "phrase"), F.lit(chunks))).withColumn("place", place), "phrases-places")
+    counts = []
+    for k in range(chunks):
+        own: dict[str, list[bytes]] = {}
+        if phrases is not None:
+            for r in patterns.where(F.col("chunk") == k).select("lang", F.col("phrase").cast("binary").alias("phrase"), "place").orderBy("lang", "place").collect():
+                own.setdefault(r.lang, []).append(bytes(r.phrase))
+        part = scan(docs, own, longest)
+        sums = part.groupBy("lang", "stripe").agg(F.array(*[F.sum(F.get("n", F.lit(i))) for i in range(COUNTS)]).alias("n"))
+        counts.append(sums.select(F.lit(k).cast("long").alias("chunk"), "lang", "stripe", F.posexplode("n").alias("i", "f")).where("f IS NOT NULL"))
+    found = durable(reduce(DataFrame.union, counts), "phrases-counted")
+    words = found.where("stripe IS NULL AND chunk = 0").select("lang", F.lit(None).cast("string").alias("phrase"), "f")
+    if phrases is None:
+        return words
+    named = found.where("stripe IS NOT NULL").withColumn("place", F.col("stripe") * COUNTS + F.col("i"))
+    return words.union(named.join(patterns, ["chunk", "lang", "place"]).where("f > 0").select("lang", "phrase", "f"))
+
+
+def _chunks(cells: DataFrame, bits: int) -> Iterator:
+    """The rows of cells, a table, in parts of about ``CELLS`` (cells are hashes, even over their range)."""
+    parts = -(-cells.count() // CELLS)
+    width = -(-(1 << bits) // max(1, parts))
+    for k in range(parts):
+        part = cells.where(F.col("cell").between(k * width, (k + 1) * width - 1)).toPandas()
+        if len(part):
+            yield part
 
 
 def counted(df: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """A table (lang, phrase, f): exact counts of all phrases of 2 to ``longest`` words that stand there ``least``
-    times or more, and of their words, with phrases below that whose bound reached it; a null phrase has
-    the number of words."""
+    times or more, and of their words, with some phrases below that; a null phrase has the number of words."""
     docs = df.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # about as many cells as runs: half as many as bytes
     bits = max(10, (int(size) // 2).bit_length())
     heavy = durable(sketch(docs, bits, least, longest), "phrases-heavy")
-    chunks = -(-heavy.count() // CELLS) or 1
-    width, found = -(-(1 << bits) // chunks), []
-    for k in range(chunks):
-        cells = heavy.where(F.col("cell").between(k * width, (k + 1) * width - 1)).toPandas()["cell"].to_numpy()  # about CELLS of them, hashed evenly
-        if len(cells):
-            found.append(durable(phrases_in(docs, cells, bits, longest).distinct(), "phrases-found"))
-    if found:
-        phrases = reduce(DataFrame.union, found)
-        patterns = durable(phrases.union(phrases.select("lang", F.explode(F.split("phrase", " ")))).distinct().withColumn("key", F.xxhash64("lang", "phrase")), "phrases-patterns")
-        chunks = -(-int(patterns.agg(F.sum(F.octet_length("phrase"))).first()[0]) // PATTERN_BYTES)
-    counts = []
-    for k in range(chunks if found else 1):
-        own: dict[str, list[bytes]] = {}
-        if found:
-            for r in patterns.where(F.pmod("key", F.lit(chunks)) == k).select("lang", F.col("phrase").cast("binary").alias("phrase")).collect():  # about PATTERN_BYTES
-                own.setdefault(r.lang, []).append(bytes(r.phrase))
-        part = scan(docs, own, longest)
-        counts.append(part if k == 0 else part.where("phrase IS NOT NULL"))
-    return durable(reduce(DataFrame.union, counts).groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "phrases-counts")
+    found = [durable(phrases_in(docs, x["cell"].to_numpy(), bits, longest, x["shard"].to_numpy()).distinct(), "phrases-found") for x in _chunks(heavy, bits)]
+    if not found:
+        return durable(_counts(docs, None, longest), "phrases-counts")
+    counts = durable(_counts(docs, reduce(DataFrame.union, found), longest), "phrases-counts")
+    # what the counts leave of a cell's sum
+    told = cells_of(counts.where("phrase IS NOT NULL"), bits, longest).groupBy("cell").agg(F.sum("f").alias("f"))
+    left = durable(heavy.join(told, "cell", "left").where(F.col("sum") - F.coalesce("f", F.lit(0)) >= least).select("cell"), "phrases-left")
+    more = [durable(phrases_in(docs, x["cell"].to_numpy(), bits, longest).distinct(), "phrases-found") for x in _chunks(left, bits)]
+    if not more:
+        return counts
+    new = reduce(DataFrame.union, more).join(counts.select("lang", "phrase"), ["lang", "phrase"], "left_anti")
+    again = _counts(docs, new, longest).where("phrase IS NOT NULL").join(counts.select("lang", "phrase"), ["lang", "phrase"], "left_anti")
+    return durable(counts.union(again), "phrases-counts")
 
 
 def _part(first: Column | int, n: Column) -> Column:

@@ -117,7 +117,7 @@ def texts(r):
 @pytest.mark.parametrize("small", [False, True])
 def test_collocations_equal_plain_counts(spark, monkeypatch, small):
     if small:  # many cuts within pieces, flushes, stripes, chunks of cells and of patterns
-        for name, value in {"CUT": 90, "FLUSH": 50, "STRIPE": 64, "CELLS": 40, "PATTERN_BYTES": 400, "PHRASES": 20, "LONG_WORD": 70}.items():
+        for name, value in {"CUT": 90, "FLUSH": 50, "STRIPE": 64, "CELLS": 40, "PATTERN_BYTES": 400, "PHRASES": 20, "LONG_WORD": 70, "COUNTS": 3}.items():
             monkeypatch.setattr(phrases, name, value)
     rows = texts(random.Random(8))
     df = spark.createDataFrame(rows, "lang string, text string").withColumn("phrase", F.lit(1)).repartition(3)
@@ -145,11 +145,22 @@ def test_the_sketch_is_an_upper_bound_and_tight(spark):
     rows = texts(random.Random(9))
     df = spark.createDataFrame([(a or "und", b) for a, b in rows], "lang string, text string")
     heavy = {r.cell for r in phrases.sketch(df, 24, 12, 5).collect()}
+    assert len(heavy) < 2000
     want = {(lang, p) for lang, own in plain_counts(rows)[1].items() for p, a in own.items() if len(p) > 1 and a >= 12}
     found = {(r.lang, tuple(r.phrase.split(" "))) for r in phrases.phrases_in(df, np.array(sorted(heavy)), 24, 5).collect()}
     assert want <= found and len(found) <= len(want) + 3
 
 
+def test_phrases_that_share_a_cell_are_all_found(spark, monkeypatch):
+    """With four cells only, most phrases are not in the shard that has most of their cell."""
+    monkeypatch.setattr(phrases, "runs", lambda *a, own=phrases.runs: ((k, at, cell & np.uint64(3)) for k, at, cell in own(*a)))
+    rows = [("en", f"a{k} b{k} " * 6) for k in range(12) for _ in range(5 - k // 4)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(6, "text")
+    got = {(r.lang, tuple(r.phrase.split(" "))): r.f for r in phrases.counted(df, least=20, longest=3).collect() if r.phrase}
+    want = {("en", p): f for p, f in plain_counts(rows, 3)[1]["en"].items() if len(p) > 1 and f >= 20}
+    assert {k: v for k, v in got.items() if len(k[1]) > 1 and v >= 20} == want
+
+
 def test_chat_layouts_and_marks(spark):
     odd = ["<|im_end|>", "<|im_start|>assistant\nx", "<\\|im_end|>", "<\\\\|", "<", "|>", "ends with <", "ends with <\\", "", "é日本\n\n", "\\n", "a\\\nb"]
     r = random.Random(2)
