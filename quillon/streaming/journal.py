@@ -110,22 +110,68 @@ def nearest_move(df: DataFrame, path: str, old: DataFrame) -> DataFrame:
     return out.union(rest.select("_row.*", F.lit(None).cast(old.schema["_to"].dataType).alias("_to"), F.lit(None).cast("string").alias("_rest")))
 
 
-def new_directories(events: DataFrame, live_dirs: DataFrame, moved: DataFrame) -> DataFrame:
+def names(events: DataFrame) -> DataFrame:
+    """The names that a batch gave, over time: drive, frn, parent_frn, name, is_dir, reason, from_usn, to_usn.
+
+    A name begins where its record was made, linked or renamed to it, and ends (to_usn) where the record
+    is renamed away from it or deleted; null: it stands at the end of the batch. What a link event did is
+    for the state to say. Contents that changed begin no name and end none, so they are left out, and
+    a record that is written to all the time is no large group here.
+    """
+    e = events.where(has(FILE_CREATE | FILE_DELETE | RENAME_OLD | RENAME_NEW | HARD_LINK)).withColumn("drive", F.upper("drive"))
+    after = Window.orderBy("usn").rowsBetween(1, Window.unboundedFollowing)
+    renamed = F.min(F.when(has(RENAME_OLD), F.col("usn"))).over(after.partitionBy("drive", "frn", "parent_frn", "name"))
+    gone = F.min(F.when(has(FILE_DELETE), F.col("usn"))).over(after.partitionBy("drive", "frn"))
+    to = F.when(has(FILE_DELETE), F.col("usn")).otherwise(F.least("_renamed", "_gone"))
+    spans = e.withColumn("_renamed", renamed).withColumn("_gone", gone).where(has(FILE_CREATE | RENAME_NEW | HARD_LINK))
+    return spans.select("drive", "frn", "parent_frn", "name", "is_dir", "reason", F.col("usn").alias("from_usn"), to.alias("to_usn"))
+
+
+def as_of(events: DataFrame, spans: DataFrame, live_dirs: DataFrame, depth: int = 4096) -> DataFrame:
+    """Events with path_then: where the event's name stood at its own usn; null if a parent is unknown.
+
+    A parent's name is that of the span of ``spans`` (see :func:`names`) which holds the usn, else the path of
+    the record in ``live_dirs``, as it was when the batch began, if the parent was not made or renamed before.
+    One join a level of directories that the batch names; ``depth`` ends a loop that no file system has.
+    """
+    key = ["drive", "parent_frn"]
+    first = spans.where("is_dir").groupBy("drive", F.col("frn").alias("parent_frn")).agg(F.min("from_usn").alias("_first"))
+    dirs = spans.where("is_dir").groupBy("drive", F.col("frn").alias("parent_frn"), "from_usn").agg(F.max_by(F.struct(F.col("parent_frn").alias("p"), F.col("name").alias("n")), F.struct("to_usn", "name")).alias("_up"))
+    known = live_dirs.select("drive", F.col("frn").alias("parent_frn"), F.col("path").alias("_live"))
+    todo = durable(events.withColumn("drive", F.upper("drive")).withColumn("_event", F.struct(*events.columns)).select("_event", "drive", "parent_frn", "usn", F.concat(F.lit("\\"), "name").alias("_tail")), "journal-as-of")
+    done = None
+    for _ in range(depth):
+        root = todo.where("parent_frn = 5").select("_event", F.concat("drive", F.lit(":"), "_tail").alias("path_then"))
+        rest = todo.where("parent_frn IS NULL OR parent_frn <> 5").join(known, key, "left").join(first, key, "left")
+        named = rest.where("_first <= usn").drop("_live", "_first")
+        ended = rest.where("_first IS NULL OR _first > usn").select("_event", F.concat("_live", "_tail").alias("path_then"))
+        part = durable(root.union(ended), "journal-as-of")
+        done = part if done is None else done.union(part)
+        up = named.join(dirs, key).where(F.col("from_usn") <= F.col("usn")).groupBy("_event", "drive", "usn", "_tail").agg(F.max_by("_up", "from_usn").alias("_up"))
+        todo = durable(up.select("_event", "drive", F.col("_up.p").alias("parent_frn"), "usn", F.concat(F.lit("\\"), "_up.n", "_tail").alias("_tail")), "journal-as-of")
+        if todo.isEmpty():
+            break
+    return done.select("_event.*", "path_then")
+
+
+def new_directories(spans: DataFrame, live_dirs: DataFrame, moved: DataFrame) -> DataFrame:
     """(drive, frn, path) of directories that the batch made or renamed, as they are at its end.
 
-    A parent can be another of them, at any depth, or a live directory below one that ``moved``
-    (drive, frn, old); then the path follows that one.
+    A directory stands under its parent, wherever that is by now: a parent can be another of them, at any
+    depth, or a live directory at or below one that ``moved`` (drive, frn, old). Its own path is not asked
+    for: one that takes the name of a directory which moved does not follow it.
     """
-    last = latest(events.where(F.col("is_dir") & has(FILE_CREATE | RENAME_NEW)).withColumn("drive", F.upper("drive")).select("drive", "frn", "parent_frn", "name", "usn"), ["drive", "frn"])
+    last = spans.where("is_dir").groupBy("drive", "frn").agg(F.max_by(F.struct("parent_frn", "name"), "from_usn").alias("_n")).select("drive", "frn", "_n.*")
     key = F.struct("drive", "frn")
     own = last.select(F.struct("drive", F.col("frn")).alias("_base")).distinct().withColumn("_own", F.lit(True))
     nodes = last.withColumn("_base", F.struct("drive", F.col("parent_frn").alias("frn"))).join(own, "_base", "left")
     inner = nodes.where("_own").select(key.alias("key"), F.col("_base").alias("base"), F.concat(F.lit("\\"), "name").alias("rest"))
-    outer = placed(nodes.where("_own IS NULL").select("drive", "frn", "parent_frn", "name"), live_dirs).where("path IS NOT NULL").select(key.alias("key"), "path")
-    olds = moved.join(last.select("drive", "frn"), ["drive", "frn"], "left_semi").select(key.alias("_to"), "old")
-    follow = nearest_move(outer, "path", olds).where(F.col("_to").isNull() | (F.col("_to") != F.col("key")))
-    waiting = durable(inner.union(follow.where("_to IS NOT NULL").select("key", F.col("_to").alias("base"), F.col("_rest").alias("rest"))), "journal-dirs")
-    level = durable(follow.where("_to IS NULL").select("key", "path"), "journal-level")
+    outer = nodes.where("_own IS NULL").join(live_dirs.select("drive", F.col("frn").alias("parent_frn"), F.col("path").alias("parent")), ["drive", "parent_frn"], "left")
+    outer = outer.select(key.alias("key"), F.when(F.col("parent_frn") == 5, F.concat("drive", F.lit(":"))).otherwise(F.col("parent")).alias("parent"), "name").where("parent IS NOT NULL")
+    follow = nearest_move(outer, "parent", moved.select(key.alias("_to"), "old"))
+    named = lambda c: F.concat(c, F.lit("\\"), "name")
+    waiting = durable(inner.union(follow.where("_to IS NOT NULL").select("key", F.col("_to").alias("base"), named("_rest").alias("rest"))), "journal-dirs")
+    level = durable(follow.where("_to IS NULL").select("key", named("parent").alias("path")), "journal-level")
     found = level
     while not level.isEmpty():
         below = waiting.join(level.select(F.col("key").alias("base"), "path"), "base").select("key", F.concat("path", "rest").alias("path"))
@@ -134,12 +180,38 @@ def new_directories(events: DataFrame, live_dirs: DataFrame, moved: DataFrame) -
     return found.select("key.drive", "key.frn", "path")
 
 
-def old_names(events: DataFrame, live_dirs: DataFrame, dir_old: DataFrame) -> DataFrame:
-    """(drive, frn, old): where directories stood before a rename whose old half came in this batch or waits."""
-    gone = placed(events.where(F.col("is_dir") & has(RENAME_OLD)), live_dirs).join(live_dirs.select("drive", "frn", F.col("path").alias("_live")), ["drive", "frn"], "left")
-    gone = gone.select("drive", "frn", F.coalesce("_live", "path").alias("old"), "usn").where("old IS NOT NULL")
-    both = gone.unionByName(dir_old.select("drive", "frn", "old", F.lit(-1).cast("long").alias("usn")))
-    return both.groupBy("drive", "frn").agg(F.min_by("old", "usn").alias("old"))
+#: Where entries wait whose directory has lost its name to another and has no new one yet.
+PARKED = "$Renaming"
+
+
+def directory_moves(batch: DataFrame, spans: DataFrame, live_dirs: DataFrame, dir_old: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new directories, moves, waiting): drive, frn and path of directories made or renamed; drive, frn, old,
+    new of those that stood at ``old`` when the batch began; and drive, frn, old of those whose new name
+    is still to come, with where their entries are now.
+
+    Who moved is told by record, from where it stood at the begin (its live path, else where it waits) to
+    where it is at the end, however often its name changed between. A record that the batch makes has no old
+    place, even if its number was one's before. If a name is taken by another while its old directory
+    waits for the second half of its rename, the entries of that one are parked under its number.
+    """
+    begin = dir_old.select("drive", "frn", "old").unionByName(live_dirs.join(dir_old, ["drive", "frn"], "left_anti").select("drive", "frn", F.col("path").alias("old")))
+    key = ["drive", "frn"]
+    asked = batch.where(F.col("is_dir") & has(FILE_CREATE | RENAME_OLD | RENAME_NEW)).groupBy(*key).agg(
+        F.max(F.when(has(RENAME_NEW | FILE_CREATE), F.col("usn"))).alias("_new"), F.max(F.when(has(RENAME_OLD), F.col("usn"))).alias("_old"), F.max(has(FILE_CREATE)).alias("_made"))
+    known = durable(begin.join(asked, key, "left").where(F.col("_new").isNotNull() | F.col("_old").isNotNull()).unionByName(
+        dir_old.join(asked, key, "left_anti").select("drive", "frn", "old"), allowMissingColumns=True), "journal-begin")
+    movers = known.where(F.col("_new").isNotNull() & ~F.col("_made")).select("drive", "frn", "old")
+    fresh = durable(new_directories(spans, live_dirs, movers), "journal-new-dirs")
+    moves = movers.join(fresh.withColumnRenamed("path", "new"), key)
+    half = known.where(~F.coalesce("_made", F.lit(False)) & (F.col("_new").isNull() | (F.col("_old") > F.col("_new"))))
+    still = half.where("_new IS NULL").select("drive", "frn", "old")
+    taken = still.join(fresh.select(paths.fold_path("path").alias("_ci")).distinct(), paths.fold_path("old") == F.col("_ci"), "left_semi")
+    parked = taken.withColumn("new", F.concat("drive", F.lit(f":\\{PARKED}\\"), F.col("frn").cast("string")))
+    moves = durable(moves.unionByName(parked).where(paths.fold_path("old") != paths.fold_path("new")), "journal-moves")
+    left = nearest_move(still.join(parked, key, "left_anti"), "old", moves.select(F.col("new").alias("_to"), F.col("old")))
+    waiting = left.select("drive", "frn", F.when(F.col("_to").isNull(), F.col("old")).otherwise(F.concat("_to", "_rest")).alias("old")).unionByName(parked.select("drive", "frn", F.col("new").alias("old")))
+    twice = half.where("_new IS NOT NULL").select("drive", "frn").join(fresh, key).withColumnRenamed("path", "old")
+    return fresh, moves, waiting.unionByName(twice)
 
 
 def apply(live: DataFrame, events: DataFrame, state: DataFrame | Callable[[DataFrame], DataFrame], dir_old: DataFrame) -> Applied:
@@ -149,32 +221,33 @@ def apply(live: DataFrame, events: DataFrame, state: DataFrame | Callable[[DataF
     and those that the catalogue holds for their records.
 
     In this order: directories that moved take their subtrees along, of any size and number, in one
-    join; names that an event may have ended go if the state lacks them; paths that appeared, or were
-    written to, take the state's figures (unknown: zeros), each path once. Parents are looked up among
-    the directories of the batch first, then among the live ones where they are now. Ids of new rows
-    follow the largest there is.
+    join; names that an event may have ended go if the state lacks them or another entry has come to their
+    place; names that stand at the end of the batch (see :func:`names`), or were written to, take the state's figures
+    (unknown: zeros), each path once. Parents are looked up among the directories of the batch first,
+    then among the live ones where they are now. Ids of new rows follow the largest there is.
     """
     spark = live.sparkSession
     batch = durable(masked(events).withColumn("drive", F.upper("drive")), "journal-batch")
     live_dirs = durable(directories(live), "journal-live-dirs")
-    olds = durable(old_names(batch, live_dirs, dir_old), "journal-olds")
-    fresh_dirs = durable(new_directories(batch, live_dirs, olds), "journal-new-dirs")
-    renamed = batch.where(F.col("is_dir") & has(RENAME_NEW)).select("drive", "frn").distinct()
-    came_dirs = olds.join(renamed, ["drive", "frn"], "left_semi").join(fresh_dirs.withColumnRenamed("path", "new"), ["drive", "frn"])
-    pairs = durable(came_dirs.where(paths.fold_path("old") != paths.fold_path("new")), "journal-moves")
-    waiting = olds.join(came_dirs.select("drive", "frn"), ["drive", "frn"], "left_anti")
+    spans = durable(names(batch), "journal-names")
+    fresh_dirs, pairs, waiting = directory_moves(batch, spans, live_dirs, dir_old.withColumn("drive", F.upper("drive")))
+    waiting = durable(waiting, "journal-waiting")
     stats = {"applied": 0, "resolve_fail": 0, "subtree_moved": 0}
     live = live.select(*COLUMNS)
     moved, shifted = live, live.where("false").withColumn("_was", F.col("path"))
+    ci = paths.fold_path("path")
+    own = live.select("id", paths.drive_of("path").alias("drive"), "frn", ci.alias("_ci"))
+    # what moved stands elsewhere now; its own row comes anew if the state has it
+    left_place = own.join(pairs.select("drive", "frn", paths.fold_path("old").alias("_ci")), ["drive", "frn", "_ci"], "left_semi").select("id")
     if not pairs.isEmpty():
         under = below_moves(live, "path", pairs.select(F.col("new").alias("_to"), "old")).where("_rest <> ''")
         shifted = durable(under.withColumn("_was", F.col("path")).withColumn("path", F.concat("_to", "_rest")).drop("_to", "_rest"), "journal-moved")
         stats["subtree_moved"] = shifted.count()
         moved = live.join(shifted.select("id"), "id", "left_anti").select(*COLUMNS).unionByName(shifted.select(*COLUMNS))
     now = directories(moved).join(fresh_dirs.select("drive", "frn"), ["drive", "frn"], "left_anti").unionByName(fresh_dirs)
-    at = durable(placed(batch, durable(now, "journal-dirs-now")), "journal-placed")
+    now = durable(now, "journal-dirs-now")
+    at = durable(placed(batch, now), "journal-placed")
     stats["resolve_fail"] = at.where(F.col("path").isNull() & has(FILE_CREATE | RENAME_NEW | HARD_LINK)).count()
-    ci = paths.fold_path("path")
     # what may be gone: every name of a deleted or re-linked record, the old name of a renamed one
     ended = at.where(has(FILE_DELETE | HARD_LINK)).select("drive", "frn", F.lit(None).cast("string").alias("_only"))
     ended = ended.union(at.where(has(RENAME_OLD)).select("drive", "frn", "name")).distinct()
@@ -189,19 +262,24 @@ def apply(live: DataFrame, events: DataFrame, state: DataFrame | Callable[[DataF
     none = named.groupBy("drive", "frn").agg(F.max(F.col("_fits").cast("int")).alias("_any"), F.min("id").alias("_first"))
     doubted = named.join(none, ["drive", "frn"]).where(F.col("_fits") | ((F.col("_any") == 0) & (F.col("id") == F.col("_first")))).select("id", "_ci").distinct()
     retired = durable(doubted.join(known.select("_ci"), "_ci", "left_anti").select("id").distinct(), "journal-retired")
-    # what appeared or was written to
-    came = at.where(has(FILE_CREATE | RENAME_NEW | HARD_LINK) & F.col("path").isNotNull())
-    fresh = refresh_once(at).where(F.col("path").isNotNull())
+    # an entry that came along with its directory to the place of one that stayed
+    landed = shifted.select(ci.alias("_ci"), F.col("id").alias("_comer"))
+    replaced = keyed.join(shifted.select("id"), "id", "left_anti").join(landed, "_ci").select("id")
+    # what stands at the end, or was written to
+    ends = spans.select("drive", "frn", "parent_frn", "name", F.col("from_usn").alias("usn"), F.coalesce(F.col("to_usn").isNull(), F.lit(False)).alias("_stands")).distinct()
+    came = at.where(has(FILE_CREATE | RENAME_NEW | HARD_LINK) & F.col("path").isNotNull()).join(ends, ["drive", "frn", "parent_frn", "name", "usn"], "left")
+    over = batch.groupBy("drive", "frn", "parent_frn", "name").agg(F.max(F.when(has(RENAME_OLD), F.col("usn"))).alias("_over"))
+    fresh = refresh_once(at).where(F.col("path").isNotNull()).join(over, ["drive", "frn", "parent_frn", "name"], "left").where("_over IS NULL OR _over < usn")
     fresh = fresh.join(keyed.select("drive", "frn").distinct(), ["drive", "frn"], "left_semi")
-    touched = came.select("path", "frn", "is_dir", "usn", F.lit(True).alias("_new")).unionByName(fresh.select("path", "frn", "is_dir", "usn", F.lit(False).alias("_new")))
-    touched = touched.withColumn("_ci", ci).groupBy("_ci").agg(F.max_by(F.struct("path", "frn", "is_dir", "_new"), F.struct("_new", "usn")).alias("_t")).select("_ci", "_t.*")
+    touched = came.select("path", "frn", "is_dir", "usn", F.lit(True).alias("_new"), "_stands").unionByName(fresh.select("path", "frn", "is_dir", "usn", F.lit(False).alias("_new"), F.lit(True).alias("_stands")))
+    touched = touched.withColumn("_ci", ci).groupBy("_ci").agg(F.max_by(F.struct("path", "frn", "is_dir", "_new", "_stands"), F.struct("_stands", "_new", "usn")).alias("_t")).select("_ci", "_t.*")
     looked = durable(touched.join(known.drop("path"), "_ci", "left"), "journal-looked")
-    upserts = looked.where((F.col("status") == "ok") | ((F.col("status") == "unknown") & F.col("_new")))
+    upserts = looked.where(F.col("_stands") & ((F.col("status") == "ok") | ((F.col("status") == "unknown") & F.col("_new"))))
     vanished = looked.where(F.col("status").isNull() & F.col("_new")).select("_ci")
     # names of refreshed records under paths that are gone go too
     stale = keyed.join(upserts.where(~F.col("_new")).select("frn", F.col("_ci").alias("_at")), "frn").where(F.col("_ci") != F.col("_at")).join(known.select("_ci"), "_ci", "left_anti").select("id")
     every = moved.withColumn("_ci", ci)
-    by_id = retired.union(stale).distinct()
+    by_id = retired.union(stale).union(replaced).union(left_place).distinct()
     by_path = upserts.select("_ci").union(vanished).distinct()
     ended_ids = durable(every.join(by_id, "id", "left_semi").select("id", "path").union(every.join(by_path, "_ci", "left_semi").select("id", "path")).distinct(), "journal-ended")
     left = moved.join(ended_ids.select("id"), "id", "left_anti").select(*COLUMNS)
@@ -226,8 +304,3 @@ def replay_status(stored: int, first: int, following: int) -> str:
     if stored < first:
         return "gap"
     return "current" if following <= stored else "replayable"
-
-
-def in_order(events: DataFrame) -> DataFrame:
-    """Events with their number within a volume; for display, spread over volumes."""
-    return events.withColumn("n", F.row_number().over(Window.partitionBy("drive").orderBy("usn")))
