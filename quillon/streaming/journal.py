@@ -194,9 +194,13 @@ def directory_moves(batch: DataFrame, spans: DataFrame, live_dirs: DataFrame, di
     place, even if its number was one's before. If a name is taken by another while its old directory
     waits for the second half of its rename, the entries of that one are parked under its number.
     """
+    some = F.col("is_dir") & has(FILE_CREATE | RENAME_OLD | RENAME_NEW)
+    if batch.where(some).isEmpty():  # no directory's name changes
+        none = live_dirs.where("false")
+        return none.select("drive", "frn", "path"), none.select("drive", "frn", F.col("path").alias("old"), F.col("path").alias("new")), dir_old.select("drive", "frn", "old")
     begin = dir_old.select("drive", "frn", "old").unionByName(live_dirs.join(dir_old, ["drive", "frn"], "left_anti").select("drive", "frn", F.col("path").alias("old")))
     key = ["drive", "frn"]
-    asked = batch.where(F.col("is_dir") & has(FILE_CREATE | RENAME_OLD | RENAME_NEW)).groupBy(*key).agg(
+    asked = batch.where(some).groupBy(*key).agg(
         F.max(F.when(has(RENAME_NEW | FILE_CREATE), F.col("usn"))).alias("_new"), F.max(F.when(has(RENAME_OLD), F.col("usn"))).alias("_old"), F.max(has(FILE_CREATE)).alias("_made"))
     known = durable(begin.join(asked, key, "left").where(F.col("_new").isNotNull() | F.col("_old").isNotNull()).unionByName(
         dir_old.join(asked, key, "left_anti").select("drive", "frn", "old"), allowMissingColumns=True), "journal-begin")
@@ -237,9 +241,11 @@ def apply(live: DataFrame, events: DataFrame, state: DataFrame | Callable[[DataF
     moved, shifted = live, live.where("false").withColumn("_was", F.col("path"))
     ci = paths.fold_path("path")
     own = live.select("id", paths.drive_of("path").alias("drive"), "frn", ci.alias("_ci"))
-    # what moved stands elsewhere now; its own row comes anew if the state has it
-    left_place = own.join(pairs.select("drive", "frn", paths.fold_path("old").alias("_ci")), ["drive", "frn", "_ci"], "left_semi").select("id")
-    if not pairs.isEmpty():
+    left_place = live.where("false").select("id")
+    moves = not pairs.isEmpty()
+    if moves:
+        # what moved stands elsewhere now; its own row comes anew if the state has it
+        left_place = own.join(pairs.select("drive", "frn", paths.fold_path("old").alias("_ci")), ["drive", "frn", "_ci"], "left_semi").select("id")
         under = below_moves(live, "path", pairs.select(F.col("new").alias("_to"), "old")).where("_rest <> ''")
         shifted = durable(under.withColumn("_was", F.col("path")).withColumn("path", F.concat("_to", "_rest")).drop("_to", "_rest"), "journal-moved")
         stats["subtree_moved"] = shifted.count()
@@ -263,8 +269,8 @@ def apply(live: DataFrame, events: DataFrame, state: DataFrame | Callable[[DataF
     doubted = named.join(none, ["drive", "frn"]).where(F.col("_fits") | ((F.col("_any") == 0) & (F.col("id") == F.col("_first")))).select("id", "_ci").distinct()
     retired = durable(doubted.join(known.select("_ci"), "_ci", "left_anti").select("id").distinct(), "journal-retired")
     # an entry that came along with its directory to the place of one that stayed
-    landed = shifted.select(ci.alias("_ci"), F.col("id").alias("_comer"))
-    replaced = keyed.join(shifted.select("id"), "id", "left_anti").join(landed, "_ci").select("id")
+    landed = shifted.select(ci.alias("_ci")).distinct()
+    replaced = keyed.join(shifted.select("id"), "id", "left_anti").join(landed, "_ci").select("id") if moves else left_place
     # what stands at the end, or was written to
     ends = spans.select("drive", "frn", "parent_frn", "name", F.col("from_usn").alias("usn"), F.coalesce(F.col("to_usn").isNull(), F.lit(False)).alias("_stands")).distinct()
     came = at.where(has(FILE_CREATE | RENAME_NEW | HARD_LINK) & F.col("path").isNotNull()).join(ends, ["drive", "frn", "parent_frn", "name", "usn"], "left")
@@ -274,8 +280,9 @@ def apply(live: DataFrame, events: DataFrame, state: DataFrame | Callable[[DataF
     touched = came.select("path", "frn", "is_dir", "usn", F.lit(True).alias("_new"), "_stands").unionByName(fresh.select("path", "frn", "is_dir", "usn", F.lit(False).alias("_new"), F.lit(True).alias("_stands")))
     touched = touched.withColumn("_ci", ci).groupBy("_ci").agg(F.max_by(F.struct("path", "frn", "is_dir", "_new", "_stands"), F.struct("_stands", "_new", "usn")).alias("_t")).select("_ci", "_t.*")
     looked = durable(touched.join(known.drop("path"), "_ci", "left"), "journal-looked")
-    upserts = looked.where(F.col("_stands") & ((F.col("status") == "ok") | ((F.col("status") == "unknown") & F.col("_new"))))
-    vanished = looked.where(F.col("status").isNull() & F.col("_new")).select("_ci")
+    seen = F.col("_stands") & ((F.col("status") == "ok") | ((F.col("status") == "unknown") & F.col("_new")))
+    gone = F.col("status").isNull() & F.col("_new")
+    upserts, vanished = looked.where(seen), looked.where(gone).select("_ci")
     # names of refreshed records under paths that are gone go too
     stale = keyed.join(upserts.where(~F.col("_new")).select("frn", F.col("_ci").alias("_at")), "frn").where(F.col("_ci") != F.col("_at")).join(known.select("_ci"), "_ci", "left_anti").select("id")
     every = moved.withColumn("_ci", ci)
@@ -289,8 +296,7 @@ def apply(live: DataFrame, events: DataFrame, state: DataFrame | Callable[[DataF
                           zero(F.col("ctime")).cast("long").alias("ctime"), zero(F.col("flags")).cast("int").alias("flags"), "frn")
     from quillon.sources.catalog import numbered
 
-    stats["applied"] = rows.count()
-    stats["stat_gone"] = vanished.count()
+    stats["applied"], stats["stat_gone"] = looked.agg(F.count_if(seen), F.count_if(gone)).first()
     stats["retired"] = retired.count()
     new = numbered(rows, ["path"], top + 1).select(*COLUMNS) if stats["applied"] else spark.createDataFrame([], live.select(*COLUMNS).schema)
     # a row that moved left its old path; one that ended after a move was never in the catalogue at the new one
