@@ -27,8 +27,8 @@ class Monitor:
     ``rescan`` gives the entries of volumes anew.
 
     A batch writes only what it changed, beside the snapshot (:mod:`quillon.streaming.pending`);
-    readers see both. The changes are folded into a new version after ``flush_secs``, or at once
-    when a side has more than ``overlay.CAP`` rows. A stream per volume may run; one that fails
+    readers see both. The changes are folded into a new version (``snapshots.fold``: only files in whose
+    range one falls are written anew) after ``flush_secs``, or at once when a side has more than ``overlay.CAP`` rows. A stream per volume may run; one that fails
     stops no other and starts again. Streams share no volume.
     """
 
@@ -67,7 +67,8 @@ class Monitor:
             return out.stats
 
     def flush(self) -> str:
-        """Fold all pending changes into a new version, ids renewed; positions beside it come last."""
+        """Write all entries, with the pending changes, as a new version, ids renewed; positions beside it come
+        last. Changes that are due are folded into the files they touch alone (:meth:`flush_if_due`)."""
         with self.lock:
             s = pending.read(self.spark, self.root)
             return self._replace(s, self.live(s)) if s["pending"] else self._stamp(s, s)
@@ -78,7 +79,8 @@ class Monitor:
             changes = pending.every(self.spark, self.root, s)
             if changes is None or (time.time() - (s["flushed"] or 0) < self.flush_secs and not changes.saturated()):
                 return False
-            self._replace(s, self.live(s))
+            version = snapshots.fold(self.spark, self.root, changes.removed, changes.delta)
+            self._stamp(s | {"base": version, "pending": {}}, s)
             return True
 
     def _replace(self, s: dict, entries: DataFrame) -> str:

@@ -31,14 +31,18 @@ def read(spark: SparkSession, root: str) -> dict:
 
 
 def write(spark: SparkSession, root: str, s: dict, before: dict | None = None) -> None:
-    """Replace the state; folders that ``before`` named and ``s`` does not go after KEEP seconds."""
+    """Replace the state; folders that ``before`` named and ``s`` does not go after KEEP seconds, and not while
+    the manifest of the version lists files in them."""
     names = lambda x: {x.get("base"), *x["pending"].values(), *x["waiting"].values()}
     now = time.time()
     left = s["left"] + [[n, now] for n in sorted(names(before) - names(s) - {None})] if before else s["left"]
     over = [n for n, at in left if now - at > KEEP and n not in names(s)]
+    used = snapshots.folders(spark, root, s.get("base")) if over else set()
+    over = [n for n in over if n not in used]
     snapshots.write_text(spark, f"{root}/monitor.json", json.dumps(s | {"left": [x for x in left if x[0] not in over]}))
     for n in over:
         snapshots.delete(spark, f"{root}/{n}")
+        snapshots.delete(spark, f"{root}/{n}.manifest")
 
 
 def save(overlay: Overlay, waiting: DataFrame, root: str) -> str:
