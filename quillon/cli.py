@@ -14,7 +14,7 @@ from quillon import http
 from quillon.functions import paths
 from quillon.operators.query import QueryError, parse_bytes
 from quillon.service import Service
-from quillon.sources import snapshots, walk
+from quillon.sources import journals, snapshots, walk
 from quillon.streaming import journal, pending
 from quillon.streaming.monitor import Monitor, request
 
@@ -52,7 +52,8 @@ def _parser() -> argparse.ArgumentParser:
     x.add_argument("--no-warm", action="store_true")
     x.add_argument("--no-watch", action="store_true")
     x = sub.add_parser("monitor", help="fold a folder of journal events into the snapshot until stopped")
-    x.add_argument("events", help="where Parquet files of events arrive")
+    x.add_argument("events", nargs="?", help="where Parquet files of events arrive")
+    x.add_argument("--journals", help="a folder of journals to follow instead, one a volume; gaps are healed")
     x.add_argument("--checkpoint", required=True)
     x.add_argument("--volume", default="", help="letters: a stream each; one stream of all if empty")
     x.add_argument("--mount", action="append", default=[], help="LETTER=folder where executors find the volume")
@@ -98,16 +99,26 @@ def _monitor(spark: SparkSession, a: argparse.Namespace, flush_secs: float = 60.
 
 
 def _watch(spark: SparkSession, a: argparse.Namespace) -> dict:
-    m, events = _monitor(spark, a, a.flush_secs), spark.readStream.schema(journal.EVENT).parquet(a.events)
-    every = {d: events.where(F.upper("drive") == d) for d in walk.drives(a.volume)}
-    how = {"available_now": a.once, "interval": f"{a.interval_secs} seconds"}
-    if every:
-        m.start_volumes(every, a.checkpoint, **how)
+    if not a.events and not a.journals:
+        raise ValueError("monitor: events or --journals")
+    m = _monitor(spark, a, a.flush_secs)
+    if a.journals:
+        m.watch(a.journals, walk.drives(a.volume) or [r.drive for r in journals.bounds(spark, a.journals).collect()], a.checkpoint, f"{a.interval_secs} seconds")
     else:
-        m.start(events, a.checkpoint, **how)
+        events = spark.readStream.schema(journal.EVENT).parquet(a.events)
+        every = {d: events.where(F.upper("drive") == d) for d in walk.drives(a.volume)}
+        how = {"available_now": a.once, "interval": f"{a.interval_secs} seconds"}
+        if every:
+            m.start_volumes(every, a.checkpoint, **how)
+        else:
+            m.start(events, a.checkpoint, **how)
     if a.once:
         for query, _ in m.streams.values():
-            query.awaitTermination()
+            if a.journals:
+                query.processAllAvailable()
+                query.stop()
+            else:
+                query.awaitTermination()
     else:
         try:
             while True:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import paths
 from quillon.operators import overlay
-from quillon.sources import snapshots
+from quillon.sources import journals, snapshots
 from quillon.sources.catalog import COLUMNS
 from quillon.sources.scratch import durable
 from quillon.sources.walk import union_of_volumes
@@ -29,14 +30,17 @@ class Monitor:
     A batch writes only what it changed, beside the snapshot (:mod:`quillon.streaming.pending`);
     readers see both. The changes are folded into a new version (``snapshots.fold``: only files in whose
     range one falls are written anew) after ``flush_secs``, or at once when a side has more than ``overlay.CAP`` rows. A stream per volume may run; one that fails
-    stops no other and starts again. Streams share no volume.
+    stops no other and starts again. Streams share no volume. ``bounds`` gives what the journals hold
+    (drive, first, following, and journal, if known); with it, :meth:`tick` heals volumes by itself.
     """
 
-    def __init__(self, spark: SparkSession, root: str, state: Callable[[DataFrame], DataFrame], flush_secs: float = FLUSH, rescan: Callable[[list[str]], DataFrame] | None = None):
-        self.spark, self.root, self.state, self.flush_secs, self.rescan = spark, root, state, flush_secs, rescan
+    def __init__(self, spark: SparkSession, root: str, state: Callable[[DataFrame], DataFrame], flush_secs: float = FLUSH, rescan: Callable[[list[str]], DataFrame] | None = None, bounds: Callable[[], DataFrame] | None = None):
+        self.spark, self.root, self.state, self.flush_secs, self.rescan, self.bounds = spark, root, state, flush_secs, rescan, bounds
         self.lock = threading.RLock()
         self.streams: dict[str, tuple] = {}
         self.down: dict[str, tuple[float, str]] = {}
+        #: what went wrong between batches: a request or a healing, and its message
+        self.faults: dict[str, str] = {}
 
     def live(self, s: dict | None = None) -> DataFrame:
         """The snapshot with its pending changes."""
@@ -110,14 +114,24 @@ class Monitor:
             return self._replace(s | {"positions": s["positions"] | at, "floors": s["floors"] | at}, union_of_volumes([kept, rescanned]))
 
     def heal(self, bounds: DataFrame) -> dict[str, str]:
-        """What each volume of bounds(drive, first, following) needs; volumes whose journal lost records
-        since they were read are rebuilt."""
-        held = pending.read(self.spark, self.root)["positions"]
+        """What each volume of bounds(drive, first, following[, journal]) needs. Volumes whose journal lost records
+        since they were read (gap), or is another than it was (new), are rebuilt; reading goes on where the
+        journal ended before the scan. Without a way to scan, a new journal is read from its first record."""
+        s = pending.read(self.spark, self.root)
+        held, known = s["positions"], s["journals"]
         found = {r.drive.upper().rstrip(":"): r for r in bounds.collect()}  # a row a volume
-        status = {d: journal.replay_status(held[d], r.first, r.following) for d, r in found.items() if d in held}
-        torn = [d for d, x in status.items() if x == "gap"]
+        ids = {d: r.journal for d, r in found.items()} if "journal" in bounds.columns else {}
+        status = {d: "new" if d in ids and known.get(d, ids[d]) != ids[d] else journal.replay_status(held[d], r.first, r.following) for d, r in found.items() if d in held}
+        if any(known.get(d) != j for d, j in ids.items()):
+            with self.lock:
+                s = pending.read(self.spark, self.root)
+                pending.write(self.spark, self.root, s | {"journals": s["journals"] | ids}, s)
+        torn = [d for d, x in status.items() if x == "gap" or (x == "new" and self.rescan)]
         if torn:
             self.rebuild(torn, positions={d: found[d].following for d in torn})
+        for d, x in status.items():
+            if x == "new" and d not in torn:
+                self.resync(d, found[d].first)
         return status
 
     def resync(self, drive: str, following: int) -> None:
@@ -143,6 +157,29 @@ class Monitor:
             d = drive.upper().rstrip(":")
             self.start(df, f"{checkpoint.rstrip('/')}/{d}", stream=d, **more)
 
+    def watch(self, folder: str, drives: list[str], checkpoint: str, interval: str = INTERVAL) -> None:
+        """A stream for each volume whose journal is in ``folder`` (:mod:`quillon.sources.journals`). Each start reads
+        on from the stored position, which the changes' own step has advanced, with a checkpoint of its own."""
+        def begin(d: str):
+            place = f"{checkpoint.rstrip('/')}/{d}/{uuid.uuid4().hex}"
+            events = journals.stream(self.spark, folder, d, pending.read(self.spark, self.root)["positions"].get(d))
+            writer = events.writeStream.queryName(f"monitor-{d}-{uuid.uuid4().hex[:8]}").foreachBatch(lambda df, k: self.apply_batch(df, k, d, place) and None)
+            return writer.option("checkpointLocation", place).trigger(processingTime=interval).start()
+
+        self.bounds = self.bounds or (lambda: journals.bounds(self.spark, folder))
+        self._guarded("heal", lambda: self.heal(self.bounds()))
+        for drive in drives:
+            d = drive.upper().rstrip(":")
+            self.streams[d] = (begin(d), lambda d=d: begin(d))
+
+    def _guarded(self, name: str, run: Callable[[], object]) -> None:
+        """What fails is noted under its name and tried again when it is due again."""
+        try:
+            run()
+            self.faults.pop(name, None)
+        except Exception as e:  # whatever it is, the other volumes go on
+            self.faults[name] = str(e).splitlines()[0] if str(e) else type(e).__name__
+
     def revive(self, now: float | None = None) -> list[str]:
         """Note streams that failed; start those anew that have been down for RETRY seconds."""
         now, started = time.monotonic() if now is None else now, []
@@ -152,27 +189,36 @@ class Monitor:
                 self.down.pop(name, None)
                 continue
             since = self.down.setdefault(name, (now, str(fault).splitlines()[0]))[0]
-            if now - since >= RETRY:
+            # a gap was healed before, there is nothing to wait for
+            if now - since >= RETRY or journals.GAP in str(fault):
                 self.streams[name] = (again(), again)
                 self.down.pop(name)
                 started.append(name)
         return started
 
     def tick(self) -> str | None:
-        """What is due between batches: failed streams, a request, a flush. The request that was met, if any."""
+        """What is due between batches: torn journals, failed streams, a request, a flush. The request that was
+        taken up, if any; one that fails is noted in ``faults``."""
+        if self.bounds:
+            self._guarded("heal", lambda: self.heal(self.bounds()))
         self.revive()
         where = f"{self.root}/request"
         word = (snapshots.read_text(self.spark, where) or "").strip()
         if word:
             snapshots.delete(self.spark, where)
         if word == "flush":
-            self.flush()
+            self._guarded("flush", self.flush)
         elif word == "rebuild":
-            self.rebuild(sorted(pending.read(self.spark, self.root)["positions"]))
+            self._guarded("rebuild", self._rebuild_all)
         else:
-            self.flush_if_due()
+            self._guarded("flush", self.flush_if_due)
         return word or None
 
+    def _rebuild_all(self) -> None:
+        """All volumes that were read, from where their journals ended before the scan."""
+        found = {r.drive.upper().rstrip(":"): r.following for r in self.bounds().collect()} if self.bounds else {}
+        self.rebuild(sorted(pending.read(self.spark, self.root)["positions"]), positions=found)
+
     def status(self, bounds: DataFrame | None = None) -> dict:
         """Position of each volume (and how far its journal is ahead), sizes of the changes, streams that are down."""
         s = pending.read(self.spark, self.root)
@@ -180,7 +226,7 @@ class Monitor:
         drives = {d: {"position": p} | ({"lag": max(0, ahead[d] - p)} if d in ahead else {}) for d, p in sorted(s["positions"].items())}
         changes = pending.every(self.spark, self.root, s)
         n = {"removed": changes.removed.count(), "delta": changes.delta.count()} if changes else {"removed": 0, "delta": 0}
-        return {"version": s["base"], "drives": drives, "pending": n, "flushed": s["flushed"], "watching": sorted(set(self.streams) - set(self.down)), "down": {k: v[1] for k, v in self.down.items()}}
+        return {"version": s["base"], "drives": drives, "pending": n, "flushed": s["flushed"], "watching": sorted(set(self.streams) - set(self.down)), "down": {k: v[1] for k, v in self.down.items()}} | ({"faults": dict(self.faults)} if self.faults else {})
 
 
 def request(spark: SparkSession, root: str, word: str) -> None:

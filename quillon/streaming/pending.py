@@ -20,7 +20,7 @@ from quillon.sources import snapshots
 WAITING = "drive string, frn long, old string"
 #: Seconds for which folders that nothing names are left to readers.
 KEEP = 600
-EMPTY = {"pending": {}, "waiting": {}, "positions": {}, "floors": {}, "batches": {}, "flushed": None, "left": []}
+EMPTY = {"pending": {}, "waiting": {}, "positions": {}, "floors": {}, "journals": {}, "batches": {}, "flushed": None, "left": []}
 
 
 def read(spark: SparkSession, root: str) -> dict:
