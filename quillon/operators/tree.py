@@ -10,25 +10,46 @@ from quillon.sources.scratch import durable
 ROOT = 5
 
 
-def build(records: DataFrame, root: int = ROOT, drive: str = "D:") -> DataFrame:
-    """records(frn, parent_frn, name, is_dir, ...) with path, from the root downwards.
+def directory_paths(records: DataFrame, root: int = ROOT, drive: str = "D:") -> DataFrame:
+    """(at, path) of the root and of all directories that a chain of directories ties to it.
 
-    Directories are found level by level, each level durable, and each directory once; then one join gives
-    every record its parent's path, so a file with several names or parents has a row for each. Records
-    that no chain of directories ties to the root (orphans, cycles, children of files) have no path.
+    By pointer doubling: what is known of a directory is a path from some ancestor; joined with what is known of
+    that one it reaches twice as far. So the rounds go with the logarithm of the depth. A round that
+    reaches the root from no further directory is the last: whatever is left is an orphan or a cycle.
+    A directory with several parents takes its shortest path, ties the least.
     """
     spark = records.sparkSession
-    dirs = durable(records.where(F.col("is_dir") & (F.col("frn") != root)).select("frn", "parent_frn", "name").distinct(), "tree-dirs")
-    level = spark.createDataFrame([(root, drive)], "at long, path string")
-    found = level
+    name = F.concat(F.lit("\\"), "name")
+    dirs = records.where(F.col("is_dir") & (F.col("frn") != root)).select("frn", F.col("parent_frn").alias("up"), name.alias("path")).groupBy("frn", "up").agg(F.min(F.struct(F.lit(1).alias("n"), "path")).alias("way"))
+    known = durable(dirs.select("frn", "up", "way.*"), "tree-ways")
+    here, reached = F.col("up") == root, -1
     while True:
-        below = dirs.join(level, dirs["parent_frn"] == level["at"]).groupBy(F.col("frn").alias("at")).agg(F.min(F.concat("path", F.lit("\\"), "name")).alias("path"))
-        level = durable(below.join(found.select("at"), "at", "left_anti"), "tree-level")
-        if level.isEmpty():
+        done, left = known.agg(F.count_if(here), F.count_if(~here)).first()
+        if done == reached or not left:
             break
-        found = found.union(level)
-    parents = found.withColumnRenamed("path", "_parent")
-    named = records.where(F.col("frn") != root).join(parents, records["parent_frn"] == parents["at"])
+        reached = done
+        far = known.select(F.col("frn").alias("up"), F.col("up").alias("_up"), F.col("n").alias("_n"), F.col("path").alias("_path"))
+        longer = known.where(~here).join(far, "up").select("frn", F.col("_up").alias("up"), (F.col("n") + F.col("_n")).alias("n"), F.concat("_path", "path").alias("path"))
+        both = known.where(here).select("frn", "up", "n", "path").union(longer).groupBy("frn", "up").agg(F.min(F.struct("n", "path")).alias("way"))
+        known = durable(both.select("frn", "up", "way.*"), "tree-ways")
+    found = known.where(here).select(F.col("frn").alias("at"), F.concat(F.lit(drive), "path").alias("path"))
+    return found.union(spark.range(1).select(F.lit(root).cast("long").alias("at"), F.lit(drive).alias("path")))
+
+
+def build(records: DataFrame, root: int = ROOT, drive: str = "D:") -> DataFrame:
+    """records(frn, parent_frn, name, is_dir, ...) with path.
+
+    One join gives every record its parent's path (:func:`directory_paths`), so a file with several names or
+    parents has a row for each. Records that no chain of directories ties to the root (orphans, cycles,
+    children of files) have no path.
+    """
+    return resolve(records, records, root, drive)
+
+
+def resolve(records: DataFrame, wanted: DataFrame, root: int = ROOT, drive: str = "D:") -> DataFrame:
+    """``wanted``, some of the records, with path."""
+    parents = directory_paths(records, root, drive).withColumnRenamed("path", "_parent")
+    named = wanted.where(F.col("frn") != root).join(parents, wanted["parent_frn"] == parents["at"])
     return named.withColumn("path", F.concat("_parent", F.lit("\\"), "name")).drop("at", "_parent")
 
 

@@ -14,7 +14,7 @@ from quillon.functions import paths
 from quillon.operators import overlay
 from quillon.sources import journals, snapshots
 from quillon.sources.catalog import COLUMNS
-from quillon.sources.scratch import durable
+from quillon.sources.scratch import durable, passing
 from quillon.sources.walk import union_of_volumes
 from quillon.streaming import journal, pending
 
@@ -49,8 +49,9 @@ class Monitor:
         return (overlay.live(base, changes) if changes else base).select(*COLUMNS)
 
     def apply_batch(self, events: DataFrame, batch: int, stream: str = "all", run: str = "") -> dict[str, int]:
-        """Fold one batch in; a batch of the same ``run`` (checkpoint) that was folded in changes nothing."""
-        with self.lock:
+        """Fold one batch in; a batch of the same ``run`` (checkpoint) that was folded in changes nothing. The
+        batch's own tables are deleted once its changes are stored."""
+        with self.lock, passing(self.spark):
             s, key = pending.read(self.spark, self.root), f"{stream}|{run}"
             if batch <= s["batches"].get(key, -1):
                 return {}
@@ -83,13 +84,15 @@ class Monitor:
             changes = pending.every(self.spark, self.root, s)
             if changes is None or (time.time() - (s["flushed"] or 0) < self.flush_secs and not changes.saturated()):
                 return False
-            version = snapshots.fold(self.spark, self.root, changes.removed, changes.delta)
+            with passing(self.spark):
+                version = snapshots.fold(self.spark, self.root, changes.removed, changes.delta)
             self._stamp(s | {"base": version, "pending": {}}, s)
             return True
 
     def _replace(self, s: dict, entries: DataFrame) -> str:
         meta = snapshots.read_meta(self.spark, self.root) or {}
-        version = snapshots.save(union_of_volumes([entries]), self.root, meta.get("method", "mft"), meta.get("volumes"), meta.get("skipped", 0), force=True)
+        with passing(self.spark):
+            version = snapshots.save(union_of_volumes([entries]), self.root, meta.get("method", "mft"), meta.get("volumes"), meta.get("skipped", 0), force=True)
         return self._stamp(s | {"base": version, "pending": {}}, s)
 
     def _stamp(self, after: dict, before: dict) -> str:

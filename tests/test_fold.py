@@ -80,3 +80,21 @@ def test_folders_stay_while_a_manifest_lists_their_files(spark, tmp_path, many_f
     third = snapshots.save(snapshots.load(spark, root), root)
     pending.write(spark, root, s | {"base": third}, s)
     assert snapshots.load(spark, root).count() == 2999 and not (tmp_path / "db" / first).exists() and not (tmp_path / "db" / second).exists()
+
+
+def test_tables_of_a_batch_do_not_stay(spark, tmp_path):
+    import os
+
+    from quillon.sources import scratch
+    from quillon.streaming import journal as J
+    from quillon.streaming.monitor import Monitor
+
+    from .test_journal import events_of, table
+
+    root, shared = str(tmp_path / "db"), scratch.folder(spark)
+    snapshots.save(normalise(spark.createDataFrame([(0, "D:\\d", True, 10), (1, "D:\\d\\f", False, 11)], "id long, path string, is_dir boolean, frn long")), root)
+    m = Monitor(spark, root, lambda paths: table(spark, {"D:\\e": 0, "D:\\e\\f": 1, "D:\\e\\g": 2}), flush_secs=0)
+    before = set(os.listdir(shared.removeprefix("file:")))
+    m.apply_batch(events_of(spark, (10, 5, "d", True, 1, J.RENAME_OLD), (10, 5, "e", True, 2, J.RENAME_NEW), (12, 10, "g", False, 3, J.FILE_CREATE)), 0)
+    assert {r.path for r in m.live().collect()} == {"D:\\e", "D:\\e\\f", "D:\\e\\g"}
+    assert set(os.listdir(shared.removeprefix("file:"))) == before

@@ -53,6 +53,22 @@ def test_tree(spark):
     assert {x.frn for x in tree.orphans(r, built).collect()} == {99, 21, 22, 30}
 
 
+def test_a_chain_of_directories_takes_rounds_by_its_logarithm(spark, monkeypatch):
+    rounds, write = [], tree.durable
+    monkeypatch.setattr(tree, "durable", lambda df, name: rounds.append(name) or write(df, name))
+    n = 4000
+    chain = spark.range(n).select((F.col("id") + 10).alias("frn"), F.when(F.col("id") == 0, 5).otherwise(F.col("id") + 9).alias("parent_frn"), F.concat(F.lit("d"), "id").alias("name"), F.lit(True).alias("is_dir"))
+    loops = spark.createDataFrame([(9001, 9002, "a", True), (9002, 9003, "b", True), (9003, 9001, "c", True), (9004, 9003, "f", False), (9005, 7_777_777, "g", True), (8000, 4009, "deep", False)], "frn long, parent_frn long, name string, is_dir boolean")
+    # two ways to a directory: the shorter counts
+    twice = spark.createDataFrame([(9100, 10, "z", True), (9100, 11, "a", True), (9101, 9100, "in", False)], loops.schema)
+    got = {r.frn: r.path for r in tree.build(chain.union(loops).union(twice).where("frn <> 9100 OR name = 'z'")).collect()}
+    deep = "D:" + "".join(f"\\d{k}" for k in range(n))
+    assert len(rounds) <= 14 and got[8000] == deep + "\\deep" and got[4009] == deep and len(got) == n + 3 and got[9101] == "D:\\d0\\z\\in"
+    every = chain.union(loops).union(twice)
+    one = tree.resolve(every, every.where("frn = 9101")).collect()
+    assert [r.path for r in one] == ["D:\\d0\\z\\in"]
+
+
 def test_documents_without_text_stay(spark, tmp_path):
     rows = [(1, "a", 1), (2, None, None), (3, "a", 1), (4, None, None), (5, "", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").selectExpr("*", "'en' AS lang", "'src1' AS source")
