@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table of at most so many rows may be broadcast; rows are narrow (a few hundred bytes).
@@ -65,7 +65,8 @@ def public(df: DataFrame, *replaced: str) -> DataFrame:
 
 def keeps_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """Names that begin with an underscore are the operators' own: inside one, such columns of its first
-    argument bear other names, and their own again in the result, but those that it adds itself."""
+    argument bear other names, and their own again in the result, but those that it adds itself. Arguments that
+    are columns are worked out before, under the names that the caller knows."""
 
     @functools.wraps(operator)
     def run(df: DataFrame, *args, **more) -> DataFrame:
@@ -77,8 +78,16 @@ def keeps_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
                 taken.add(to[c].lower())
         if not to:
             return operator(df, *args, **more)
-        named = lambda x: to.get(x, x) if isinstance(x, str) else x
-        out = operator(df.withColumnsRenamed(to), *map(named, args), **{k: named(x) for k, x in more.items()})
+        given = {}
+
+        def named(x):
+            if isinstance(x, Column):
+                given[name := f"argument{len(given)}_{uuid.uuid4().hex[:8]}"] = x
+                return F.col(name)
+            return to.get(x, x) if isinstance(x, str) else x
+
+        args, more = [*map(named, args)], {k: named(x) for k, x in more.items()}
+        out = operator(df.withColumns(given).withColumnsRenamed(to), *args, **more).drop(*given)
         added = {c.lower() for c in out.columns}
         back = {new: old for old, new in to.items() if new in out.columns}
         return out.drop(*[new for new, old in back.items() if old.lower() in added]).withColumnsRenamed({new: old for new, old in back.items() if old.lower() not in added})

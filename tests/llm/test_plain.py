@@ -266,6 +266,9 @@ def test_columns_that_begin_with_an_underscore_stay(spark):
     df = spark.createDataFrame([(1, "a b", "en", "s", "x", 7), (2, "c d", "en", "s", "y", 8)], "doc_id long, _text string, lang string, source string, _digest string, _size long")
     out = mixing.mix(df, F.lit(1).cast("long"), total=40.0)
     assert set(df.columns) < set(out.columns) and {(r.doc_id, r._text, r._digest, r["_size"]) for r in out.collect()} == {(1, "a b", "x", 7), (2, "c d", "y", 8)}
+    units = df.select("*", F.lit(3).cast("long").alias("_n"))
+    out = mixing.mix(units, F.col("_n") + F.col("_size"), total=40.0)  # columns of the table, as the caller names them
+    assert set(units.columns) < set(out.columns) and not [c for c in out.columns if "argument" in c] and {(r.doc_id, r["_n"]) for r in out.collect()} <= {(1, 3), (2, 3)}
     out = sharding.shard_by_bytes(df, 2, text="_text")  # adds a size of its own
     assert {(r.doc_id, r._digest, r["_size"]) for r in out.collect()} == {(1, "x", 4), (2, "y", 4)} and out.columns.count("_size") == 1
     out = pii.sanitise(df, text="_text")
