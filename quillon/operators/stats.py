@@ -24,14 +24,3 @@ def attribute_lists(catalog: DataFrame) -> DataFrame:
 def trigram_rows(catalog: DataFrame) -> DataFrame:
     """(trigram, id): the distinct trigrams of each name."""
     return with_derived(catalog).select(F.explode(paths.trigrams(F.col("name_l"))).alias("trigram"), "id")
-
-
-def containing(catalog: DataFrame, rows: DataFrame, literal: str) -> DataFrame:
-    """Entries whose name contains ``literal``: those with all its trigrams, then verified."""
-    raw = literal.lower().encode("utf-8").decode("latin-1")
-    wanted = sorted({raw[i : i + 3] for i in range(len(raw) - 2)})
-    found = with_derived(catalog).where(F.col("name_l").contains(literal.lower()))
-    if not wanted:
-        return found
-    hit = rows.where(F.col("trigram").isin(wanted)).groupBy("id").agg(F.count("*").alias("_n")).where(F.col("_n") == len(wanted))
-    return found.join(hit.select("id"), "id", "left_semi")
