@@ -240,7 +240,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "du_total": _du_total, "du_children": _du_children, "du_depth2_top": _du_top, "du_by_allocated": _du_allocated, "du_hardlink_dedup": _du_dedup, "du_pages": _du_pages,
         "dupes_groups": _dupe_groups, "dupes_ranked": _dupe_ranked, "dupes_summary": _dupe_summary,
         "tree_paths": lambda s, d: tree.build(tree_records(s, d)).select("frn", "path"),
-        "resolve_path": lambda s, d: tree.resolve(tree_records(s, d), tree_records(s, d).where("frn % 97 = 0")).select("frn", "path"),
+        "resolve_path": lambda s, d: tree.resolve(tree_records(s, d), tree_records(s, d).where("frn % 3 = 0")).select("frn", "path"),
         "tree_orphans": lambda s, d: tree.orphans(tree_records(s, d), tree.build(tree_records(s, d))).select("frn", "name"),
         "overlay_union": lambda s, d: shown(overlay.live(*_overlay(s, d)), "side"),
         "overlay_topn": lambda s, d: shown(overlay.page(*_overlay(s, d), "type:file", 25, "size", True)[1]),
@@ -288,7 +288,7 @@ def oracle_sql() -> dict[str, str]:
         "dupes_summary": f"""WITH {FILES}, {twins} SELECT count(*) AS groups, CAST(sum(size * (n - 1)) AS BIGINT) AS wasted_bytes,
             (SELECT CAST(sum(m) AS BIGINT) FROM (SELECT count(*) AS m FROM files WHERE size >= 100 GROUP BY size HAVING count(*) > 1)) AS files_hashed, CAST(0 AS BIGINT) AS skipped FROM twin""",
         "tree_paths": TREE_SQL + "SELECT frn, path FROM t",
-        "resolve_path": TREE_SQL + "SELECT frn, path FROM t WHERE frn % 97 = 0",
+        "resolve_path": TREE_SQL + "SELECT frn, path FROM t WHERE frn % 3 = 0",
         "tree_orphans": TREE_SQL + "SELECT frn, name FROM recs WHERE frn NOT IN (SELECT frn FROM t)",
         "overlay_union": OVERLAY + f"SELECT {COLS}, side FROM live",
         "overlay_topn": OVERLAY + f"SELECT {COLS} FROM live WHERE NOT is_dir ORDER BY size DESC, path LIMIT 25",
