@@ -1,17 +1,20 @@
 """Approximate nearest neighbours by inner product: a robust-pruned directed graph per shard.
 
-Vectors are dealt to shards by hash. A shard builds a graph over its different vectors: greedy
-searches from the middle propose neighbours, and a neighbour is left out when one that is kept is
-closer to it by the factor ALPHA. Queries run a beam search in every shard, in blocks, and the best of
-all shards are scored exactly. Inner products become distances by one more coordinate, which
-makes all vectors of a shard equally long.
+Vectors are dealt to bands of length, a doubling each, and within a band to shards by hash. A shard
+builds a graph over its different vectors: greedy searches from the middle propose neighbours, and a
+neighbour is left out when one that is kept is closer to it by the factor ALPHA. Queries run a beam
+search in every shard, in blocks, and the best of all shards are scored exactly. Inner products become
+distances by one more coordinate, which makes all vectors of a shard equally long; as lengths in a band
+are alike, that coordinate never outweighs the others, and neighbours in the graph are neighbours
+for queries. Shards hold vectors scaled by their band and queries are scaled to length 1, which changes
+no order, so single precision serves vectors of any size. There are at most some 2,000 bands.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -140,35 +143,55 @@ def build(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return graph, start
 
 
-_INDEX = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("n", T.IntegerType()),
+def _log_length(vector: str) -> Column:
+    """The logarithm (base 2) of a vector's length, for components of any finite size."""
+    most = F.array_max(F.transform(vector, F.abs))
+    squares = F.aggregate(F.transform(vector, lambda x: F.pow(x / most, F.lit(2))), F.lit(0.0), lambda s, x: s + x)
+    return F.log2(most) + F.log2(squares) / 2
+
+
+def scaled(raw: np.ndarray, band: int) -> np.ndarray:
+    """Float32 vectors of a band, their lengths between 0.7 and 1.5."""
+    return np.ldexp(raw, -band).astype(np.float32)
+
+
+def unit(q: np.ndarray) -> np.ndarray:
+    """Float32 vectors of length 1 in the directions of q, with the coordinate that :func:`longer` adds."""
+    q = q / np.abs(q).max(axis=1, initial=0.0, keepdims=True)
+    q = q / np.sqrt((q * q).sum(axis=1, keepdims=True))
+    return np.column_stack([q, np.zeros(len(q))]).astype(np.float32)
+
+
+_INDEX = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("band", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("n", T.IntegerType()),
                        T.StructField("keys", T.BinaryType()), T.StructField("vectors", T.BinaryType()), T.StructField("graph", T.BinaryType()), T.StructField("start", T.BinaryType())])
 
 
 def _build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    raw = np.array(pdf["vector"].tolist(), np.float32)
+    raw = scaled(np.array(pdf["vector"].tolist(), np.float64), int(pdf["band"].iloc[0]))
     graph, start = build(longer(raw))
     return pd.DataFrame({
-        "dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "n": [len(raw)], "keys": [pdf["key"].to_numpy(np.int64).tobytes()],
+        "dim": [int(pdf["dim"].iloc[0])], "band": [int(pdf["band"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "n": [len(raw)], "keys": [pdf["key"].to_numpy(np.int64).tobytes()],
         "vectors": [raw.tobytes()], "graph": [graph.astype(np.int32).tobytes()], "start": [start.astype(np.int32).tobytes()],
     })
 
 
 def build_index(vectors: DataFrame) -> DataFrame:
     """One row per shard with its vectors and graph, from vectors(dim, key, vector), all different."""
-    shards = vectors.groupBy("dim").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("shards"))
-    rows = vectors.join(F.broadcast(shards), "dim").withColumn("shard", F.pmod(F.xxhash64("key"), "shards").cast("int"))
-    return durable(rows.groupBy("dim", "shard").applyInPandas(_build_shard, _INDEX), "graph-index")
+    rows = durable(vectors.withColumn("band", F.floor(_log_length("vector") + 0.5).cast("int")), "graph-bands")
+    shards = durable(rows.groupBy("dim", "band").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("shards")), "graph-shards")
+    rows = join_small(rows, shards, ["dim", "band"], "inner").withColumn("shard", F.pmod(F.xxhash64("key"), "shards").cast("int"))
+    return durable(rows.groupBy("dim", "band", "shard").applyInPandas(_build_shard, _INDEX), "graph-index")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, key): for each of queries(qid, dim, vector) the k nearest keys of every shard.
 
-    Queries get the numbers of their shards from one row a dimension, not from a join with all shards,
-    and meet a shard by (dim, shard, block); they travel in the precision of the search.
+    Queries get the numbers of their shards from one row a dimension and band, not from a join with all shards,
+    and meet a shard by (dim, band, shard, block).
     """
-    shards = durable(index.groupBy("dim").agg((F.max("shard") + 1).alias("shards")), "graph-shards")
+    shards = durable(index.groupBy("dim", "band").agg((F.max("shard") + 1).alias("shards")), "graph-shards")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    asked = queries.select("qid", "dim", F.col("vector").cast("array<float>").alias("vector"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"))
+    asked = queries.select("qid", "dim", "vector", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"))
     asked = join_small(asked, shards, ["dim"], "inner").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -180,8 +203,7 @@ def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         graph = np.frombuffer(r["graph"], np.int32).reshape(r["n"], DEGREE).astype(np.int64)
         x, keys = longer(raw), np.frombuffer(r["keys"], np.int64)
         start = np.frombuffer(r["start"], np.int32).astype(np.int64)
-        q = np.array(left["vector"].tolist(), np.float32)
-        q = np.column_stack([q, np.zeros(len(q), np.float32)])
+        q = unit(np.array(left["vector"].tolist(), np.float64))
         out = []
         for at in range(0, len(q), 256):
             ids, _ = beam_search(x, graph, start, q[at : at + 256], max(BEAM, 2 * k))
@@ -190,7 +212,7 @@ def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             out.append(pd.DataFrame({"qid": np.repeat(left["qid"].to_numpy()[at : at + 256], good.sum(axis=1)), "key": keys[some[good]]}))
         return pd.concat(out)
 
-    at = ["dim", "shard", "block"]
+    at = ["dim", "band", "shard", "block"]
     return asked.groupBy(*at).cogroup(held.groupBy(*at)).applyInPandas(run, "qid long, key long")
 
 
@@ -201,7 +223,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector
     Equal vectors are one node of the graph, so that copies crowd out nothing; its rows come
     back in order of their ids, as many as can be among the k. Rows without id, and vectors
     that are null, empty, zero or hold a null or non-finite component, take no part. Vectors of
-    different lengths are not compared. Rows repeated whole count once. Ties go to the smaller
+    different lengths are not compared. Components may have any finite size. Rows repeated whole count once. Ties go to the smaller
     id. An empty table gives no rows.
     """
     v = F.col(vector).cast("array<double>")

@@ -220,6 +220,30 @@ def test_graph_search_over_many_shards(spark, monkeypatch):
     assert sum(len(want[q] & set(found[q])) for q in want) > 0.95 * 20 * len(want)
 
 
+@pytest.mark.parametrize("rows_per_shard", [8192, 100])
+@pytest.mark.parametrize("lengths", ["log-normal", 1e3, 1e200, 1e-200])
+def test_graph_search_with_any_lengths(spark, monkeypatch, lengths, rows_per_shard):
+    monkeypatch.setattr(graph_search, "SHARD_ROWS", rows_per_shard)
+    r = np.random.default_rng(5)
+    n = 600
+    x = r.standard_normal((n, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if lengths == "log-normal":
+        x *= np.exp(1.5 * r.standard_normal((n, 1)))
+    else:
+        x[[33, 401]] *= lengths
+    df = spark.createDataFrame([(k, x[k].tolist()) for k in range(n)], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for q in graph_search.nearest(df, F.col("vec_id") % 20 == 0, 20).collect():
+        found[q.query_id].append(q.vec_id)
+    hits = 0
+    for q in range(0, n, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & set(found[q]))
+    assert hits >= 0.95 * n
+
+
 def test_matcher_is_levenshtein():
     def distance(a, b):
         row = list(range(len(b) + 1))
