@@ -43,7 +43,8 @@ def _parser() -> argparse.ArgumentParser:
     x.add_argument("--top", type=int, default=20)
     x.add_argument("--allocated", action="store_true")
     x = sub.add_parser("dupes")
-    x.add_argument("root", help="where the contents are read")
+    x.add_argument("root", nargs="?", default="", help="only below this folder; a URL of a store is read through Spark, as whole values")
+    x.add_argument("--mount", action="append", default=[], help="LETTER=folder where executors find the volume")
     x.add_argument("--min-size", default="1kb")
     x.add_argument("--name")
     x.add_argument("--limit", type=int, default=50)
@@ -178,6 +179,8 @@ def answer(spark: SparkSession, a: argparse.Namespace) -> dict:
     if a.command == "du":
         return s.du(a.path, a.depth, a.top, a.allocated)
     if a.command == "dupes":
+        if "://" not in a.root:
+            return s.staged_dupes(a.root, _pairs(a.mount), parse_bytes(a.min_size), a.name, a.limit)
         contents = walk.contents(spark, a.root)
         return s.dupes(contents.withColumn("path", _local(contents["path"])), parse_bytes(a.min_size), a.name, a.limit)
     return s.stats()

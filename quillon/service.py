@@ -5,11 +5,14 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillon.functions import paths
 from quillon.operators import duplicates, overlay, search, stats, usage
 from quillon.operators.query import Clock, QueryError
-from quillon.sources import snapshots
-from quillon.sources.catalog import HIT
+from quillon.sources import snapshots, walk
+from quillon.sources.catalog import HIT, with_derived
+from quillon.sources.scratch import durable, passing
 from quillon.streaming import pending
 
 
@@ -108,6 +111,16 @@ class Service:
         top = [r.asDict() for r in duplicates.ranked(found, limit).collect()]
         return {"ok": True} | duplicates.summary(self.base, contents, min_size, name).first().asDict() | {"largest": top}
 
+    def staged_dupes(self, root: str = "", mounts: dict[str, str] | None = None, min_size: int = duplicates.MIN_SIZE, name: str | None = None, limit: int = duplicates.LIMIT) -> dict:
+        """As :meth:`dupes`, of files (below ``root``, if given) that executors open where they are mounted, read in stages and by blocks."""
+        base = with_derived(self.base).where(paths.starts_under(F.col("path_ci"), paths.fold_path_text(paths.trim_separators(root)))) if root else self.base
+        with passing(self.spark):
+            found, hashed, skipped = duplicates.staged(base, lambda df, first: walk.digests(df, first, mounts), min_size, name)
+            found = durable(found, "dupes-found")
+            top = [r.asDict() for r in duplicates.ranked(found, limit).collect()]
+            sums = duplicates.wasted(found).first().asDict()
+        return {"ok": True} | sums | {"files_hashed": hashed, "skipped": skipped, "largest": top}
+
     def health(self) -> dict:
         return {"ok": True, "generation": self.generation, "overlay": self.overlay is not None}
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import time
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import paths
+from quillon.operators import tree as tree_of
+from quillon.sources import records
 from quillon.sources.catalog import normalise, numbered
 from quillon.sources.scratch import durable
 from quillon.sources.snapshots import rank
@@ -41,45 +44,59 @@ def contents(spark: SparkSession, root: str) -> DataFrame:
 
 def tree(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
     """(entries, skipped) of a local tree: the fallback without journals. Links are not followed,
-    the root is left out, and what cannot be read is counted. Subdirectories are walked by tasks."""
-    def listed(folder: str):
-        try:
-            with os.scandir(folder) as it:
-                found = sorted(it, key=lambda e: e.name)
-        except OSError:
-            yield None
-            return
-        for e in found:
-            try:
-                s = e.stat(follow_symlinks=False)
-                is_dir = e.is_dir(follow_symlinks=False)
-            except OSError:
-                yield None
-                continue
-            yield e.path, is_dir, 0 if is_dir else s.st_size, int(s.st_mtime), int(getattr(s, "st_birthtime", s.st_ctime))
+    the root is left out, and what cannot be read is counted. All listing is done by tasks: one lists up to
+    ``FOLDERS`` folders of its branch and hands the rest back, and each round deals what is left anew, so a
+    branch of any size becomes many tasks. The tree must be mounted on every executor."""
+    top = spark.range(1).select(F.lit(root).alias("path"))
+    found, round_ = [], 0
+    while True:
+        step = durable(top.repartition(_tasks(spark, round_)).mapInPandas(_listed, WALK), "walk")
+        found.append(step)
+        left = step.where("kind = 'todo'").select("path")
+        round_ = left.count()
+        if not round_:
+            break
+        top = left
+    every = reduce(DataFrame.union, found)
+    skipped = every.where("kind = 'skipped'").count()
+    entries = numbered(every.where("kind = 'entry'").drop("kind").withColumn("allocated", F.lit(0)), ["path"])
+    return normalise(entries), skipped
 
-    top = list(listed(root))
-    rows = [x for x in top if x]
-    branches = [x[0] for x in rows if x[1]]
-    schema = "path string, is_dir boolean, size long, mtime long, ctime long"
 
-    def walk(batches):
-        import pandas as pd
+WALK = "kind string, path string, is_dir boolean, size long, mtime long, ctime long"
+#: Folders that a task lists before it hands the rest of its branch back.
+FOLDERS = 2000
 
-        for pdf in batches:
-            out, todo = [], list(pdf["path"])
-            while todo:
-                for x in listed(todo.pop()):
-                    out.append(x or (None, False, 0, 0, 0))
-                    if x and x[1]:
-                        todo.append(x[0])
-            yield pd.DataFrame(out, columns=["path", "is_dir", "size", "mtime", "ctime"])
-
-    below = spark.createDataFrame([(b,) for b in branches], "path string").repartition(max(1, min(len(branches), 64))).mapInPandas(walk, schema)
-    every = durable(spark.createDataFrame(rows, schema).union(below), "walk")
-    skipped = every.where("path IS NULL").count() + sum(x is None for x in top)
-    entries = numbered(every.where("path IS NOT NULL").withColumn("allocated", F.lit(0)), ["path"])
-    return normalise(entries), skipped
+
+def _tasks(spark: SparkSession, n: int) -> int:
+    return max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
+
+
+def _listed(batches):
+    """Rows of :data:`WALK`: what the folders of a partition hold, and those that are left to list (todo)."""
+    import pandas as pd
+
+    for pdf in batches:
+        out, todo, listed = [], list(pdf["path"]), 0
+        while todo and listed < FOLDERS:
+            folder, listed = todo.pop(), listed + 1
+            try:
+                with os.scandir(folder) as it:
+                    inside = sorted(it, key=lambda e: e.name)
+            except OSError:
+                out.append(("skipped", folder, True, 0, 0, 0))
+                continue
+            for e in inside:
+                try:
+                    s, is_dir = e.stat(follow_symlinks=False), e.is_dir(follow_symlinks=False)
+                except OSError:
+                    out.append(("skipped", e.path, False, 0, 0, 0))
+                    continue
+                out.append(("entry", e.path, is_dir, 0 if is_dir else s.st_size, int(s.st_mtime), int(getattr(s, "st_birthtime", s.st_ctime))))
+                if is_dir:
+                    todo.append(e.path)
+        out += [("todo", p, True, 0, 0, 0) for p in todo]
+        yield pd.DataFrame(out, columns=["kind", "path", "is_dir", "size", "mtime", "ctime"])
 
 
 def union_of_volumes(parts: list[DataFrame]) -> DataFrame:
@@ -132,13 +149,73 @@ def build(parts: list[Part], wanted: str = "", method: str = "auto") -> tuple[Da
     return entries, report
 
 
+def enumerated(drive: str, buffers: DataFrame, root: int = tree_of.ROOT) -> Part:
+    """A volume out of enumeration buffers (data): names and places only, sizes and times 0.
+
+    The greatest usn, from where a journal is followed afterwards, is observed while the records are written,
+    without a second pass; records without a path to the root count as skipped.
+    """
+    seen = Observation()
+    rows = records.decode_enumeration(buffers).observe(seen, F.count("*").alias("records"), F.max("usn").alias("max_usn"))
+    rows = durable(rows.select("frn", "parent_frn", "name", "is_dir"), "enumerated")
+    return Part(drive, "usn", *_placed(rows, root, drive), seen.get["max_usn"])
+
+
+def recorded(drive: str, table: DataFrame, clusters: DataFrame | None = None, max_usn: int | None = None, root: int = tree_of.ROOT) -> Part:
+    """A volume out of its binary file records (number, data), see :func:`quillon.sources.records.entries`."""
+    return Part(drive, "mft", *_placed(durable(records.entries(table, clusters), "recorded"), root, drive), max_usn)
+
+
+def _placed(rows: DataFrame, root: int, drive: str) -> tuple[DataFrame, int]:
+    """(entries, skipped) of records with parents."""
+    rows = rows.where(F.col("frn") != root)
+    built = durable(tree_of.build(rows, root, drive.rstrip(":").upper() + ":"), "placed")
+    skipped = rows.select("frn").distinct().count() - built.select("frn").distinct().count()
+    return normalise(numbered(built, ["path"])), skipped
+
+
+def digests(wanted: DataFrame, first: int | None = None, mounts: dict[str, str] | None = None, block: int = 1 << 20) -> DataFrame:
+    """(path, digest) of the files of ``wanted`` (path): SHA-256 of the first ``first`` bytes, or of everything,
+    read by blocks, so that files of any size take the memory of one. Digest is null for what cannot be read.
+    ``mounts`` as in :func:`probe`."""
+    place = _place(mounts)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for p in pdf["path"]:
+                digest, left = hashlib.sha256(), first
+                try:
+                    with open(place(p), "rb") as f:
+                        while left is None or left > 0:
+                            part = f.read(block if left is None else min(block, left))
+                            if not part:
+                                break
+                            digest.update(part)
+                            left = None if left is None else left - len(part)
+                    out.append((p, digest.hexdigest()))
+                except OSError:
+                    out.append((p, None))
+            yield pd.DataFrame(out, columns=["path", "digest"])
+
+    return wanted.select("path").where("path IS NOT NULL").mapInPandas(run, "path string, digest string")
+
+
+def _place(mounts: dict[str, str] | None):
+    """Where a path lies on executors."""
+    at = {k.rstrip(":").upper(): v.rstrip("/") for k, v in (mounts or {}).items()}
+    return lambda p: at[p[:1].upper()] + p[2:].replace("\\", "/") if p[1:2] == ":" and p[:1].upper() in at else p
+
+
 def probe(wanted: DataFrame, mounts: dict[str, str] | None = None) -> DataFrame:
     """The state of the paths of ``wanted`` (path), as :func:`quillon.streaming.journal.apply` reads it:
     those that are there as ok, those that cannot be read as unknown; what is gone has no row.
 
     ``mounts`` says where a drive's letter is mounted, on every executor. Links report themselves.
     """
-    at = {k.rstrip(":").upper(): v.rstrip("/") for k, v in (mounts or {}).items()}
+    place_of = _place(mounts)
 
     def look(batches):
         import pandas as pd
@@ -146,7 +223,7 @@ def probe(wanted: DataFrame, mounts: dict[str, str] | None = None) -> DataFrame:
         for pdf in batches:
             out = []
             for p in pdf["path"]:
-                place = at[p[:1].upper()] + p[2:].replace("\\", "/") if p[1:2] == ":" and p[:1].upper() in at else p
+                place = place_of(p)
                 try:
                     s = os.lstat(place)
                 except (FileNotFoundError, NotADirectoryError):

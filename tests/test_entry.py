@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from quillon.plans import catalog_queries as Q
 from quillon.plans import journal_queries as JQ
+from quillon.plans import record_queries as RQ
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -24,9 +25,9 @@ def same(spark, name, run, sql):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the tables")
-@pytest.mark.parametrize("name", sorted([*Q.queries(), *JQ.queries()]))
+@pytest.mark.parametrize("name", sorted([*Q.queries(), *JQ.queries(), *RQ.queries()]))
 def test_query_equals_sql(spark, name):
-    same(spark, name, (Q.queries() | JQ.queries())[name], (Q.oracle_sql() | JQ.oracle_sql())[name])
+    same(spark, name, (Q.queries() | JQ.queries() | RQ.queries())[name], (Q.oracle_sql() | JQ.oracle_sql() | RQ.oracle_sql())[name])
 
 
 def test_contract(spark):

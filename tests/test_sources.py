@@ -65,6 +65,106 @@ def test_file_records(spark):
     assert records.run_list(b"\x21\x18\x34\x56\x11\x05\xfe\x01\x07\x00") == [(0x5634, 0x18), (0x5632, 5), (None, 7)]
 
 
+def outside(kind, size, runs, vcn=0):
+    length = (64 + len(runs) + 8) // 8 * 8
+    return (struct.pack("<IIBBHHH", kind, length, 1, 0, 64, 0, 0) + struct.pack("<QQHHIQQQ", vcn, 0, 64, 0, 0, size + 1, size, size) + runs).ljust(length, b"\0")
+
+
+def listed(kind, owner, vcn=0, name=""):
+    raw = name.encode("utf-16-le")
+    length = (26 + len(raw) + 7) // 8 * 8
+    return (struct.pack("<IHBBQQH", kind, length, len(name), 26, vcn, (2 << 48) | owner, 0) + raw).ljust(length, b"\0")
+
+
+def test_attribute_lists(spark):
+    times = lambda t: attribute(0x10, struct.pack("<QQQQI", *[116444736000000000 + t * 10_000_000] * 4, 2) + b"\0" * 12)
+    label = lambda n: attribute(0x30, name_value(5, n))
+    inside = attribute(0x20, listed(0x80, 99, name="other") + listed(0x80, 98, vcn=4) + listed(0x80, 60))
+    long = b"".join(listed(0x80, 70 + k, vcn=k) for k in range(1, 300)) + listed(0x80, 61)
+    away = outside(0x20, len(long), b"\x11\x02\x07\x11\x01\x02\x00")  # clusters 7, 8 and 9
+    rows = [
+        (40, record([times(4), label("a"), inside])), (60, record([outside(0x80, 1000, b"")], base=40)), (98, record([outside(0x80, 5, b"", 4)], base=40)),
+        (41, record([label("b"), away])), (61, record([outside(0x80, 2000, b""), times(9), label("b2")], base=41)),
+        (42, record([times(1), label("foreign"), attribute(0x20, listed(0x80, 60))])),  # 60 continues another file
+        (43, record([times(1), label("torn"), outside(0x20, 9000, b"\x11\x01\x07\x00")])),  # longer than its clusters
+        (44, record([times(1), label("lost"), outside(0x20, 40, b"\x11\x01\x30\x00")])),  # its cluster is not there
+        (45, record([times(1), label("holes"), outside(0x20, 40, b"\x01\x01\x00")])), (46, record([label("own"), attribute(0x80, b"xyz"), attribute(0x20, listed(0x80, 60))])),
+        (47, record([label("freed")], use=0)), (62, record([label("of freed")], base=47)), (48, record([times(3), label("dir"), label("dir")], use=3)), (49, None),
+    ]
+    table = spark.createDataFrame([(n, bytearray(b) if b else None) for n, b in rows], "number long, data binary")
+    blocks = [long[k : k + 4096] for k in range(0, len(long), 4096)]
+    assert len(blocks) == 3
+    clusters = spark.createDataFrame([(7 + k, bytearray(b)) for k, b in enumerate(blocks)], "cluster long, data binary")
+    got = {r.name: (r.frn, r.is_dir, r.size, r.allocated, r.mtime, r.flags) for r in records.entries(table, clusters).collect()}
+    assert got == {"a": (40, False, 1000, 1001, 4, 1), "b": (41, False, 2000, 2001, 0, 0), "b2": (41, False, 2000, 2001, 0, 0), "foreign": (42, False, 0, 0, 1, 1), "torn": (43, False, 0, 0, 1, 1),
+                   "lost": (44, False, 0, 0, 1, 1), "holes": (45, False, 0, 0, 1, 1), "own": (46, False, 3, 0, 0, 0), "dir": (48, True, 0, 0, 3, 1)}
+    assert {r.name: r.size for r in records.entries(table).where("frn < 42").collect()} == {"a": 1000, "b": 0, "b2": 0}
+    assert records.entries(table.where("false"), clusters).count() == 0
+    part = walk.recorded("d", table, clusters, 9)
+    assert (part.method, part.skipped, part.max_usn) == ("mft", 0, 9) and {r.path for r in part.entries.where("frn < 42").collect()} == {r"D:\a", r"D:\b", r"D:\b2"}
+
+
+def test_enumeration_is_a_part(spark):
+    pack = lambda *rows: (bytearray(b"\x09" + b"\0" * 7 + b"".join(journal(2 + k % 2, *r) for k, r in enumerate(rows))),)
+    buffers = spark.createDataFrame([pack((5, 5, ".", 1, 0, 16), (40, 5, "dev", 70, 0, 16)), pack((50, 40, "m.rs", 20, 0), (51, 666, "orphan", 30, 0)), (bytearray(8),), (None,)], "data binary")
+    part = walk.enumerated("D:", buffers)
+    assert {(r.path, r.is_dir, r.frn) for r in part.entries.collect()} == {(r"D:\dev", True, 40), (r"D:\dev\m.rs", False, 50)} and (part.skipped, part.max_usn) == (1, 70)
+    entries, report = walk.build([part, walk.Part("D", "walk", part.entries.where("false"))])
+    assert (report.method, report.max_usn, report.files, report.skipped) == ("usn", {"D": 70}, 1, 1)
+    empty = walk.enumerated("E", buffers.where("false"))
+    assert empty.entries.count() == 0 and empty.max_usn is None
+
+
+def test_walk_hands_branches_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(walk, "FOLDERS", 7)
+    wide = tmp_path / "one" / "branch"
+    for k in range(60):
+        (wide / f"d{k}" / "e").mkdir(parents=True)
+        (wide / f"d{k}" / "e" / "f").write_text("x" * k)
+    (tmp_path / "link").symlink_to(tmp_path / "one")
+    rounds, write = [], walk.durable
+    monkeypatch.setattr(walk, "durable", lambda df, name: rounds.append(write(df, name)) or rounds[-1])
+    entries, skipped = walk.tree(spark, str(tmp_path))
+    assert skipped == 0 and entries.count() == 2 + 60 * 3 + 1 and entries.agg({"size": "sum"}).first()[0] == sum(range(60)) + (tmp_path / "link").lstat().st_size
+    tasks = max(r.where("kind = 'entry'").selectExpr("input_file_name() AS f").distinct().count() for r in rounds)
+    assert len(rounds) > 2 and tasks >= 4
+    assert walk.tree(spark, str(tmp_path / "none"))[1] == 1
+
+
+def test_staged_duplicates(spark, tmp_path):
+    from quillon.operators import duplicates
+
+    head = duplicates.HEAD
+    data = {"a": b"s" * 4096, "b": b"s" * 4096, "c": b"t" * 4096, "long1": b"h" * head + b"1", "long2": b"h" * head + b"1", "long3": b"h" * head + b"2", "long4": b"i" * head + b"1"}
+    for n, b in data.items():
+        (tmp_path / n).write_bytes(b)
+    huge = (2 << 30) + 5
+    for n in ("huge1", "huge2", "huge3"):
+        with open(tmp_path / n, "wb") as f:
+            f.truncate(huge)
+    with open(tmp_path / "huge3", "r+b") as f:
+        f.seek(huge - 1)
+        f.write(b"!")
+    # "alone" is not there, but no other file has its size: it is never opened
+    sizes = {n: len(b) for n, b in data.items()} | {"huge1": huge, "huge2": huge, "huge3": huge, "alone": 999_999, "gone": 4096, "small": 7}
+    c = normalise(spark.createDataFrame([(k, f"X:\\{n}", s) for k, (n, s) in enumerate(sizes.items())], "id long, path string, size long"))
+    read = []
+
+    def reader(df, first):
+        read.append((first, sorted(r.path[3:] for r in df.collect())))
+        return walk.digests(df, first, {"X": str(tmp_path)})
+
+    found, hashed, skipped = duplicates.staged(c, reader)
+    assert {r.path[3:] for r in found.collect()} == {"a", "b", "long1", "long2", "huge1", "huge2"} and (hashed, skipped) == (11, 1)
+    assert read == [(head, sorted(set(sizes) - {"alone", "small"})), (None, ["huge1", "huge2", "huge3", "long1", "long2", "long3"])]
+    contents = spark.createDataFrame([(f"X:\\{n}", bytearray(b)) for n, b in data.items()], "path string, content binary")
+    some = c.where(f"size < {huge}")
+    plain, staged = duplicates.groups(some, contents), duplicates.staged(some, reader)[0]
+    assert {(r.path, r.size) for r in plain.collect()} == {(r.path, r.size) for r in staged.collect()}
+    assert duplicates.ranked(found).first().wasted == huge
+    assert duplicates.staged(c.where("false"), reader)[0].count() == 0
+
+
 def test_snapshots(spark, tmp_path):
     root = str(tmp_path / "db")
     c = normalise(spark.createDataFrame([(0, r"D:\x.txt", 4)], "id long, path string, size long"))
