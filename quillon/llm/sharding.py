@@ -2,7 +2,8 @@
 
 Rows get a 126-bit sort key: 63 bits of a hash of the text, then 63 bits of a hash of the id.
 Equal texts are therefore neighbours and a group of copies is only cut where a shard ends, yet
-a group with a third of all rows still splits, by id. All steps are DataFrame operations.
+a group with a third of all rows still splits, by id; rows equal in both that weigh more than a
+splitter may miss split by a number that is written with them. All steps are DataFrame operations.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 
 from quillon.llm.common import durable, join_small, keeps_names, public
 
-#: Bits that one round of probes adds to a boundary: 1024 probes in each open interval.
+#: Bits that one round of probes adds to a boundary: 512 probes in each open interval.
 ROUND_BITS = 9
 KEY_BITS = 63
 #: A splitter may miss its target by this share of a shard.
@@ -36,6 +37,21 @@ def with_key(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
     )
 
 
+def with_runs_split(rows: DataFrame, keys: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
+    """``rows`` of :func:`with_key` and their ``keys`` (_k1, _k2, _size), rows that share a key of more than ``limit`` bytes dealt over the keys of their text.
+
+    Those get a hash of a number as the second half of their key. Numbers depend on partitions, so the rows are
+    written with them; all others stay as they are. Keys so heavy are at most total / limit.
+    """
+    runs = keys.groupBy("_k1", "_k2").agg(F.count("*").alias("n"), F.sum("_size").alias("bytes")).where((F.col("n") > 1) & (F.col("bytes") > limit))
+    runs = durable(runs.select("_k1", "_k2", F.lit(True).alias("_run")), "shard-runs")
+    marked = lambda x: join_small(x, runs, ["_k1", "_k2"])
+    light = lambda x: marked(x).where("_run IS NULL").drop("_run")
+    dealt = marked(rows).where("_run").drop("_run").withColumn("_k2", F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id(), F.lit("run")), 1))
+    dealt = durable(dealt, "shard-dealt")
+    return light(rows).unionByName(dealt), durable(light(keys).unionByName(dealt.select("_k1", "_k2", "_size")), "shard-keys")
+
+
 def _prefix(bits: int) -> Column:
     """The leading ``bits`` bits of the key: a pair of longs."""
     if bits <= KEY_BITS:
@@ -49,7 +65,7 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -> lis
     ``keys`` has _k1, _k2, _size. Each round counts exact bytes below the probes that divide
     the intervals still open: one aggregate of at most (shards - 1) * 2**ROUND_BITS groups,
     whatever the input. A boundary closes when a probe is within ``tolerance`` of its target
-    or when its interval is a single key. Rows that agree in the whole key stay together.
+    or when its interval is a single key; :func:`with_runs_split` sees to it that no key is heavy.
     """
     total = keys.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
     targets = {j: total * j / shards for j in range(1, shards)}
@@ -124,14 +140,16 @@ def shard_by_bytes(df: DataFrame, shards: int = 8, text: str = "text", id_col: s
     a bin is a slice of the key space of about BIN_BYTES, so a shard is sorted by many tasks.
     A slice that is much heavier (many copies of one text) is sliced again by the second half
     of the key. Slots follow (slice, sub-slice, key). Which of several rows equal in text and id
-    comes first is open, and they share a shard. Null text counts one byte, null id is a key of its own.
+    comes first is open; they share a shard unless they weigh more than a splitter may miss
+    (:func:`with_runs_split`). Null text counts one byte, null id is a key of its own.
     An empty table gives no rows. Columns named like the added ones are replaced.
     """
     df = public(df, "shard", "slot")
     rows = with_key(df, text, id_col)
     keys = durable(rows.select("_k1", "_k2", "_size"), "shard-keys")
-    bounds = splitters(keys, shards)
     total = keys.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    rows, keys = with_runs_split(rows, keys, min(TOLERANCE * total / shards, BIN_BYTES))
+    bounds = splitters(keys, shards)
     bits = min(MAX_BIN_BITS, max(0, (total // BIN_BYTES).bit_length()))
     slice_ = F.shiftright("_k1", KEY_BITS - bits)
     heavy = durable(

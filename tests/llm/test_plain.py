@@ -63,6 +63,30 @@ def test_sharding_splits_one_hot_text(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) < 0.02 * sum(sizes) / 8 + 30
 
 
+@pytest.mark.parametrize("shards", [2, 8])
+def test_sharding_splits_rows_of_one_key(spark, shards):
+    # half the rows have no id and one text, a sixth one id and one text
+    i = F.col("id")
+    df = spark.range(6000).select(F.when(i % 2 == 0, None).when(i % 6 == 1, 7).otherwise(i).alias("doc_id"), F.when(i % 2 == 0, "one text").when(i % 6 == 1, "another").otherwise(F.concat(F.lit("text number "), i)).alias("text"), i.alias("_run"))
+    out = sharding.shard_by_bytes(df, shards).collect()
+    assert len(out) == 6000 and sorted(r["_run"] for r in out) == list(range(6000))
+    # against plain sums over the rows in order of their keys
+    rows = sorted(out, key=lambda r: (r["_k1"], r["_k2"]))
+    assert [r.shard for r in rows] == sorted(r.shard for r in rows)
+    total, below, largest = sum(r["_size"] for r in rows), 0, max(r["_size"] for r in rows)
+    before = {}
+    for r in rows:
+        before.setdefault(r.shard, below)
+        below += r["_size"]
+    assert set(before) == set(range(shards))
+    for j in range(1, shards):
+        assert abs(before[j] - total * j / shards) <= sharding.TOLERANCE * total / shards + largest
+    slots = defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 def test_mixing(spark, docs, nothing):
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     out = mixing.mix(docs, size, total=40_000.0)
