@@ -405,16 +405,15 @@ def count_words(train: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
     types, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # the least count that at most HEAD words reach, by steps of an eighth of a doubling
+    # the most frequent HEAD words, ties by word: sought only among those of the steps (an eighth of a doubling) that hold them
     step = F.floor(F.log2("n") * 8).cast("int")
     sizes = sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r.s)
-    reached, edge = 0, None
+    reached, edge = 0, 0
     for r in sizes:
-        reached += r.k
-        if reached > HEAD:
+        reached, edge = reached + r.k, r.s
+        if reached >= HEAD:
             break
-        edge = r.s
-    rows = counts.where(step >= edge).collect() if edge is not None else []
+    rows = counts.where(step >= edge).orderBy(F.desc("n"), "word").limit(HEAD).collect() if sizes else []
     head = sorted(((r.word, r.n) for r in rows), key=lambda x: (-x[1], x[0]))
     v = Vocabulary(head, documents, tokens + documents, types + (documents > 0))
     sent = counts.sparkSession.sparkContext.broadcast(frozenset(w for w, _ in head[: v.own]))

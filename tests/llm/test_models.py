@@ -330,6 +330,14 @@ def test_language_model(spark, nothing, docs):
     assert lm.score(nothing, F.lit(True)).count() == 0 and lm.score(docs, F.lit(False)).count() == docs.count()
 
 
+def test_head_is_full_among_equal_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 50)
+    equal = spark.range(600).select(F.concat(F.lit("w"), F.lpad("id", 3, "0")).alias("word"), F.lit(7).cast("long").alias("n"))
+    more = spark.createDataFrame([("often", 900), ("w900", 8)], "word string, n long")
+    assert [w.decode() for w in lm.vocabulary(equal.union(more), 10).index] == ["often", "w900", *[f"w{k:03d}" for k in range(48)]]
+    assert [w.decode() for w in lm.vocabulary(more, 10).index] == ["often", "w900"] and not lm.vocabulary(more.where("false"), 0).index
+
+
 def test_every_document_trains_and_copies_spread(spark, monkeypatch):
     rows = [(str(k), "one text that stands here many times") for k in range(60)] + [("x", "the same row again")] * 40 + [(None, f"word{k} and word{k + 1}") for k in range(60)]
     df, written, write = spark.createDataFrame(rows, "key string, text string"), {}, lm.durable
