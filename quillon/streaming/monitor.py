@@ -17,6 +17,7 @@ from quillon.sources.catalog import COLUMNS
 from quillon.sources.scratch import durable, passing
 from quillon.sources.walk import union_of_volumes
 from quillon.streaming import journal, pending
+from quillon.streaming.progress import Progress
 
 INTERVAL = "5 seconds"
 #: Seconds between two folds of the changes, and before a stream that failed starts again.
@@ -39,6 +40,7 @@ class Monitor:
         self.lock = threading.RLock()
         self.streams: dict[str, tuple] = {}
         self.down: dict[str, tuple[float, str]] = {}
+        self.progress: Progress | None = None
         #: what went wrong between batches: a request or a healing, and its message
         self.faults: dict[str, str] = {}
 
@@ -63,10 +65,14 @@ class Monitor:
                 return {}
             out = journal.apply(self.live(s), events, self.state, pending.half_renames(self.spark, self.root, s, stream))
             mine = pending.of(self.spark, self.root, s["pending"][stream]) if stream in s["pending"] else None
-            name = pending.save(overlay.then(mine, out.removed, out.delta), out.dir_old, self.root)
-            last = {r.drive: r.usn for r in events.groupBy(drive.alias("drive")).agg(F.max("usn").alias("usn")).collect()}
+            name, sizes = pending.save(overlay.then(mine, out.removed, out.delta), out.dir_old, self.root)
+            ends = events.groupBy(drive.alias("drive")).agg(F.max("usn").alias("usn"), F.count("*").alias("n")).collect()
+            last, more = {r.drive: r.usn for r in ends}, out.stats | {"batches": 1, "events": sum(r.n for r in ends)}
+            told = s["counters"].get(stream, {})
+            told = {k: told.get(k, 0) + more.get(k, 0) for k in told | more}
             after = s | {"pending": s["pending"] | {stream: name}, "waiting": s["waiting"] | {stream: name}, "positions": s["positions"] | last,
-                         "batches": s["batches"] | {key: batch}, "flushed": s["flushed"] or time.time()}
+                         "batches": s["batches"] | {key: batch},
+                         "sizes": s["sizes"] | {stream: sizes}, "counters": s["counters"] | {stream: told}, "flushed": s["flushed"] or time.time()}
             pending.write(self.spark, self.root, after, s)
             self.flush_if_due()
             return out.stats
@@ -81,9 +87,12 @@ class Monitor:
     def flush_if_due(self) -> bool:
         with self.lock:
             s = pending.read(self.spark, self.root)
-            changes = pending.every(self.spark, self.root, s)
-            if changes is None or (time.time() - (s["flushed"] or 0) < self.flush_secs and not changes.saturated()):
+            if not s["pending"]:
+                return False
+            full = max(pending.sizes(self.spark, self.root, s).values()) > overlay.CAP
+            if time.time() - (s["flushed"] or 0) < self.flush_secs and not full:
                 return False
+            changes = pending.every(self.spark, self.root, s)
             with passing(self.spark):
                 version = snapshots.fold(self.spark, self.root, changes.removed, changes.delta)
             self._stamp(s | {"base": version, "pending": {}}, s)
@@ -150,6 +159,7 @@ class Monitor:
             writer = writer.option("checkpointLocation", checkpoint)
             return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
+        self._listen()
         query = again()
         self.streams[stream] = (query, again)
         return query
@@ -169,12 +179,18 @@ class Monitor:
             writer = events.writeStream.queryName(f"monitor-{d}-{uuid.uuid4().hex[:8]}").foreachBatch(lambda df, k: self.apply_batch(df, k, d, place) and None)
             return writer.option("checkpointLocation", place).trigger(processingTime=interval).start()
 
+        self._listen()
         self.bounds = self.bounds or (lambda: journals.bounds(self.spark, folder))
         self._guarded("heal", lambda: self.heal(self.bounds()))
         for drive in drives:
             d = drive.upper().rstrip(":")
             self.streams[d] = (begin(d), lambda d=d: begin(d))
 
+    def _listen(self) -> None:
+        if self.progress is None:
+            self.progress = Progress()
+            self.spark.streams.addListener(self.progress)
+
     def _guarded(self, name: str, run: Callable[[], object]) -> None:
         """What fails is noted under its name and tried again when it is due again."""
         try:
@@ -223,13 +239,14 @@ class Monitor:
         self.rebuild(sorted(pending.read(self.spark, self.root)["positions"]), positions=found)
 
     def status(self, bounds: DataFrame | None = None) -> dict:
-        """Position of each volume (and how far its journal is ahead), sizes of the changes, streams that are down."""
+        """Position of each volume (and how far its journal is ahead), sizes of the changes, counters of all batches a stream (stored in
+        one step with what they count), the last batch of each run, streams that are down. No table of changes is counted."""
         s = pending.read(self.spark, self.root)
         ahead = {r.drive.upper().rstrip(":"): r.following for r in bounds.collect()} if bounds is not None else {}
         drives = {d: {"position": p} | ({"lag": max(0, ahead[d] - p)} if d in ahead else {}) for d, p in sorted(s["positions"].items())}
-        changes = pending.every(self.spark, self.root, s)
-        n = {"removed": changes.removed.count(), "delta": changes.delta.count()} if changes else {"removed": 0, "delta": 0}
-        return {"version": s["base"], "drives": drives, "pending": n, "flushed": s["flushed"], "watching": sorted(set(self.streams) - set(self.down)), "down": {k: v[1] for k, v in self.down.items()}} | ({"faults": dict(self.faults)} if self.faults else {})
+        n = pending.sizes(self.spark, self.root, s)
+        runs = {x: self.progress.runs[str(q.runId)] for x, (q, _) in sorted(self.streams.items()) if self.progress and str(q.runId) in self.progress.runs}
+        return {"version": s["base"], "drives": drives, "pending": n, "counters": s["counters"], "progress": runs, "flushed": s["flushed"], "watching": sorted(set(self.streams) - set(self.down)), "down": {k: v[1] for k, v in self.down.items()}} | ({"faults": dict(self.faults)} if self.faults else {})
 
 
 def request(spark: SparkSession, root: str, word: str) -> None:

@@ -12,7 +12,8 @@ import json
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from quillon.operators.overlay import Overlay, merged
 from quillon.sources import snapshots
@@ -20,7 +21,7 @@ from quillon.sources import snapshots
 WAITING = "drive string, frn long, old string"
 #: Seconds for which folders that nothing names are left to readers.
 KEEP = 600
-EMPTY = {"pending": {}, "waiting": {}, "positions": {}, "floors": {}, "journals": {}, "batches": {}, "flushed": None, "left": []}
+EMPTY = {"pending": {}, "waiting": {}, "positions": {}, "floors": {}, "journals": {}, "batches": {}, "sizes": {}, "counters": {}, "flushed": None, "left": []}
 
 
 def read(spark: SparkSession, root: str) -> dict:
@@ -45,12 +46,24 @@ def write(spark: SparkSession, root: str, s: dict, before: dict | None = None) -
         snapshots.delete(spark, f"{root}/{n}.manifest")
 
 
-def save(overlay: Overlay, waiting: DataFrame, root: str) -> str:
-    """Write one stream's changes and half renames; the name of their folder."""
-    name = f"pending_{uuid.uuid4().hex}"
+def save(overlay: Overlay, waiting: DataFrame, root: str) -> tuple[str, dict[str, int]]:
+    """Write one stream's changes and half renames; the name of their folder and the rows of each part, observed on the way."""
+    name, sizes = f"pending_{uuid.uuid4().hex}", {}
     for part, df in (("removed", overlay.removed), ("delta", overlay.delta), ("waiting", waiting.select("drive", "frn", "old"))):
-        df.write.parquet(f"{root}/{name}/{part}")
-    return name
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{root}/{name}/{part}")
+        sizes[part] = seen.get["n"]
+    return name, sizes
+
+
+def sizes(spark: SparkSession, root: str, s: dict) -> dict[str, int]:
+    """Rows removed and changed of all streams (which share no volume), as stored with the state; a state
+    of before they were stored is counted."""
+    parts = ("removed", "delta")
+    if set(s["pending"]) <= set(s["sizes"]):
+        return {p: sum(s["sizes"][x][p] for x in s["pending"]) for p in parts}
+    changes = every(spark, root, s)
+    return {p: getattr(changes, p).count() for p in parts}
 
 
 def of(spark: SparkSession, root: str, name: str) -> Overlay:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +8,7 @@ from quillon.service import Service
 from quillon.sources import snapshots, walk
 from quillon.sources.catalog import normalise
 from quillon.streaming import journal as J
+from quillon.streaming import pending
 from quillon.streaming.monitor import Monitor, request
 
 STATE = "path string, status string, size long, allocated long, mtime long, ctime long, flags int"
@@ -159,6 +162,28 @@ def test_changes_of_a_replaced_snapshot_are_dropped(spark, base, tmp_path):
     assert m.live().count() == 6 and m.status()["pending"] == {"removed": 0, "delta": 0}
 
 
+def test_status_tells_progress_without_counting(spark, base, tmp_path, monkeypatch):
+    root, inbox = str(tmp_path / "db"), str(tmp_path / "in")
+    snapshots.save(base, root, "mft", ["D"])
+    m = Monitor(spark, root, lambda paths: table(spark, {r"D:\links\new.txt": 1, r"D:\links\more.txt": 2}))
+    events_of(spark, (90, 60, "new.txt", False, 1, J.FILE_CREATE)).write.parquet(inbox)
+    events = spark.readStream.schema(J.EVENT).parquet(inbox)
+    m.start(events, str(tmp_path / "ckpt"), available_now=True, stream="D").awaitTermination()
+    events_of(spark, (91, 60, "more.txt", False, 2, J.FILE_CREATE), (92, 60, "gone.txt", False, 3, J.FILE_CREATE)).write.mode("append").parquet(inbox)
+    query = m.start(events, str(tmp_path / "ckpt"), available_now=True, stream="D")
+    query.awaitTermination()
+    for _ in range(100):
+        if str(query.runId) in m.progress.runs:
+            break
+        time.sleep(0.1)
+    monkeypatch.setattr(pending, "every", None)  # the tables of changes are not looked at
+    s = m.status()
+    counters = s["counters"]["D"]
+    assert (counters["batches"], counters["events"], counters["applied"], counters["stat_gone"]) == (2, 3, 2, 1)
+    assert s["pending"]["delta"] == 2 and (s["progress"]["D"]["rows"] > 0, s["progress"]["D"]["batches"]) == (True, 1)
+    assert not m.flush_if_due()
+
+
 def test_many_changes_are_folded_at_once(spark, base, tmp_path, monkeypatch):
     root = str(tmp_path / "db")
     snapshots.save(base, root, "mft", ["D"])
