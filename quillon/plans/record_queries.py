@@ -148,7 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "record_entries": f"""SELECT s_suppkey + {FILE} AS frn, s_nationkey + {DIR} AS parent_frn, 's' || s_suppkey AS name, false AS is_dir, 7 * s_suppkey AS size, 8 * s_suppkey AS allocated,
+        "record_entries": f"""SELECT s_suppkey + {FILE} AS frn, CAST(s_nationkey + {DIR} AS BIGINT) AS parent_frn, 's' || s_suppkey AS name, false AS is_dir, 7 * s_suppkey AS size, 8 * s_suppkey AS allocated,
             2 * s_suppkey AS mtime, s_suppkey AS ctime, CAST((s_suppkey % 8 & 2) // 2 | (s_suppkey % 8 & 4) // 2 | (s_suppkey % 8 & 1) * 4 AS INT) AS flags FROM supplier""",
         "record_paths": r"""SELECT 'D:\' || n_name || '\s' || s_suppkey AS path, 7 * s_suppkey AS size, 2 * s_suppkey AS mtime FROM supplier JOIN nation ON n_nationkey = s_nationkey
             UNION ALL SELECT 'D:\' || n_name, 0, 0 FROM nation""",
