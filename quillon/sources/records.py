@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ FRN_MASK = 0xFFFFFFFFFFFF
 STANDARD, LIST, FILE_NAME, DATA, END = 0x10, 0x20, 0x30, 0x80, 0xFFFFFFFF
 #: Bytes of an attribute list beyond which it counts as corrupt (fixed value).
 MOST_LIST = 64 << 20
+#: A task holds so many decoded rows at a time, however many a batch of its input has.
+HELD_ROWS = 10_000
 EPOCH = 11_644_473_600
 JOURNAL = "frn long, parent_frn long, name string, is_dir boolean, usn long, reason long"
 FILES = "frn long, parent_frn long, name string, is_dir boolean, size long, allocated long, mtime long, ctime long, flags int, base_frn long"
@@ -44,13 +48,24 @@ def journal_records(data: bytes) -> Iterator[tuple]:
         at += length
 
 
+_EVENT = pa.schema([("frn", pa.int64()), ("parent_frn", pa.int64()), ("name", pa.string()), ("is_dir", pa.bool_()), ("usn", pa.int64()), ("reason", pa.int64())])
+_LISTED = pa.schema([(c, pa.int64()) for c in ("frn", "kind", "vcn", "owner")])
+
+
+def _in_pieces(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of HELD_ROWS, each made as it is asked for."""
+    rows = iter(rows)
+    while some := list(islice(rows, HELD_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*some, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _events(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _in_pieces((r for batch in batches for b in batch.column(0) if b.is_valid for r in journal_records(b.as_py())), _EVENT)
+
+
 def decode_journal(buffers: DataFrame, column: str = "data", mask: int | None = None) -> DataFrame:
     """Events of a table of binary buffers; those whose reason misses ``mask`` are left out."""
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([r for b in pdf[column] if b is not None for r in journal_records(bytes(b))], columns=["frn", "parent_frn", "name", "is_dir", "usn", "reason"])
-
-    out = buffers.select(column).mapInPandas(run, JOURNAL)
+    out = buffers.select(column).mapInArrow(_events, JOURNAL)
     return out if mask is None else out.where(F.col("reason").bitwiseAND(mask) != 0)
 
 
@@ -176,6 +191,11 @@ def list_entries(data: bytes) -> Iterator[tuple[int, int, int]]:
         at += length
 
 
+def _listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = (row for batch in batches for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist())
+    return _in_pieces(((row["frn"], *e) for row in rows for e in list_entries(b"".join(x["part"] for x in row["parts"])[: row["list_bytes"]])), _LISTED)
+
+
 def decode_lists(found: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     """(frn, kind, vcn, owner) of the attribute lists of :func:`decode_held`.
 
@@ -190,12 +210,7 @@ def decode_lists(found: DataFrame, clusters: DataFrame | None = None) -> DataFra
         whole = got.agg(F.count_if(F.col("part").isNull()).alias("missing"), F.sort_array(F.collect_list(F.struct("at", "part"))).alias("parts"))
         parts = parts.union(whole.where("missing = 0").select("frn", "list_bytes", "parts"))
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(f, *e) for f, n, p in zip(pdf["frn"], pdf["list_bytes"], pdf["parts"], strict=True) for e in list_entries(b"".join(bytes(x["part"]) for x in p)[: int(n)])]
-            yield pd.DataFrame(rows, columns=["frn", "kind", "vcn", "owner"])
-
-    return parts.mapInPandas(run, "frn long, kind long, vcn long, owner long")
+    return parts.select("frn", "list_bytes", "parts").mapInArrow(_listed, "frn long, kind long, vcn long, owner long")
 
 
 def entries(records: DataFrame, clusters: DataFrame | None = None, cluster: int = 4096) -> DataFrame:

@@ -4,6 +4,7 @@ import threading
 from urllib.error import HTTPError
 from urllib.request import Request, urlopen
 
+import pyarrow as pa
 import pytest
 
 from quillon import cli, http
@@ -30,6 +31,20 @@ def test_journal_records(spark):
     assert records.decode_journal(spark.createDataFrame([(bytearray(buffer),)], "data binary"), mask=0x2000).count() == 1
 
 
+def test_records_are_decoded_in_pieces():
+    """However many records buffers or lists hold, so many rows at most exist at a time."""
+    n = 2 * records.HELD_ROWS + 1
+    buffer = b"".join(journal(2 + k % 2, k, 5, f"f{k}", k, 1) for k in range(n))
+    pieces = list(records._events([pa.record_batch({"data": pa.array([buffer, None, buffer], pa.binary())})]))
+    assert max(x.num_rows for x in pieces) == records.HELD_ROWS and [r["usn"] for x in pieces for r in x.to_pylist()] == [*range(n)] * 2
+    kinds = pa.list_(pa.struct([("at", pa.int32()), ("part", pa.binary())]))
+    entries = struct.pack("<IHBBQQHHI", 0x80, 32, 0, 26, 0, 9, 0, 0, 0) * n
+    batch = pa.record_batch({"frn": [7], "list_bytes": [len(entries) - 32], "parts": pa.array([[{"at": 0, "part": entries[:100]}, {"at": 1, "part": entries[100:]}]], kinds)})
+    pieces = list(records._listed([batch]))
+    assert max(x.num_rows for x in pieces) == records.HELD_ROWS and sum(x.num_rows for x in pieces) == n - 1
+    assert pieces[0].slice(0, 1).to_pylist() == [{"frn": 7, "kind": 0x80, "vcn": 0, "owner": 9}]
+
+
 def attribute(kind, value, name_length=0):
     length = (24 + len(value) + 7) // 8 * 8
     return (struct.pack("<IIBBHHH", kind, length, 0, name_length, 24, 0, 0) + struct.pack("<IHH", len(value), 24, 0) + value).ljust(length, b"\0")
