@@ -20,7 +20,7 @@ N_CLASSES = len(CLASSES) + 2
 #: Common words: words of letters; so many of the most frequent of a language.
 COMMON = r"^\p{L}+$"
 N_COMMON = 24
-_LETTERS = "-ABCDEFGHIJKLMNOPQRSTUVWX"
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWX"
 #: Places of windows in a text take so many bits beside their hash; longer texts are counted another way.
 PLACE_BITS = 24
 #: Limits of the distances; a document of n words may be off by its slack / sqrt(n) more.
@@ -64,17 +64,16 @@ def _sizes(worded: DataFrame) -> DataFrame:
 def references(worded: DataFrame) -> DataFrame:
     """Per _lang: ref_chars and ref_words (shares), common (the words), ref_n (words counted).
 
-    One pass: with a document's words go, as words with a blank that no word has, its number of
-    words and its character classes.
+    One pass: with a document's words goes, as one more word that begins with a blank as no other does, the list
+    of its number of words and its character classes. Words stay plain strings: a structure for each costs more than its count.
     """
-    one = lambda w, k: F.struct(w.alias("w"), k.cast("long").alias("k"))
     sized = _classes(worded.select("_lang", "_text", "_words", "_rare", _word_chars().alias("word_chars")))
-    more = F.array(one(F.lit(" n"), F.size("_words")), *[one(F.lit(f" {i}"), F.get("_chars", F.lit(i))) for i in range(N_CLASSES)])
-    words = F.concat(F.transform("_words", lambda w: one(w, F.lit(1))), more)
-    counted = sized.select("_lang", F.inline(words)).groupBy("_lang", "w").agg(F.sum("k").alias("n"))
+    own = F.concat(F.lit(" "), F.concat_ws(" ", F.size("_words"), *[F.get("_chars", F.lit(i)) for i in range(N_CLASSES)]))
+    counted = sized.select("_lang", F.explode(F.concat("_words", F.array(own))).alias("w")).groupBy("_lang", "w").agg(F.count("*").alias("n"))
     counted = durable(counted.where(F.col("w").startswith(" ") | F.col("w").rlike(COMMON)), "quality-words")
-    n_of = lambda w: F.coalesce(F.max(F.when(F.col("w") == w, F.col("n"))), F.lit(0))
-    sums = counted.where(F.col("w").startswith(" ")).groupBy("_lang").agg(n_of(" n").alias("ref_n"), *[n_of(f" {i}").alias(f"s{i}") for i in range(N_CLASSES)])
+    told = counted.where(F.col("w").startswith(" ")).select("_lang", "n", F.split(F.ltrim("w"), " ").cast("array<long>").alias("own"))
+    sum_of = lambda i: F.sum(F.get("own", F.lit(i)) * F.col("n"))
+    sums = told.groupBy("_lang").agg(sum_of(0).alias("ref_n"), *[sum_of(i + 1).alias(f"s{i}") for i in range(N_CLASSES)])
     top = counted.where(~F.col("w").startswith(" ")).withColumn("r", F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "w"))).where(F.col("r") <= N_COMMON)
     lists = top.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("r", "w", "n"))).alias("top"))
     out = sums.join(lists, "_lang", "left")
@@ -120,31 +119,32 @@ def _by_words() -> Column:
 def base_rules(worded: DataFrame) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
-    Windows of three words become numbers, 40 bits of a hash before PLACE_BITS of the place, so that
-    sorting them makes equal windows neighbours: n log n for one text, however long. Words are
-    compared where hashes meet; should they differ there, or places not fit, windows are sorted whole.
+    Windows of three words become hashes; a text whose hashes all differ has no equal windows. In others
+    they become numbers, 40 bits of the hash before PLACE_BITS of the place, so that sorting them makes
+    equal windows neighbours: n log n for one text, however long. Words are compared where hashes meet;
+    should they differ there, or places not fit, windows are sorted whole.
     """
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n = F.size("_words")
     df = _sizes(worded).select("*", lines.alias("_lines"), F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
     place = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
-    packed = F.transform(
-        F.slice("_hashes", F.lit(1), F.greatest(n - 2, F.lit(0))),
-        lambda h, i: F.shiftleft(F.xxhash64(h, F.get("_hashes", i + 1), F.get("_hashes", i + 2)), PLACE_BITS).bitwiseOR(i.cast("long")),
-    )
-    df = df.withColumn("_sorted", F.sort_array(packed)).drop("_hashes")
+    windows = F.transform(F.slice("_hashes", F.lit(1), F.greatest(n - 2, F.lit(0))), lambda h, i: F.xxhash64(h, F.get("_hashes", i + 1), F.get("_hashes", i + 2)))
+    df = df.withColumn("_windows", windows).drop("_hashes")
+    packed = F.transform("_windows", lambda h, i: F.shiftleft(h, PLACE_BITS).bitwiseOR(i.cast("long")))
+    differ = F.size("_windows") == F.size(F.array_distinct("_windows"))
+    df = df.withColumn("_sorted", F.when(differ, F.array().cast("array<long>")).otherwise(F.sort_array(packed)))
     met = F.filter(
         F.zip_with("_sorted", F.slice("_sorted", F.lit(2), F.greatest(F.size("_sorted"), F.lit(1))), lambda a, b: F.when(F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS), F.struct(place(a).alias("a"), place(b).alias("b")))),
         lambda x: x.isNotNull(),
     )
-    df = df.withColumn("_met", met).drop("_sorted")
+    df = df.withColumn("_met", met)
     sure = (n < 1 << PLACE_BITS) & F.forall("_met", lambda x: _three(x["a"]) == _three(x["b"]))
     places = F.concat(F.transform("_met", lambda x: x["a"]), F.transform("_met", lambda x: x["b"]))
     repeated = F.when(F.size("_met") == 0, F.lit(0).cast("long")).when(sure, _covered(places)).otherwise(_by_words())
-    df = df.withColumn("n_repeat_words", F.when(n < 1 << PLACE_BITS, repeated).otherwise(_by_words()))
+    df = df.withColumn("n_repeat_words", F.when((n < 1 << PLACE_BITS) | (F.size("_sorted") == 0), repeated).otherwise(_by_words()))
     df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEAT_PERCENT * F.col("n_words"))
-    return df.withColumn("base_failed", failed).drop("_lines", "_met")
+    return df.withColumn("base_failed", failed).drop("_lines", "_windows", "_sorted", "_met")
 
 
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
@@ -162,13 +162,12 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     worded = with_words(public(df, *ADDED), text, lang)
     refs = durable(references(worded.select("_text", "_lang", "_words", "_rare")), "quality-refs")
     rows = join_small(_classes(base_rules(worded)), refs, ["_lang"])
-    # one letter a word tells which common word it is
-    marks = F.array_join(F.transform("_words", lambda w: F.substring(F.lit(_LETTERS), F.array_position("common", w).cast("int") + 1, F.lit(1))), "")
+    # one letter a word tells which common word it is; the others, most of a text, have none
+    marks = F.array_join(F.transform(F.filter("_words", lambda w: F.array_contains("common", w)), lambda w: F.substring(F.lit(_LETTERS), F.array_position("common", w).cast("int"), F.lit(1))), "")
     rows = rows.withColumn("_marks", marks)
-    hits = [(F.length("_marks") - F.length(F.replace("_marks", F.lit(c), F.lit("")))) for c in _LETTERS[1:]]
+    hits = [(F.length("_marks") - F.length(F.replace("_marks", F.lit(c), F.lit("")))) for c in _LETTERS]
     shares = F.transform(F.slice(F.array(*hits), F.lit(1), F.size("common")), lambda k: k / F.col("n_words"))
-    others = F.length("_marks") - F.length(F.replace("_marks", F.lit("-"), F.lit("")))
-    p_words = F.concat(shares, F.array(others / F.col("n_words")))
+    p_words = F.concat(shares, F.array((F.col("n_words") - F.length("_marks")) / F.col("n_words")))
     all_chars = F.aggregate("_chars", F.lit(0).cast("long"), lambda a, c: a + c)
     rows = rows.withColumn("_all_chars", all_chars)
     p_chars = F.transform("_chars", lambda c: c / F.col("_all_chars"))

@@ -35,6 +35,20 @@ def test_quality(docs, nothing):
     assert quality.judge(nothing).count() == 0
 
 
+def test_quality_references_count_plain_words(spark, monkeypatch):
+    """No structure is made for each word; the lists of documents alike are all summed."""
+    seen = []
+    monkeypatch.setattr(quality, "durable", lambda df, name: seen.append(df) or df)
+    rows = [("the cat 12 the", "en")] * 3 + [("Été, the", "en"), (None, "en"), ("el 7", None)]
+    got = {r["_lang"]: r for r in quality.references(quality.with_words(spark.createDataFrame(rows, "text string, lang string"))).collect()}
+    en = got["en"]
+    assert (en.ref_n, en.common, got[""].ref_n, got[""].common) == (14, ["the", "cat"], 2, ["el"])
+    assert en.ref_words == pytest.approx([7 / 14, 3 / 14, 4 / 14])
+    # upper, digit, symbol, mark, wide, blank, rest of 3 * 14 + 8 characters
+    assert en.ref_chars == pytest.approx([k / 50 for k in (0, 6, 0, 1, 2, 10, 31)])
+    assert "inline(" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_quality_rejects_other_language_and_case(spark):
     plain = " ".join("the cat and the dog ran to the sea in the sun but".split()[k % 12] + ("x" * (k % 3) if k % 7 == 0 else "") for k in range(300))
     rows = [(k, " ".join(plain.split()[k:] + plain.split()[:k]) + f" number {k}", "en") for k in range(20)]
