@@ -12,6 +12,8 @@ counted over the whole corpus; words never seen share the estimated mass of new
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import heapq
 import math
 from collections import Counter
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import durable, keeps_names, public, slices
 
+#: A worker keeps so much memory that its arrays gave back, and gets arrays up to a half of it from there: else each
+#: window's arrays are fresh pages of the system, and faults on them take a quarter of the training.
+KEPT_BYTES = 64 << 20
 #: At most so many words' counts travel to the workers; the others' are joined.
 HEAD = 65_536
 #: A task counts so many words before it passes the counts on.
@@ -44,6 +49,17 @@ _ENDS = {c: k + 1 for k, c in enumerate(b".,*#$%&!|")}
 N_SHAPES = 24
 
 
+@functools.cache
+def keep_memory() -> bool:
+    """Let the C library of this process keep KEPT_BYTES; False where it has no such setting."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError):
+        return False
+    trim, by_map = -1, -3  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
+    return bool(mallopt(by_map, KEPT_BYTES // 2) and mallopt(trim, KEPT_BYTES))
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text with A-Z in lower case, as UTF-8; bytes.split knows just these six blanks."""
     return (text or "").encode("utf-8", "replace").translate(_LOWER).split()
@@ -194,8 +210,9 @@ def _output(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None):
     back = np.empty_like(order)
     back[order] = rows
     wide = np.ones((len(y), n + 1), h.dtype)
-    np.take(h, order, axis=0, out=wide[:, :n])
-    c, s = y // SLOTS, y % SLOTS
+    np.take(h, order, axis=0, out=wide[:, :n], mode="clip")  # all are there; "raise" takes a buffer
+    c = y // SLOTS
+    s = y - c * SLOTS
     edges = np.searchsorted(c, np.arange(CLASSES + 1))
     wc, ww = np.concatenate([p["wc"], p["bc"][None]]), np.concatenate([p["ww"], p["bw"][:, None]], axis=1)
     ones, scale = np.ones(max(CLASSES, SLOTS), h.dtype), np.float32(1 / max(1, len(y)))
@@ -305,6 +322,7 @@ def fit(p: dict, docs: list[np.ndarray], begin: int) -> dict:
     The documents are one stream, cut into lanes of equal length; the state goes on from window to
     window and starts anew with each document and lane.
     """
+    keep_memory()
     m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     if not docs:
         return p
@@ -338,6 +356,7 @@ def fit(p: dict, docs: list[np.ndarray], begin: int) -> dict:
 
 def score_docs(p: dict, docs: list[np.ndarray]) -> np.ndarray:
     """Log10 probability of each document's places (the end last)."""
+    keep_memory()
     out = np.zeros(len(docs))
     if not docs:
         return out
@@ -391,6 +410,7 @@ def count_words(train: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
     def run(batches):
+        keep_memory()
         seen: Counter = Counter()
         for batch in slices(batches, "text"):
             for t in batch.column("text").to_pylist():
@@ -442,6 +462,7 @@ def _placed(rows: DataFrame, v: Vocabulary, text: str) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(vars(v))
 
     def run(batches):
+        keep_memory()
         voc = Vocabulary.of(sent.value)
         for batch in slices(batches, text):
             out = []

@@ -481,3 +481,15 @@ def test_queries_equal_sql(spark):
         assert sorted(got.columns) == cols
         rows = lambda df: sorted(tuple(map(str, r)) for r in df[cols].itertuples(index=False))  # noqa: B023, E731
         assert rows(got) == rows(want), name
+
+
+def test_training_takes_no_fresh_pages_for_each_window():
+    """What a window's arrays gave back serves the next one."""
+    import resource
+
+    v = lm.Vocabulary([(f"w{k}", 900 - k) for k in range(900)], 100, 500_000, 901).with_shapes(np.zeros(lm.N_SHAPES), np.zeros(lm.N_SHAPES))
+    texts = [np.append(v.place[1 + lm.N_SHAPES + np.random.default_rng(k).integers(0, 900, 1999)], v.place[0]) for k in range(120)]
+    lm.fit(lm.initial(v.freq), texts, int(v.place[0]))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    lm.fit(lm.initial(v.freq), texts, int(v.place[0]))
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) / (240_000 / (lm.LANES * lm.WINDOW)) < 400
