@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -493,3 +494,39 @@ def test_training_takes_no_fresh_pages_for_each_window():
     before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
     lm.fit(lm.initial(v.freq), texts, int(v.place[0]))
     assert (resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) / (240_000 / (lm.LANES * lm.WINDOW)) < 400
+
+
+def test_words_of_many_texts_at_once(spark):
+    """Words, shapes and what is counted from them, as the plain helpers have them one by one."""
+    texts = ["", None, "  The\tCAT sat.\x0b", "É été ÉTÉ\u00a0x 7 a7 x- Z ~", "\n", "one*", LONG[:5000], "a\x1cb\x85c 中 文. ,"] * 3
+    words, sizes = lm.split(pa.array(texts)[1:])
+    assert [w.encode() for w in words.to_pylist()] == [w for t in texts[1:] for w in lm.words_of(t)] and sizes.tolist() == [len(lm.words_of(t)) for t in texts[1:]]
+    shapes = [lm.shape_of(w.encode()) for w in words.to_pylist()]
+    assert lm.shapes_of(words).tolist() == shapes and lm.shapes_of(words[5:]).tolist() == shapes[5:] and not len(lm.shapes_of(words[:0]))
+    df = spark.createDataFrame([(w,) for w in words.to_pylist()], "word string")
+    assert {(r.word, r.k) for r in df.select("word", lm.shape_column(F.col("word")).alias("k")).collect()} == set(zip(words.to_pylist(), shapes, strict=True))
+    counts = {r.word: r.n for r in lm.count_words(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert counts == Counter(w.decode() for t in texts for w in lm.words_of(t))
+
+
+def test_few_long_lanes_take_few_windows_and_rare_classes_few_products(monkeypatch):
+    """A long text beside short ones, and classes of a few rows, took a pass of small arrays each."""
+    r = np.random.default_rng(3)
+    p = lm.initial(1.0 + np.arange(lm.CLASSES * lm.SLOTS)[::-1])
+    docs = [np.append(r.integers(1, 4096, n), 0) for n in (9000, *[150] * 300)]
+    taken, run = [], lm.run_window
+    monkeypatch.setattr(lm, "run_window", lambda p, x, *more: taken.append(x.shape) or run(p, x, *more))
+    got = lm.score_docs(p, docs)
+    assert len(taken) < 9001 / lm.SCORE_WINDOW / 4 and all(steps * lanes <= lm.SCORE_LANES * lm.SCORE_WINDOW for steps, lanes in taken)
+    monkeypatch.undo()
+    assert np.allclose(got[:3], [lm.score_docs(p, [d])[0] for d in docs[:3]], rtol=1e-5)
+    h, y = np.tanh(r.standard_normal((900, lm.HIDDEN))).astype(np.float32), np.sort(r.integers(0, 4096, 900))
+    sizes = np.bincount(y // lm.SLOTS, minlength=lm.CLASSES)
+    groups = lm._alike(sizes)
+    assert len(groups) < 6 and sorted(np.concatenate(groups)) == np.flatnonzero(sizes).tolist()
+    some, single = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    together = lm.output(p, h, y, some)
+    monkeypatch.setattr(lm, "FEW", 0)
+    alone = lm.output(p, h, y, single)
+    assert np.allclose(together[0], alone[0], atol=1e-5) and np.allclose(together[1], alone[1], atol=1e-7)
+    assert all(np.allclose(some[k], single[k], atol=1e-7) for k in p)
